@@ -1,0 +1,4 @@
+"""The timeline queries and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
