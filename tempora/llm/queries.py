@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, tokens
+from . import exact_dedup, language, near_dedup, packing, tokens
 
 QUERIES = {
+    "op2_setsketch_dedup": near_dedup.op2_setsketch_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_language_id": language.op9_language_id,
 }
-ORACLE = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+ORACLE = {
+    "op2_setsketch_dedup": near_dedup.OP2_SQL,
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+}
