@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, near_dedup, packing, tokens
+from . import exact_dedup, language, near_dedup, packing, substring_dedup, tokens
 
 QUERIES = {
     "op2_setsketch_dedup": near_dedup.op2_setsketch_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_repeated_passages": substring_dedup.op10_repeated_passages,
     "op9_language_id": language.op9_language_id,
 }
 ORACLE = {
