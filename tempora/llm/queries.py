@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, near_dedup, packing, substring_dedup, tokens
+from . import chat, exact_dedup, language, near_dedup, packing, substring_dedup, tokens
 
 QUERIES = {
+    "op1_chat_rotation": chat.op1_chat_rotation,
     "op2_setsketch_dedup": near_dedup.op2_setsketch_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_token_counts": tokens.op6_token_counts,
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
 }
 ORACLE = {
+    "op1_chat_rotation": chat.OP1_SQL,
     "op2_setsketch_dedup": near_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
 }
