@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, near_dedup, packing, substring_dedup, tokens
+from . import chat, exact_dedup, html, language, near_dedup, packing, substring_dedup, tokens, vectors
 
 QUERIES = {
     "op1_chat_rotation": chat.op1_chat_rotation,
     "op2_setsketch_dedup": near_dedup.op2_setsketch_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_near_vectors": vectors.op4_near_vectors,
+    "op5_main_text": html.op5_main_text,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op10_repeated_passages": substring_dedup.op10_repeated_passages,
@@ -17,4 +19,5 @@ ORACLE = {
     "op1_chat_rotation": chat.OP1_SQL,
     "op2_setsketch_dedup": near_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op4_near_vectors": vectors.OP4_SQL,
 }
