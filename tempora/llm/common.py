@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -165,27 +166,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tasks(spark: SparkSession) -> int:
-    """The session's shuffle partition count, read each time it is needed."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def prefix_sums(df: DataFrame, group: list[str], order: str, tie: str, value: str, out: str, bits: int = 12) -> DataFrame:
+    """Exclusive running sum of `value` by (group, order, tie), for a bigint `order` spread evenly over 0..2**60-1.
 
-
-def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, out: str, bits: int = 12) -> DataFrame:
-    """Exclusive running sum of `value` by (group, order) for a bigint `order` spread over 0..2**62-1.
-
-    Rows are dealt by (group, order prefix), so a hot group spreads over up to 2**bits parts; sums of the parts are
-    prefix-summed per group (at most 2**bits rows each) and joined back.
+    Rows are dealt by (group, leading bits of order), so a hot group spreads over up to 2**bits parts; the sums of the parts
+    are prefix-summed per group (at most 2**bits rows each) and joined back.
     """
-    from pyspark.sql import Window as W
-
-    part = df.withColumn("_part", F.shiftright(F.col(order), 62 - bits))
+    part = df.withColumn("_part", F.shiftright(F.col(order), 60 - bits))
     sums = part.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
-    before = sums.withColumn(
-        "_before", F.sum("_sum").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    ).select(*group, "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(W.partitionBy(*group, "_part").orderBy(order, "_tie").rowsBetween(W.unboundedPreceding, -1))
+    running = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = stored(sums.select(*group, "_part", F.coalesce(F.sum("_sum").over(running), F.lit(0)).alias("_before")))
+    inside = W.partitionBy(*group, "_part").orderBy(order, tie).rowsBetween(W.unboundedPreceding, -1)
     return (
-        part.withColumn("_in", F.coalesce(inside, F.lit(0)))
+        part.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .join(before, [*group, "_part"])
         .withColumn(out, F.col("_before") + F.col("_in"))
         .drop("_part", "_in", "_before")

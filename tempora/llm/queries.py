@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html, language, near_dedup, packing, substring_dedup, tokens, vectors
+from . import chat, exact_dedup, html, language, mixing, near_dedup, packing, substring_dedup, tokens, vectors
 
 QUERIES = {
     "op1_chat_rotation": chat.op1_chat_rotation,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op10_repeated_passages": substring_dedup.op10_repeated_passages,
+    "op8_temperature_mix": mixing.op8_temperature_mix,
     "op9_language_id": language.op9_language_id,
 }
 ORACLE = {
@@ -20,4 +21,5 @@ ORACLE = {
     "op2_setsketch_dedup": near_dedup.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_near_vectors": vectors.OP4_SQL,
+    "op8_temperature_mix": mixing.OP8_SQL,
 }
