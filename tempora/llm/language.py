@@ -147,7 +147,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str, t
                     names=[*(c for c in b.schema.names if c != "_text"), "lang_pred", "score"],
                 )
 
-    kept = docs.select(id_col, *(more or []), F.col(text_col).alias("_text"))
+    kept = docs.select(F.col(id_col), *map(F.col, more or []), F.col(text_col).alias("_text"))
     fields = [f for f in kept.schema.fields if f.name != "_text"]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return kept.mapInArrow(run, schema)
