@@ -9,32 +9,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import exact_dedup, language, packing, tokens
+from tempora.llm import exact_dedup, language, mixing, near_dedup, packing, tokens
 from tempora.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognisable language; lang is the recognised one. Null texts and texts without a letter go."""
     langs, model = language.fit(docs.filter(~language.held_out()))
-    columns = [c for c in docs.columns if c != "text"]
-    found = language.predict(docs.withColumn("_whole", F.col("text")), langs, model, "doc_id", "text", [c for c in docs.columns if c not in ("doc_id", "text")] + ["_whole"])
-    kept = found.filter("lang_pred <> 'und'")
-    return kept.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("_whole").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    found = language.predict(docs.withColumn("_read", F.col("text")), langs, model, "doc_id", "_read", rest)
+    return found.filter("lang_pred <> 'und'").select(*(F.col("lang_pred").alias(c) if c == "lang" else c for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """Of equal texts (white space aside) the longest, then the one with the smallest id."""
     return exact_dedup.exact_dedup(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    return near_dedup.near_dedup(docs, k=5, percent=80)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many words as there are, small sources raised until one is repeated 1.25 times; a repeated document is a row again."""
+    return mixing.temperature_mix(docs, max_repeat=1.25).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences of 2048 tokens."""
     return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("language_id", language_id), ("exact_dedup", exact), ("packing", packed)]
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
-#: EM and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: EM, near-duplicate search and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
