@@ -92,18 +92,18 @@ def nearest_neighbours(left: DataFrame, at: str, trajectory: DataFrame, toleranc
 
 def nearest_detected(left: DataFrame, at: str, trajectory: DataFrame, tolerance: float) -> DataFrame:
     """left with px, py of the nearest detected row of all, nearer than the tolerance (strict), ties to the earlier row."""
-    t = trajectory.filter("detected").select(F.col("session").alias("_session"), F.col("ts").alias("_t"), F.col("seq").alias("_q"), "x", "y")
+    t = trajectory.filter("detected").select(F.col("session").alias("_session"), F.col("ts").alias("_t"), F.col("seq").alias("_q"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     gap = F.abs(F.col("_t") - F.col(at))
     hit = left.join(t, (F.col("session") == F.col("_session")) & (F.col("_t") > F.col(at) - tolerance) & (F.col("_t") < F.col(at) + tolerance))
-    best = hit.groupBy("session", "seq").agg(F.min_by(F.struct("x", "y"), F.struct(gap, "_t", "_q")).alias("_b"))
+    best = hit.groupBy("session", "seq").agg(F.min_by(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")), F.struct(gap, "_t", "_q")).alias("_b"))
     return left.join(best, ["session", "seq"], "left").select(left["*"], F.col("_b.x").alias("px"), F.col("_b.y").alias("py"))
 
 
 def mean_inside(left: DataFrame, trajectory: DataFrame, valid: Column) -> DataFrame:
     """left with px, py averaged over the valid rows in [start, end)."""
-    t = trajectory.filter(valid).select(F.col("session").alias("_session"), F.col("ts").alias("_t"), "x", "y")
+    t = trajectory.filter(valid).select(F.col("session").alias("_session"), F.col("ts").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     hit = left.join(t, (F.col("session") == F.col("_session")) & (F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("end")))
-    mean = hit.groupBy("session", "seq").agg(F.avg("x").alias("px"), F.avg("y").alias("py"))
+    mean = hit.groupBy("session", "seq").agg(F.avg("_x").alias("px"), F.avg("_y").alias("py"))
     return left.join(mean, ["session", "seq"], "left").select(left["*"], "px", "py")
 
 

@@ -1,6 +1,6 @@
 """The timeline queries and the SQL that gives the same rows."""
 
-from . import windows
+from . import folds, joins, windows
 
-QUERIES: dict = {**windows.QUERIES}
-ORACLE: dict = {**windows.ORACLE}
+QUERIES: dict = {**windows.QUERIES, **joins.QUERIES, **folds.QUERIES}
+ORACLE: dict = {**windows.ORACLE, **joins.ORACLE, **folds.ORACLE}
