@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -94,7 +95,7 @@ def calibrated_scales(samples: DataFrame, by: str, least: float) -> DataFrame:
     commonest if they are neighbours and do so together, with one neighbour on either side."""
     c = samples.filter(F.col("confidence") >= least).groupBy(by, "scale").agg(F.count(F.lit(1)).alias("n"))
     w = ordered("rank", by=by)
-    total = F.sum("n").over(ordered("scale", by=by).rowsBetween(-(2**31), 2**31 - 1))
+    total = F.sum("n").over(W.partitionBy(by))
     c = c.withColumn("total", total).withColumn("rank", F.row_number().over(ordered(F.desc("n"), "scale", by=by)))
     c = c.withColumn("next", F.lead("scale").over(w)).withColumn("next_n", F.lead("n").over(w)).filter("rank = 1")
     one = F.col("n") * 2 >= F.col("total")
