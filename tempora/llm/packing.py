@@ -7,6 +7,7 @@ Lengths are whole numbers up to the capacity, so the packing is worked out on th
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,7 +90,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 PIECES = T.StructType(

@@ -21,6 +21,8 @@ UNITS = {
     True: re.compile(f"\\s*(?:[{LETTERS}]+|[^\\s{LETTERS}]+)|\\s+"),
     False: re.compile("\\s*\\S+|\\s+"),
 }
+#: The same pieces for a tokenizer that drops white space.
+BARE = re.compile(f"[{LETTERS}]+|[^\\s{LETTERS}]+")
 #: Control characters that Python takes for white space and the tokenizers do not.
 ODD = re.compile("[\\x1c-\\x1f]")
 #: Entries kept by a worker for pieces of text that were encoded before.
@@ -107,8 +109,7 @@ class Encoder:
             return [text]
         if plain and self.lower:
             text = text.lower()
-        out = UNITS[plain].findall(text)
-        return [x.lstrip() for x in out] if self.strip and plain else out
+        return (BARE if self.strip and plain else UNITS[plain]).findall(text)
 
     def batch(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces."""
