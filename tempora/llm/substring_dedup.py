@@ -16,6 +16,8 @@ from .common import CHUNK_BYTES, U64, discard, mix, powers, slices, stored, tabl
 
 #: Bytes of the grams of which each window's least is its anchor.
 GRAM = 24
+#: Runs of one gram that are compared in one row; the windows of more than that are dealt by their own hashes.
+MANY = 64
 _BITS = U64(23)
 
 
@@ -126,7 +128,11 @@ def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _open_windows(marked: DataFrame, width: int) -> DataFrame:
-    """(w1, w2, id, start) for the windows of the runs in `open`."""
+    """Windows of the runs in `open` (start, run, gram, many), as rows (kind, k1, k2, id, start, hashes).
+
+    ONE_RUN: k1 the gram, hashes those of the run's windows. ONE_WINDOW: k1 and k2 the window's own 128 bits. AGAIN: a
+    window that the task has met at an earlier place already.
+    """
 
     def run(batches):
         for whole in batches:
@@ -134,21 +140,66 @@ def _open_windows(marked: DataFrame, width: int) -> DataFrame:
                 raw, off = utf8(b.column("text"))
                 marks = b.column("open")
                 flat = marks.flatten()
-                per = np.asarray(pc.fill_null(pc.list_value_length(marks), 0), dtype=np.int64)
-                row = np.repeat(np.arange(len(per)), per)
-                lo, n = (np.asarray(flat.field(c), dtype=np.int64) for c in ("start", "run"))
-                row = np.repeat(row, n)
-                start = np.repeat(lo - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(n.sum())
-                ok = start + width <= np.diff(off)[row]  # false only where one id has several texts
-                row, start = row[ok], start[ok]
+                per = np.asarray(pc.list_value_length(marks), dtype=np.int64)
+                doc = np.repeat(np.arange(len(per)), per)
+                lo, n, gram = (np.asarray(flat.field(c), dtype=np.int64) for c in ("start", "run", "gram"))
+                many = np.asarray(flat.field("many"), dtype=bool)
+                ok = lo + n + width - 1 <= np.diff(off)[doc]  # false only where one id has several texts
+                doc, lo, n, gram, many = doc[ok], lo[ok], n[ok], gram[ok], many[ok]
+                at = np.r_[0, np.cumsum(n)]
+                start = np.repeat(lo - at[:-1], n) + np.arange(at[-1])
+                row = np.repeat(doc, n)
                 w1, w2 = window_hashes(raw, start + off[row], width)
+                ids = b.column("id")
+                few = np.flatnonzero(~many)
+                data = [w1[at[i] : at[i + 1]].tobytes() for i in few.tolist()]
+                yield _windows(ONE_RUN, gram[few], np.zeros(len(few), np.int64), ids.take(pa.array(doc[few])), lo[few], data)
+                each = np.flatnonzero(np.repeat(many, n))
+                order = each[np.lexsort((start[each], ids.to_numpy()[row[each]], w2[each], w1[each]))]
+                new = np.r_[True, (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])] if len(order) else np.zeros(0, bool)
+                for kind, which in ((ONE_WINDOW, order[new]), (AGAIN, order[~new])):
+                    yield _windows(kind, w1[which].view(np.int64), w2[which].view(np.int64), ids.take(pa.array(row[which])), start[which], [None] * len(which))
+
+    return marked.mapInArrow(run, "kind int, k1 long, k2 long, id long, start long, hashes binary")
+
+
+ONE_RUN, ONE_WINDOW, AGAIN = 0, 1, 2
+
+
+def _windows(kind: int, k1: np.ndarray, k2: np.ndarray, ids: pa.Array, start: np.ndarray, hashes: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(k1), kind, np.int32)), pa.array(k1), pa.array(k2), ids, pa.array(start), pa.array(hashes, pa.binary())],
+        names=["kind", "k1", "k2", "id", "start", "hashes"],
+    )
+
+
+def _compared(groups: DataFrame) -> DataFrame:
+    """(id, start, run) of the windows that another run of their gram holds earlier; a row's `runs` has MANY at most."""
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+                flat = b.column("runs").flatten()
+                group = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column("runs")), dtype=np.int64))
+                ids, lo = (np.asarray(flat.field(c), dtype=np.int64) for c in ("id", "start"))
+                data = [x.as_buffer() for x in flat.field("hashes")]
+                n = np.array([len(x) // 8 for x in data], dtype=np.int64)
+                value = np.concatenate([np.frombuffer(x, U64) for x in data]) if data else np.zeros(0, U64)
+                at = np.r_[0, np.cumsum(n)]
+                start = np.repeat(lo - at[:-1], n) + np.arange(at[-1])
+                group, who = np.repeat(group, n), np.repeat(ids, n)
+                order = np.lexsort((start, who, value, group))
+                again = np.r_[False, (value[order[1:]] == value[order[:-1]]) & (group[order[1:]] == group[order[:-1]])] if len(order) else np.zeros(0, bool)
+                gone = order[again]
+                gone = gone[np.lexsort((start[gone], who[gone]))]
+                who, start = who[gone], start[gone]
+                first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (start[1:] > start[:-1] + 1)]) if len(gone) else np.zeros(0, np.int64)
+                end = np.r_[first[1:], len(gone)] - 1 if len(first) else first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), b.column("id").take(pa.array(row)), pa.array(start)],
-                    names=["w1", "w2", "id", "start"],
+                    [pa.array(who[first]), pa.array(start[first]), pa.array((start[end] - start[first] + 1).astype(np.int32))], names=["id", "start", "run"]
                 )
 
-    fields = T._parse_datatype_string("w1 long, w2 long").fields
-    return marked.mapInArrow(run, T.StructType([*fields, marked.schema["id"], T.StructField("start", T.LongType())]))
+    return groups.mapInArrow(run, "id long, start long, run int")
 
 
 def _cut(marked: DataFrame, width: int, id_col: str, with_text: bool) -> DataFrame:
@@ -157,11 +208,15 @@ def _cut(marked: DataFrame, width: int, id_col: str, with_text: bool) -> DataFra
             for b in slices(whole, "text"):
                 raw, off = utf8(b.column("text"))
                 n_removed, n_spans, sha, kept = [], [], [], []
-                for i, (gone, single) in enumerate(zip(b.column("gone").to_pylist(), b.column("single").to_pylist())):
+                marks = b.column("gone")
+                per = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(marks), 0), dtype=np.int64))]
+                flat = marks.flatten()
+                start, run_ = (np.asarray(flat.field(c), dtype=np.int64) for c in ("start", "run"))
+                for i in range(b.num_rows):
                     text = raw[off[i] : off[i + 1]]
-                    if gone or single:
-                        lo = np.array([g["start"] for g in gone or ()] + list(single or ()), dtype=np.int64)
-                        hi = lo + np.array([g["run"] for g in gone or ()] + [1] * len(single or ()), dtype=np.int64) + width - 1
+                    if per[i + 1] > per[i]:
+                        lo = start[per[i] : per[i + 1]]
+                        hi = lo + run_[per[i] : per[i + 1]] + width - 1
                         step = np.zeros(len(text) + 1, np.int64)
                         np.add.at(step, np.minimum(lo, len(text)), 1)
                         np.add.at(step, np.minimum(hi, len(text)), -1)
@@ -198,24 +253,31 @@ def drop_repeats(
     one document and give the same result each; rows with a null id stay whole and count for nothing. Extra columns are
     ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.filter("id IS NOT NULL")
     repeated = stored(gram_counts(known, width).filter("n > 1").select("gram"))
     found = stored(anchor_rows(known, width).join(repeated, "gram"))
+    discard(repeated)
     firsts = stored(found.groupBy("gram", "content").agg(F.min(F.struct("id", "start", "run")).alias("f")))
+    later = stored(found.join(firsts, ["gram", "content"]).filter("id <> f.id OR start <> f.start").select("id", "start", "run"))
+    discard(found)
     # Runs with an equal gram and unequal content may share some windows: those of the first of each content are compared.
-    several = stored(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    open_runs = firsts.join(several, "gram", "left_semi").select("f.*").groupBy("id").agg(F.collect_list(F.struct("start", "run")).alias("open"))
-    later = found.join(firsts, ["gram", "content"]).filter("id <> f.id OR start <> f.start")
-    gone = later.groupBy("id").agg(F.collect_list(F.struct("start", "run")).alias("gone"))
-    marks = stored(gone.join(open_runs, "id", "full"))
-    dealt = rows.repartition("id")  # read twice, shuffled once
-    windows = _open_windows(dealt.join(marks.filter("open IS NOT NULL").select("id", "open"), "id"), width)
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    single = (
-        windows.join(first, ["w1", "w2"]).filter("id <> f.id OR start <> f.start").groupBy("id").agg(F.collect_set("start").alias("single"))
+    several = stored(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") > MANY).alias("many")))
+    open_runs = stored(
+        firsts.join(several, "gram").groupBy("f.id").agg(F.collect_list(F.struct("f.start", "f.run", "gram", "many")).alias("open"))
     )
-    return _cut(dealt.join(marks.select("id", "gone"), "id", "left").join(single, "id", "left"), width, id_col, with_text)
+    discard(firsts)
+    windows = stored(_open_windows(known.join(open_runs, "id"), width))
+    few = windows.filter(F.col("kind") == ONE_RUN).groupBy("k1").agg(F.collect_list(F.struct("id", "start", "hashes")).alias("runs"))
+    each = windows.filter(F.col("kind") == ONE_WINDOW).select("k1", "k2", "id", "start")
+    first = stored(each.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    one = F.lit(1).alias("run")
+    met = each.join(first, ["k1", "k2"]).filter("id <> f.id OR start <> f.start").select("id", "start", one)
+    again = windows.filter(F.col("kind") == AGAIN).select("id", "start", one)
+    gone = later.union(_compared(few.select("runs"))).union(met).union(again).groupBy("id").agg(F.collect_list(F.struct("start", "run")).alias("gone"))
+    gone = stored(gone)
+    discard(windows)
+    return _cut(rows.join(gone, "id", "left"), width, id_col, with_text)
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
