@@ -71,7 +71,8 @@ def temperature_mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """docs' columns with n_tokens, weight, copy, block and place: one row for each time a row is taken.
+    """docs' columns with n_tokens, weight, copy, block and place (in place of such columns): one row for each time a row is
+    taken.
 
     Source s with T tokens gets weight w = T**a / sum T**a and w * budget tokens (budget: all tokens unless given). Its rows
     stand in a seeded order of their ids' hashes; whole passes over the source come first, and the rest of its budget is a
@@ -85,24 +86,36 @@ def temperature_mix(
     if (max_repeat is None) == (target_entropy is None):
         raise ValueError("give max_repeat or target_entropy")
     order = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    rows = docs.withColumn("n_tokens", (word_count(text_col) if tokens is None else tokens).cast("long")).filter("n_tokens > 0")
-    rows = rows.withColumn("_source", _key(source_col)).withColumn("_order", order).withColumn("_tie", F.xxhash64(F.col(text_col)))
-    totals = stored(rows.groupBy("_source").agg(F.sum("n_tokens").alias("total")))
+    own = [c for c in docs.columns if c not in ("n_tokens", "weight", "copy", "block", "place")]
+    rows = docs.select(
+        F.struct(*own).alias("_doc"),
+        (word_count(text_col) if tokens is None else tokens).cast("long").alias("_n"),
+        _key(source_col).alias("_source"),
+        order.alias("_order"),
+        F.xxhash64(text_col).alias("_tie"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"),
+    ).filter("_n > 0")
+    totals = stored(rows.groupBy("_source").agg(F.sum("_n").alias("total")))
     given = budget if budget is not None else totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     a = exponent(totals, given, max_repeat, target_entropy)
     power = F.exp(F.lit(a) * F.log("total"))
     z = totals.agg(F.sum(power)).first()[0] or 1.0
+    weight = power / F.lit(z)
     shares = stored(
-        totals.withColumn("weight", power / F.lit(z)).withColumn("_budget", F.floor(F.col("weight") * F.lit(float(given))).cast("long"))
+        totals.select("_source", F.col("total").alias("_total"), weight.alias("_weight"), F.floor(weight * F.lit(float(given))).cast("long").alias("_budget"))
     )
     n_blocks = max(1, ceil(given / block_tokens))
-    placed = prefix_sums(rows, ["_source"], "_order", "_tie", "n_tokens", "_start").join(shares, "_source")
-    copies = F.when(F.col("_start") < F.col("_budget"), F.ceil((F.col("_budget") - F.col("_start")) / F.col("total"))).otherwise(0).cast("int")
-    taken = placed.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    at = F.col("copy").cast("long") * F.col("total") + F.col("_start")
-    place = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
+    placed = prefix_sums(rows, ["_source"], "_order", "_tie", "_n", "_start").join(shares, "_source")
+    copies = F.when(F.col("_start") < F.col("_budget"), F.ceil((F.col("_budget") - F.col("_start")) / F.col("_total"))).otherwise(0).cast("int")
+    taken = placed.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    at = F.col("_copy").cast("long") * F.col("_total") + F.col("_start")
     return taken.select(
-        *docs.columns, "n_tokens", "weight", "copy", F.floor(at * F.lit(n_blocks) / F.col("_budget")).cast("long").alias("block"), place.alias("place")
+        "_doc.*",
+        F.col("_n").alias("n_tokens"),
+        F.col("_weight").alias("weight"),
+        F.col("_copy").alias("copy"),
+        F.floor(at * F.lit(n_blocks) / F.col("_budget")).cast("long").alias("block"),
+        F.md5(F.concat_ws("/", F.lit(seed), "_id", F.col("_copy").cast("string"))).alias("place"),
     )
 
 
