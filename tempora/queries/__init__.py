@@ -1,6 +1,6 @@
 """The timeline queries and the SQL that gives the same rows."""
 
-from . import folds, joins, reports, windows
+from . import folds, joins, projections, reports, windows
 
-QUERIES: dict = {**windows.QUERIES, **joins.QUERIES, **folds.QUERIES, **reports.QUERIES}
-ORACLE: dict = {**windows.ORACLE, **joins.ORACLE, **folds.ORACLE, **reports.ORACLE}
+QUERIES: dict = {**windows.QUERIES, **joins.QUERIES, **folds.QUERIES, **reports.QUERIES, **projections.QUERIES}
+ORACLE: dict = {**windows.ORACLE, **joins.ORACLE, **folds.ORACLE, **reports.ORACLE, **projections.ORACLE}
