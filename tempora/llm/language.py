@@ -19,6 +19,8 @@ SEGMENT_WORDS = 4
 #: EM rounds, and the most languages that one document's mixture may have.
 ROUNDS, MOST_LANGUAGES = 6, 4
 SMOOTHING = 0.5
+#: Bytes of text scored at a time; each byte takes a number for every language.
+TEXT_BYTES = 1 << 20
 
 
 def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", TEXT_BYTES):
                 raw, off = utf8(b.column("text"))
                 bucket, n, _, to = grams(raw, off)
                 row = np.repeat(np.arange(len(n)), np.diff(to))
@@ -118,7 +120,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text"):
+            for b in slices(whole, "_text", TEXT_BYTES):
                 text = b.column("_text")
                 raw, off = utf8(text)
                 rows = len(off) - 1
