@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .folds import fold
-from .windows import ordered
 
 
 def scored_pairs(baseline: DataFrame, found: DataFrame, tolerance: float, threshold: float, similarity: Callable[[Column, Column], Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import MOMENT_PRIORITY, Behaviour, Change, Merge, Moments, Triage
+from ..config import EVENT_TYPES, MOMENT_PRIORITY, Behaviour, Change, Merge, Moments, Triage
 from ..functions import expr
 from ..functions.similarity import ratio
 from ..operators import folds, joins, windows
@@ -106,7 +106,7 @@ def resolved(raw: DataFrame, frames: DataFrame, discard_context: bool = True) ->
     return out
 
 
-def shifted(found: DataFrame, offset: str, types: list[str], fallback: str = "change_ui_state") -> DataFrame:
+def shifted(found: DataFrame, offset: str, types: tuple = EVENT_TYPES, fallback: str = EVENT_TYPES[-1]) -> DataFrame:
     """Segment-relative events on the session's clock; unknown types become the fallback, missing confidence 0.5."""
     return found.withColumns(
         {

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import folds, joins, windows
+from ..operators import folds, joins, matching, windows
 from ..plans import stages
 from ..sources import discovery
 from .base import HOUR, E, I, intervals, read, rounded, timeline
@@ -164,3 +164,38 @@ def off_line(spark, sf_dir):
     t = timeline(spark, sf_dir).select("session", "x", "y", *(f(c).over(w).alias(n + c) for n, f in (("a", F.lag), ("b", F.lead)) for c in "xy")).filter("ax IS NOT NULL AND bx IS NOT NULL")
     d = expr.point_line(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return t.groupBy("session").agg(F.round(F.sum(d), 4).alias("off_line"))
+
+
+@query(
+    f"""WITH {E}, {I}, p AS (SELECT a.session, a.seq AS b, z.seq AS e, a.start AS bs, CASE WHEN a.seq % 4 = 0 THEN 0 ELSE a."end" END AS be, z.start AS es, z."end" AS ee FROM i a JOIN i z ON z.session = a.session AND z.seq = a.seq)
+SELECT session, round(avg(abs(bs - es)), 3) AS start_error, round(avg(CASE WHEN be <> 0 THEN abs(be - ee) END), 3) AS end_error FROM p GROUP BY session"""
+)
+def timing_errors(spark, sf_dir):
+    i = intervals(spark, sf_dir)
+    base = i.withColumn("end", F.when(F.col("seq") % 4 == 0, 0.0).otherwise(F.col("end")))
+    pairs = i.select("session", F.col("seq").alias("b"), F.col("seq").alias("e"))
+    return rounded(matching.timing_error(pairs, base, i), start_error=3, end_error=3)
+
+
+@query(
+    f"""WITH {E}, d AS (SELECT session, seq, x - lag(x) OVER o AS ax, y - lag(y) OVER o AS ay, lead(x) OVER o - x AS bx, lead(y) OVER o - y AS by_ FROM e WINDOW o AS (PARTITION BY session ORDER BY ts, seq)),
+n AS (SELECT *, sqrt(ax * ax + ay * ay) AS a, sqrt(bx * bx + by_ * by_) AS b FROM d) SELECT session, seq,
+  round(CASE WHEN a > 0.5 AND b > 0.5 THEN degrees(acos(greatest(-1, least(1, (ax * bx + ay * by_) / (a * b))))) END, 5) AS angle FROM n WHERE a IS NOT NULL AND b IS NOT NULL"""
+)
+def turning_angles(spark, sf_dir):
+    w = windows.ordered("ts", "seq")
+    step = [(F.col(c) - F.lag(c).over(w)).alias("a" + c) for c in "xy"] + [(F.lead(c).over(w) - F.col(c)).alias("b" + c) for c in "xy"]
+    d = timeline(spark, sf_dir).select("session", "seq", *step).filter("ax IS NOT NULL AND bx IS NOT NULL")
+    return d.select("session", "seq", F.round(expr.turning_angle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 5).alias("angle"))
+
+
+@query(
+    f"""WITH {E}, c AS (SELECT session, seq, type, y * 100 AS d, CASE WHEN type = 'view' THEN x END AS bw FROM e),
+b AS (SELECT *, CASE WHEN type = 'click' OR (type = 'view' AND bw IS NOT NULL) THEN 2 ELSE 1 END AS base FROM c)
+SELECT session, seq, CASE WHEN d <= 0 THEN base ELSE greatest(base, least(6, CASE WHEN base = 2 THEN 2 + greatest(0, floor(d / 1000) - 1) ELSE greatest(1, ceil(d / 1000)) END)) END::INTEGER AS frames FROM b"""
+)
+def ideal_frames(spark, sf_dir):
+    t = timeline(spark, sf_dir)
+    kind = F.when(F.col("type") == "click", "pre_scene_change").when(F.col("type") == "view", "interaction").otherwise("cursor_stop")
+    box = F.when(F.col("type") == "view", F.col("x"))
+    return t.select("session", "seq", expr.ideal_frames(kind, box, F.col("y") * 100, 1000.0, 6).alias("frames"))

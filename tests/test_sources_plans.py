@@ -49,6 +49,26 @@ def test_discovery(spark):
     assert discovery.latest_iteration(f, "branch", "name").first()["iteration"] == 10
 
 
+def test_sessions(spark, tmp_path):
+    text = [{"identifier": i, "data": {"screenTrack": f"{i}.mov", "normalizedScreenTrack": f"{i}.mp4"}} for i in "ab"]
+    (tmp_path / "m.json").write_text(json.dumps(text))
+    s = source.manifest(spark, f"{tmp_path}/m.json")
+    files = spark.createDataFrame([("b.mp4",)], "path string")
+    assert {r["identifier"]: r["video"] for r in discovery.screen_track(s, files).collect()} == {"a": "a.mov", "b": "b.mp4"}
+    only_b = s.filter("identifier = 'b'")
+    assert [r["identifier"] for r in discovery.with_baselines(s, only_b).collect()] == ["b"]
+    assert [r["identifier"] for r in discovery.unfinished(s, only_b).collect()] == ["a"]
+    asked = spark.createDataFrame([("a",), ("z",)], "identifier string")
+    assert [r["identifier"] for r in discovery.unknown(s, asked).collect()] == ["z"]
+    probed = spark.createDataFrame([("a", 12.34)], "identifier string, duration_ms double")
+    assert {r["identifier"]: r["screenTrackDurationMs"] for r in discovery.with_durations(s, probed).collect()} == {"a": 12.3, "b": None}
+    source.write_manifest(s, f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    answers = spark.createDataFrame([(1, '{"type": "click", "description": "x"}'), (2, "not json"), (3, '[{"type": "hover", "confidence": 0.9}, {"no": 1}]')], "r long, text string")
+    found = source.parsed_responses(answers, "text", "type: string, description: string, confidence: double").collect()
+    assert sorted((r["r"], r["type"], r["confidence"]) for r in found) == [(1, "click", 0.5), (3, "hover", 0.9)]
+
+
 def test_provider_isolates_failures(spark):
     def answer(prompt):
         if prompt == "bad":
