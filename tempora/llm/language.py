@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, slices, stored, table, utf8
+from .common import slices, stored, table, utf8
 
 #: Hash buckets of the byte 3-grams; with the number of languages this bounds the model (and what the driver reads).
 BUCKETS = 1 << 16
