@@ -7,37 +7,38 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored
 
+#: With more links than this, least neighbours are written before they are joined: Spark splits a skewed side only where
+#: both sides come straight from a shuffle.
+WRITTEN_LINKS = 200_000
 
-def _pointed(edges: DataFrame) -> DataFrame:
-    return edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every child has one parent that is nobody's child."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    return ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c + p > 1").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node that can be reached.
 
-    Least neighbours are combined before the shuffle and written, so that a node with very many links is a plain skewed
-    join. Rounds grow with the logarithm of the longest path.
+    Least neighbours are combined before the shuffle, so that a node with very many links is a plain skewed join. Rounds
+    grow with the logarithm of the longest path; links that form stars already need none.
     """
-    edges = stored(_pointed(links.select(F.col(a).alias("u"), F.col(b).alias("v"))))
-    mark = _mark(edges)
-    while mark[0]:
+    u, v = F.col(a), F.col(b)
+    edges = stored(links.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    kept = stored if edges.count() > WRITTEN_LINKS else lambda df: df
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        parent = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        parent = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = stored(moved.union(parent.select("u", F.col("m").alias("v"))).distinct())
-        after = _mark(small)
-        for old in (edges, least, large, parent):
-            discard(old)
+        discard(edges)
+        discard(large)
         edges = small
-        if after == mark:
-            break
-        mark = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

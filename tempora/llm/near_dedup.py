@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,10 +80,6 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
     return estimate, possible & ((estimate >= percent / 100) | (nats(goal)[:, 0] >= value.max(1) - NATS))
 
 
-def _id_field(df: DataFrame, name: str) -> T.StructField:
-    return T.StructField(name, df.schema["id"].dataType)
-
-
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, h1, h2, regs, bands): size, 128-bit digest, registers and band keys of each document's set of shingles."""
     bands = REGISTERS // BAND
@@ -166,11 +163,105 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components as known so far."""
-    for s in "ab":
-        pairs = pairs.join(labels.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")), s, "left")
-    return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
+def matched(a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a are similar enough to which of b, exactly: sizes of the intersections are products of 0/1 matrices,
+    taken over slices of the hashes that both blocks hold."""
+    x, y = ([np.frombuffer(s, U64) for s in side] for side in (a, b))
+    n_x, n_y = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    both = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+    count = np.zeros((len(x), len(y)), np.float32)
+
+    def coordinates(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, flat)
+        ok = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == flat)
+        order = np.argsort(at[ok], kind="stable")
+        return row[ok][order], at[ok][order]
+
+    if len(both):
+        (rx, cx), (ry, cy) = coordinates(x), coordinates(y)
+        for lo in range(0, len(both), 4096):
+            part = []
+            for r, c, n in ((rx, cx, len(x)), (ry, cy, len(y))):
+                i, j = np.searchsorted(c, [lo, lo + 4096])
+                m = np.zeros((n, 4096), np.float32)
+                m[r[i:j], c[i:j] - lo] = 1
+                part.append(m)
+            count += part[0] @ part[1].T
+    return (count > 0) & (100 * count.astype(np.int64) >= percent * (n_x[:, None] + n_y[None, :] - count.astype(np.int64)))
+
+
+def _blocks(members: DataFrame, block: int = 512) -> DataFrame:
+    """Rows of `members` (rep, size, minor, ...) as pairs of blocks (p, q, asks): every minor member asks, every member is
+    asked. Blocks are of bounded size however many members a group has, and no pair of members becomes a row."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
+    rows = members.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    ask = rows.filter("minor").select(*members.columns, F.col("_own").alias("p"), every.alias("q"), F.lit(True).alias("asks"))
+    told = rows.select(*members.columns, every.alias("p"), F.col("_own").alias("q"), F.lit(False).alias("asks"))
+    return ask.unionByName(told).drop("size", "minor")
+
+
+def _inside(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (cluster, rep, label, size, minor, members) of a cluster with unlike labels, decided on
+    full sets; one to each other label is enough for the components."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g[g["asks"]], g[~g["asks"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        hit = matched(x["members"].tolist(), y["members"].tolist(), percent)
+        hit &= x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
+        i, j = np.nonzero(hit)
+        found = pd.DataFrame({"a": x["rep"].to_numpy()[i], "b": y["rep"].to_numpy()[j], "to": y["label"].to_numpy()[j]})
+        return found.drop_duplicates(["a", "to"])[["a", "b"]]
+
+    return _blocks(members).groupBy("cluster", "p", "q").applyInPandas(run, "a long, b long")
+
+
+def _bridges(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members (key, rep, cluster, n, regs, size, minor) in unlike clusters that the registers
+    leave possible; the most alike member of each other cluster is tried, which is enough to join the clusters."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g[g["asks"]], g[~g["asks"]]
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if not len(x) or not len(y):
+            return none
+        rx, ry = (np.stack([np.frombuffer(r, np.uint16) for r in s["regs"]]) for s in (x, y))
+        code, where = np.unique(y["cluster"].to_numpy(), return_inverse=True)
+        order = np.argsort(where, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(where[order]) > 0])
+        pairs = []
+        for i in range(len(x)):
+            same = (ry[order] == rx[i]).sum(1)
+            top = np.maximum.reduceat(same, at)
+            for c in np.flatnonzero((code != x["cluster"].iloc[i]) & (2 * top > REGISTERS)):
+                lo, hi = at[c], at[c + 1] if c + 1 < len(at) else len(order)
+                pairs.append((i, order[lo + int(same[lo:hi].argmax())]))
+        if not pairs:
+            return none
+        i, j = np.array(pairs).T
+        n_x, n_y = x["n"].to_numpy(float)[i], y["n"].to_numpy(float)[j]
+        keep = np.concatenate([likely(rx[i[k : k + 2000]], ry[j[k : k + 2000]], n_x[k : k + 2000], n_y[k : k + 2000], percent)[1] for k in range(0, len(i), 2000)])
+        return pd.DataFrame({"a": x["rep"].to_numpy()[i[keep]], "b": y["rep"].to_numpy()[j[keep]]})
+
+    return _blocks(members).groupBy("key", "p", "q").applyInPandas(run, "a long, b long")
+
+
+def _majority(rows: DataFrame, by: str, part: str) -> DataFrame:
+    """(by, size, main) of the groups of `by` in which several `part` meet; main is the commonest."""
+    kinds = rows.groupBy(by, part).agg(F.count(F.lit(1)).alias("size"))
+    found = kinds.groupBy(by).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("_parts"), F.max_by(part, F.struct("size", part)).alias("main"))
+    return stored(found.filter("_parts > 1").drop("_parts"))
+
+
+def _clusters(pairs: DataFrame) -> DataFrame:
+    return components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
 
 def near_components(
@@ -180,11 +271,13 @@ def near_components(
 
     A document's set holds its distinct k-word shingles (A-Z as a-z, words split at white space); with fewer words the
     whole sequence is one shingle; null and empty texts and those without words have an empty set and no link. Rows with
-    equal sets are one class. Within a bucket of equal band keys, members are first compared with the bucket's least and
-    greatest; then all pairs whose ends are still in different components follow, so no size of bucket loses a link.
-    Ids are integers; rows with a null id are returned with a null component and kept true; repeated ids share a component.
+    equal sets are one class. Within a bucket of equal band keys, members are first paired with the bucket's least and
+    greatest. Pairs that the registers leave possible span clusters; where a bucket's members are in several clusters,
+    they are compared in blocks on registers, which joins clusters. Each member's likeliest pair is verified, and where a
+    cluster is not yet one component its rest is compared in blocks on full sets, so no size of bucket loses a link. Ids are integers; rows with a null id are returned with a
+    null component and kept true; repeated ids share a component.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = stored(signatures(rows, k))
     reps = stored(
         sig.filter("n > 0 AND id IS NOT NULL")
@@ -194,50 +287,35 @@ def near_components(
     entries = reps.select(F.explode("bands").alias("key"), "rep")
     ends = stored(entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most"))
     buckets = stored(entries.join(ends, "key"))
-    links = None
-    tried = None
-    sets = None
-    labels = None
-
-    def test(pairs: DataFrame) -> None:
-        """Verify pairs that were not tried yet, add what links and renew the components."""
-        nonlocal links, tried, labels
-        found = stored(_verified(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        labels = stored(components(links))
 
     def star(end: str) -> DataFrame:
-        return buckets.filter(f"rep <> {end}").select(F.least("rep", end).alias("a"), F.greatest("rep", end).alias("b"), "rep")
-
-    near = stored(star("least").unionByName(star("most")).distinct())
-    scored = stored(_scored(near.select("a", "b").distinct(), reps, percent))
-    wanted = scored.select(F.col("a").alias("id")).union(scored.select("b")).distinct()
-    sets = stored(full_sets(rows.join(stored(wanted), "id", "left_semi").dropDuplicates(["id"]), k))
-    first = near.join(scored, ["a", "b"]).groupBy("rep").agg(F.max(F.struct("estimate", "a", "b")).alias("p"))
-    test(stored(first.select("p.a", "p.b").distinct()))
-    rest = stored(_labelled(scored.join(tried, ["a", "b"], "left_anti"), labels))
-    if not rest.isEmpty():
-        test(rest)
-    # What the stars left: members of one bucket in different components, neither of them tried with the other.
-    mixed = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    mixed = stored(mixed)
-    open_keys = stored(mixed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p < q").select("key"))
-    left = mixed.join(open_keys, "key", "left_semi")
-    x, y = (left.select("key", F.col("rep").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
-    across = x.join(y, "key").filter("a < b AND c_a <> c_b").select("a", "b").distinct()
-    across = across.join(near.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    across = stored(_scored(across, reps, percent))
-    if not across.isEmpty():
-        more = across.select(F.col("a").alias("id")).union(across.select("b")).distinct().join(sets.select("id"), "id", "left_anti")
-        sets = sets.unionByName(stored(full_sets(rows.join(stored(more), "id", "left_semi").dropDuplicates(["id"]), k)))
-        test(across)
-    classes = stored(
-        reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    )
-    for old in (near, buckets, mixed, ends):
+        return buckets.filter(f"rep <> {end}").select(F.least("rep", end).alias("a"), F.greatest("rep", end).alias("b"))
+
+    scored = stored(_scored(star("least").unionByName(star("most")).distinct(), reps, percent))
+    pairs = scored.select("a", "b")
+    clusters = _clusters(pairs)
+    placed = stored(buckets.select("key", "rep").join(clusters, "rep", "left").select("key", "rep", F.coalesce("cluster", "rep").alias("cluster")))
+    mixed = _majority(placed, "key", "cluster")
+    strays = placed.join(mixed, "key").join(reps.select("rep", "n", "regs"), "rep").withColumn("minor", F.col("cluster") != F.col("main"))
+    bridges = stored(_bridges(strays.drop("main"), percent).distinct())
+    if not bridges.isEmpty():
+        pairs = pairs.unionByName(bridges)
+        clusters = _clusters(pairs)
+    clusters = stored(clusters)
+    wanted = clusters.select(F.col("rep").alias("id"))
+    sets = stored(full_sets(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), k))
+    ended = scored.select(F.explode(F.array("a", "b")).alias("rep"), "a", "b", "estimate")
+    first = ended.groupBy("rep").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    links = stored(_verified(first, sets, percent))
+    labels = _labels(links)
+    known = stored(clusters.join(labels, "rep", "left").select("cluster", "rep", F.coalesce("label", "rep").alias("label")))
+    mixed = _majority(known, "cluster", "label")
+    rest = known.join(mixed, "cluster").join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("minor", F.col("label") != F.col("main"))
+    inside = stored(_inside(rest.drop("main"), percent))
+    if not inside.isEmpty():
+        labels = _labels(links.unionByName(inside))
+    classes = stored(reps.join(labels, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component")))
+    for old in (buckets, placed, ends, sets):
         discard(old)
     out = sig.select("id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
