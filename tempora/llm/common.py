@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes at a time inside a task; bounds a Python worker's memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

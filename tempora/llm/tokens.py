@@ -26,7 +26,7 @@ BARE = re.compile(f"[{LETTERS}]+|[^\\s{LETTERS}]+")
 #: Control characters that Python takes for white space and the tokenizers do not.
 ODD = re.compile("[\\x1c-\\x1f]")
 #: Entries kept by a worker for pieces of text that were encoded before.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Longest text encoded in one call, and the least overlap of two chunks, in code points.
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 512
 #: Boundaries this close to a chunk's end may change with what follows (longest special string and look-ahead).
