@@ -1,4 +1,9 @@
-"""Repeated passages: remove every byte that a window of `width` bytes covers which also starts earlier."""
+"""Repeated passages: remove every byte that a window of `width` bytes covers which also starts earlier.
+
+Every window has an anchor, a gram chosen by the window's bytes alone. Windows whose gram stands once in the corpus end
+there. Where it stands more often, runs of windows with equal content are settled at once; of the unlike rest the suffixes
+from the anchors on are sorted, and intervals of equal suffixes are extended backwards up to the bound (see expand()).
+"""
 
 from __future__ import annotations
 
@@ -22,8 +27,8 @@ _BITS = U64(23)
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """For rows of bytes: (row, first start, number of starts, gram hash, content hash) for every run of windows that
-    share one anchor, the rightmost least gram of a window.
+    """For rows of bytes: (row, first start, number of starts, gram hash, content hash, anchor's place from the first start)
+    for every run of windows that share one anchor, the rightmost least gram of a window.
 
     Anchors depend on a window's bytes alone, so equal windows have equal grams at equal places. The content hash covers
     all bytes of the run's windows and where the anchor is in them.
@@ -31,7 +36,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, .
     w = width - GRAM + 1
     n = len(raw) - width + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, np.int64))
     gram = raw.astype(U64) + U64(1)
     base, have = 0x100000001B3, 1
     parts = {1: gram}
@@ -60,7 +65,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, .
     row = np.repeat(np.arange(len(size)), starts)
     s = np.repeat(off[:-1] - np.r_[0, np.cumsum(starts)][:-1], starts) + np.arange(starts.sum())
     if not len(s):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, np.int64))
     t = place[s]
     first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (row[1:] != row[:-1])])
     runs = np.diff(np.r_[first, len(s)])
@@ -69,7 +74,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, .
     total = np.r_[U64(0), np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], dtype=U64)]
     end = lo + runs + width - 1
     content = mix((total[end] - total[lo]) * down[lo] + mix((end - lo).astype(U64) * U64(1009) + (t - lo).astype(U64)))
-    return row, lo - off[row], runs, mix(key[t] + U64(7)), content
+    return row, lo - off[row], runs, mix(key[t] + U64(7)), content, t - lo
 
 
 def window_hashes(raw: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +112,11 @@ def gram_counts(docs: DataFrame, width: int) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(gram, content, id, start, run) of the anchors."""
+    """(gram, content, id, start, run, at) of the anchors."""
 
     def run(batches):
         for ids, raw, off, begin in segments(batches, width):
-            row, lo, n, gram, content = anchors(raw, off, width)
+            row, lo, n, gram, content, at = anchors(raw, off, width)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(gram.view(np.int64)),
@@ -119,18 +124,19 @@ def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                     ids.take(pa.array(row)),
                     pa.array((lo + begin[row])),
                     pa.array(n.astype(np.int32)),
+                    pa.array(at.astype(np.int32)),
                 ],
-                names=["gram", "content", "id", "start", "run"],
+                names=["gram", "content", "id", "start", "run", "at"],
             )
 
     fields = T._parse_datatype_string("gram long, content long").fields
-    return docs.mapInArrow(run, T.StructType([*fields, docs.schema["id"], *T._parse_datatype_string("start long, run int").fields]))
+    return docs.mapInArrow(run, T.StructType([*fields, docs.schema["id"], *T._parse_datatype_string("start long, run int, at int").fields]))
 
 
 def _open_windows(marked: DataFrame, width: int) -> DataFrame:
-    """Windows of the runs in `open` (start, run, gram, many), as rows (kind, k1, k2, id, start, hashes).
+    """The runs in `open` (start, run, at, gram, many) as rows (kind, k1, k2, id, start, run, at, bytes).
 
-    ONE_RUN: k1 the gram, hashes those of the run's windows. ONE_WINDOW: k1 and k2 the window's own 128 bits. AGAIN: a
+    ONE_RUN: k1 the gram, with the bytes of the run's windows. ONE_WINDOW: k1 and k2 the window's own 128 bits. AGAIN: a
     window that the task has met at an earlier place already.
     """
 
@@ -142,59 +148,108 @@ def _open_windows(marked: DataFrame, width: int) -> DataFrame:
                 flat = marks.flatten()
                 per = np.asarray(pc.list_value_length(marks), dtype=np.int64)
                 doc = np.repeat(np.arange(len(per)), per)
-                lo, n, gram = (np.asarray(flat.field(c), dtype=np.int64) for c in ("start", "run", "gram"))
+                lo, n, at, gram = (np.asarray(flat.field(c), dtype=np.int64) for c in ("start", "run", "at", "gram"))
                 many = np.asarray(flat.field("many"), dtype=bool)
                 ok = lo + n + width - 1 <= np.diff(off)[doc]  # false only where one id has several texts
-                doc, lo, n, gram, many = doc[ok], lo[ok], n[ok], gram[ok], many[ok]
-                at = np.r_[0, np.cumsum(n)]
-                start = np.repeat(lo - at[:-1], n) + np.arange(at[-1])
-                row = np.repeat(doc, n)
+                ids, few = b.column("id"), np.flatnonzero(ok & ~many)
+                begin = (lo + off[doc])[few]
+                data = [raw[i:j].tobytes() for i, j in zip(begin.tolist(), (begin + n[few] + width - 1).tolist())]
+                yield _windows(ONE_RUN, gram[few], np.zeros(len(few), np.int64), ids.take(pa.array(doc[few])), lo[few], n[few], at[few], data)
+                hot = np.flatnonzero(ok & many)
+                if not len(hot):
+                    continue
+                to = np.r_[0, np.cumsum(n[hot])]
+                start = np.repeat(lo[hot] - to[:-1], n[hot]) + np.arange(to[-1])
+                row = np.repeat(doc[hot], n[hot])
                 w1, w2 = window_hashes(raw, start + off[row], width)
-                ids = b.column("id")
-                few = np.flatnonzero(~many)
-                data = [w1[at[i] : at[i + 1]].tobytes() for i in few.tolist()]
-                yield _windows(ONE_RUN, gram[few], np.zeros(len(few), np.int64), ids.take(pa.array(doc[few])), lo[few], data)
-                each = np.flatnonzero(np.repeat(many, n))
-                order = each[np.lexsort((start[each], ids.to_numpy()[row[each]], w2[each], w1[each]))]
-                new = np.r_[True, (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])] if len(order) else np.zeros(0, bool)
+                order = np.lexsort((start, ids.to_numpy()[row], w2, w1))
+                new = np.r_[True, (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])]
                 for kind, which in ((ONE_WINDOW, order[new]), (AGAIN, order[~new])):
-                    yield _windows(kind, w1[which].view(np.int64), w2[which].view(np.int64), ids.take(pa.array(row[which])), start[which], [None] * len(which))
+                    one, none = np.ones(len(which), np.int64), np.zeros(len(which), np.int64)
+                    keys = w1[which].view(np.int64), w2[which].view(np.int64)
+                    yield _windows(kind, *keys, ids.take(pa.array(row[which])), start[which], one, none, [None] * len(which))
 
-    return marked.mapInArrow(run, "kind int, k1 long, k2 long, id long, start long, hashes binary")
+    return marked.mapInArrow(run, "kind int, k1 long, k2 long, id long, start long, run int, at int, bytes binary")
 
 
 ONE_RUN, ONE_WINDOW, AGAIN = 0, 1, 2
 
 
-def _windows(kind: int, k1: np.ndarray, k2: np.ndarray, ids: pa.Array, start: np.ndarray, hashes: list) -> pa.RecordBatch:
+def _windows(kind: int, k1, k2, ids: pa.Array, start, run, at, data: list) -> pa.RecordBatch:
+    short = [pa.array(x.astype(np.int32)) for x in (run, at)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(k1), kind, np.int32)), pa.array(k1), pa.array(k2), ids, pa.array(start), pa.array(hashes, pa.binary())],
-        names=["kind", "k1", "k2", "id", "start", "hashes"],
+        [pa.array(np.full(len(k1), kind, np.int32)), pa.array(k1), pa.array(k2), ids, pa.array(start), *short, pa.array(data, pa.binary())],
+        names=["kind", "k1", "k2", "id", "start", "run", "at", "bytes"],
     )
 
 
-def _compared(groups: DataFrame) -> DataFrame:
+def expand(group: np.ndarray, ids: np.ndarray, start: np.ndarray, run: np.ndarray, at: np.ndarray, data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window start) of the windows that a run of the same group holds earlier.
+
+    All runs of a group share the gram at their anchors. The suffixes from the anchors on are sorted, with the common
+    prefix of neighbours. Then the intervals of equal suffixes are extended backwards breadth-first, a byte a level, by the
+    byte before the string that each row holds so far: at level n the string has n bytes before the anchor, and rows whose
+    suffixes share width - n bytes and whose last n bytes before the anchor are equal hold the same window. Levels stop where
+    no window lies further left. Bytes are compared themselves.
+    """
+    size = np.array([len(d) for d in data], np.int64)
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    begin = np.r_[0, np.cumsum(size)][:-1] + at
+    most = width - GRAM
+    right_size, left_size = np.minimum(size - at, width), np.minimum(at, most)
+    column = np.arange(width)
+    right = np.where(column < right_size[:, None], flat[np.minimum(begin[:, None] + column, len(flat) - 1)], 0).astype(np.uint8)
+    words = np.zeros((len(size), -(-width // 8) * 8), np.uint8)
+    words[:, :width] = right
+    keys = words.view(">u8").astype(U64)
+    order = np.lexsort((right_size, *keys.T[::-1], group))
+    r, r_size = right[order], right_size[order]
+    same = r[1:] == r[:-1]
+    common = np.where(same.all(1), width, same.argmin(1))
+    common = np.minimum(common, np.minimum(r_size[1:], r_size[:-1]))
+    common[group[order][1:] != group[order][:-1]] = -1
+    column = np.arange(1, most + 1)
+    left = np.where(column <= left_size[:, None], flat[np.maximum(begin[:, None] - column, 0)], 0)[order].astype(np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[np.lexsort((start[order] + at[order], ids[order]))] = np.arange(len(order))
+    by_place = np.argsort(rank)
+    anchor, last = at[order], run[order]
+    before = np.zeros(len(order), np.int64)
+    rows, starts = [], []
+    for n in range(most + 1):
+        if n:
+            before = np.unique(before * 256 + left[:, n - 1], return_inverse=True)[1]
+        suffix = np.r_[0, np.cumsum(common < width - n)]
+        here = by_place[((anchor - n >= 0) & (anchor - n < last))[by_place]]
+        if not len(here):
+            continue
+        key = suffix[here] * (before.max() + 1) + before[here]
+        first = np.zeros(len(here), bool)
+        first[np.unique(key, return_index=True)[1]] = True
+        gone = here[~first]
+        rows.append(order[gone])
+        starts.append((start[order] + anchor - n)[gone])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(starts)) if rows else (none, none)
+
+
+def _compared(groups: DataFrame, width: int) -> DataFrame:
     """(id, start, run) of the windows that another run of their gram holds earlier; a row's `runs` has MANY at most."""
 
     def run(batches):
         for whole in batches:
             for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
                 flat = b.column("runs").flatten()
+                if not len(flat):
+                    continue
                 group = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column("runs")), dtype=np.int64))
-                ids, lo = (np.asarray(flat.field(c), dtype=np.int64) for c in ("id", "start"))
-                data = [x.as_buffer() for x in flat.field("hashes")]
-                n = np.array([len(x) // 8 for x in data], dtype=np.int64)
-                value = np.concatenate([np.frombuffer(x, U64) for x in data]) if data else np.zeros(0, U64)
-                at = np.r_[0, np.cumsum(n)]
-                start = np.repeat(lo - at[:-1], n) + np.arange(at[-1])
-                group, who = np.repeat(group, n), np.repeat(ids, n)
-                order = np.lexsort((start, who, value, group))
-                again = np.r_[False, (value[order[1:]] == value[order[:-1]]) & (group[order[1:]] == group[order[:-1]])] if len(order) else np.zeros(0, bool)
-                gone = order[again]
-                gone = gone[np.lexsort((start[gone], who[gone]))]
-                who, start = who[gone], start[gone]
-                first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (start[1:] > start[:-1] + 1)]) if len(gone) else np.zeros(0, np.int64)
-                end = np.r_[first[1:], len(gone)] - 1 if len(first) else first
+                ids, lo, n, at = (np.asarray(flat.field(c), dtype=np.int64) for c in ("id", "start", "run", "at"))
+                row, start = expand(group, ids, lo, n, at, flat.field("bytes").to_pylist(), width)
+                who = ids[row]
+                order = np.lexsort((start, who))
+                who, start = who[order], start[order]
+                first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (start[1:] > start[:-1] + 1)]) if len(who) else np.zeros(0, np.int64)
+                end = np.r_[first[1:], len(who)] - 1 if len(first) else first
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(who[first]), pa.array(start[first]), pa.array((start[end] - start[first] + 1).astype(np.int32))], names=["id", "start", "run"]
                 )
@@ -258,23 +313,23 @@ def drop_repeats(
     repeated = stored(gram_counts(known, width).filter("n > 1").select("gram"))
     found = stored(anchor_rows(known, width).join(repeated, "gram"))
     discard(repeated)
-    firsts = stored(found.groupBy("gram", "content").agg(F.min(F.struct("id", "start", "run")).alias("f")))
+    firsts = stored(found.groupBy("gram", "content").agg(F.min(F.struct("id", "start", "run", "at")).alias("f")))
     later = stored(found.join(firsts, ["gram", "content"]).filter("id <> f.id OR start <> f.start").select("id", "start", "run"))
     discard(found)
     # Runs with an equal gram and unequal content may share some windows: those of the first of each content are compared.
     several = stored(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") > MANY).alias("many")))
     open_runs = stored(
-        firsts.join(several, "gram").groupBy("f.id").agg(F.collect_list(F.struct("f.start", "f.run", "gram", "many")).alias("open"))
+        firsts.join(several, "gram").groupBy("f.id").agg(F.collect_list(F.struct("f.start", "f.run", "f.at", "gram", "many")).alias("open"))
     )
     discard(firsts)
     windows = stored(_open_windows(known.join(open_runs, "id"), width))
-    few = windows.filter(F.col("kind") == ONE_RUN).groupBy("k1").agg(F.collect_list(F.struct("id", "start", "hashes")).alias("runs"))
+    few = windows.filter(F.col("kind") == ONE_RUN).groupBy("k1").agg(F.collect_list(F.struct("id", "start", "run", "at", "bytes")).alias("runs"))
     each = windows.filter(F.col("kind") == ONE_WINDOW).select("k1", "k2", "id", "start")
     first = stored(each.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     one = F.lit(1).alias("run")
     met = each.join(first, ["k1", "k2"]).filter("id <> f.id OR start <> f.start").select("id", "start", one)
     again = windows.filter(F.col("kind") == AGAIN).select("id", "start", one)
-    gone = later.union(_compared(few.select("runs"))).union(met).union(again).groupBy("id").agg(F.collect_list(F.struct("start", "run")).alias("gone"))
+    gone = later.union(_compared(few.select("runs"), width)).union(met).union(again).groupBy("id").agg(F.collect_list(F.struct("start", "run")).alias("gone"))
     gone = stored(gone)
     discard(windows)
     return _cut(rows.join(gone, "id", "left"), width, id_col, with_text)
