@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tempora import queries
@@ -12,7 +13,7 @@ TABLES = Path("/root/testdata/sf0.001")
 
 def _rows(frame):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return repr(float(v)) if hasattr(v, "__float__") and not isinstance(v, (str, bool)) else str(v)
 
