@@ -55,7 +55,7 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Joint maximum-likelihood estimate of the similarity from which registers are greater, less and equal, and whether
     `percent` may still be reached. The sizes of the sets are known."""
     up, down = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
@@ -63,7 +63,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     top = np.minimum(u / v, v / u)
-    j = np.linspace(0, 1, 201)[None, :] * top
+    j = np.linspace(0, 1, steps + 1)[None, :] * top
 
     def p(x):
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
@@ -221,7 +221,8 @@ def _inside(members: DataFrame, percent: int) -> DataFrame:
 
 def _bridges(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members (key, rep, cluster, n, regs, size, minor) in unlike clusters that the registers
-    leave possible; the most alike member of each other cluster is tried, which is enough to join the clusters."""
+    leave possible, one to each other cluster, which is enough to join the clusters. The most alike member whose size
+    allows a link is tried first, and where it is not possible all others are."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x, y = g[g["asks"]], g[~g["asks"]]
@@ -229,22 +230,33 @@ def _bridges(members: DataFrame, percent: int) -> DataFrame:
         if not len(x) or not len(y):
             return none
         rx, ry = (np.stack([np.frombuffer(r, np.uint16) for r in s["regs"]]) for s in (x, y))
-        code, where = np.unique(y["cluster"].to_numpy(), return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(where[order]) > 0])
-        pairs = []
+        n_x, n_y = x["n"].to_numpy(float), y["n"].to_numpy(float)
+        code, where = np.unique(np.r_[x["cluster"].to_numpy(), y["cluster"].to_numpy()], return_inverse=True)
+        of_x, of_y = where[: len(x)], where[len(x) :]
+        some = []
         for i in range(len(x)):
-            same = (ry[order] == rx[i]).sum(1)
-            top = np.maximum.reduceat(same, at)
-            for c in np.flatnonzero((code != x["cluster"].iloc[i]) & (2 * top > REGISTERS)):
-                lo, hi = at[c], at[c + 1] if c + 1 < len(at) else len(order)
-                pairs.append((i, order[lo + int(same[lo:hi].argmax())]))
-        if not pairs:
-            return none
-        i, j = np.array(pairs).T
-        n_x, n_y = x["n"].to_numpy(float)[i], y["n"].to_numpy(float)[j]
-        keep = np.concatenate([likely(rx[i[k : k + 2000]], ry[j[k : k + 2000]], n_x[k : k + 2000], n_y[k : k + 2000], percent)[1] for k in range(0, len(i), 2000)])
-        return pd.DataFrame({"a": x["rep"].to_numpy()[i[keep]], "b": y["rep"].to_numpy()[j[keep]]})
+            same = (ry == rx[i]).sum(1)
+            fit = 100 * np.minimum(n_x[i], n_y) >= percent * np.maximum(n_x[i], n_y)
+            j = np.flatnonzero(fit & (2 * same > REGISTERS) & (of_y != of_x[i]))
+            some.append((np.full(len(j), i), j, same[j]))
+        i, j, same = (np.concatenate(c) for c in zip(*some))
+        order = np.lexsort((j, -same, of_y[j], i))
+        i, j = i[order], j[order]
+        group = i * len(code) + of_y[j]
+        best = np.r_[True, group[1:] != group[:-1]][: len(i)]
+        found = []
+        for turn in (np.flatnonzero(best), np.flatnonzero(~best)):
+            if found:
+                turn = turn[~np.isin(group[turn], group[found[0]])]
+            hit = [np.zeros(0, np.int64)]
+            for at in (turn[k : k + 2000] for k in range(0, len(turn), 2000)):
+                for steps in (10, 200):  # most fall at the coarse estimate already
+                    at = at[likely(rx[i[at]], ry[j[at]], n_x[i[at]], n_y[j[at]], percent, steps)[1]] if len(at) else at
+                hit.append(at)
+            hit = np.concatenate(hit)
+            found.append(hit[np.unique(group[hit], return_index=True)[1]])
+        kept = np.concatenate(found)
+        return pd.DataFrame({"a": x["rep"].to_numpy()[i[kept]], "b": y["rep"].to_numpy()[j[kept]]})
 
     return _blocks(members).groupBy("key", "p", "q").applyInPandas(run, "a long, b long")
 

@@ -116,6 +116,15 @@ def test_near_null_ids_repeats_and_empty(spark):
     assert sorted(near_dedup.near_dedup(df).select("doc_id").collect(), key=str) == [(1,), (1,), (None,)]
 
 
+def test_bridge_to_a_group_that_grows_past_the_size_of_a_link(spark):
+    h = np.random.default_rng(1).integers(0, 2**63, 1300).astype(np.uint64)
+    sizes = [1000, 1253, 1252, 1251, 1249]
+    regs = near_dedup.sketch(np.concatenate([h[:n] for n in sizes]), np.array(sizes))
+    rows = [(7, i, min(i, 1), n, r.tobytes(), 5, i == 0) for i, (n, r) in enumerate(zip(sizes, regs))]
+    df = spark.createDataFrame(rows, "key long, rep long, cluster long, n long, regs binary, size long, minor boolean").coalesce(1)
+    assert [tuple(r) for r in near_dedup._bridges(df, 80).collect()] == [(0, 4)]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 1300).astype(np.uint64)
