@@ -33,6 +33,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, .
     Anchors depend on a window's bytes alone, so equal windows have equal grams at equal places. The content hash covers
     all bytes of the run's windows and where the anchor is in them.
     """
+    assert len(raw) < 1 << int(_BITS), "places in a slice have 23 bits"
     w = width - GRAM + 1
     n = len(raw) - width + 1
     if n <= 0:
@@ -92,11 +93,16 @@ def segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa
     for whole in batches:
         for b in slices(whole, "text"):
             raw, off = utf8(b.column("text"))
-            if len(off) == 2 and len(raw) > CHUNK_BYTES:
-                for at in range(0, len(raw) - width + 1, CHUNK_BYTES):
-                    part = raw[at : at + CHUNK_BYTES + width - 1]
-                    yield b.column("id"), part, np.array([0, len(part)]), np.array([at])
-            else:
+            long = np.diff(off) > CHUNK_BYTES
+            for i in np.flatnonzero(long):
+                text = raw[off[i] : off[i + 1]]
+                for at in range(0, len(text) - width + 1, CHUNK_BYTES):
+                    part = text[at : at + CHUNK_BYTES + width - 1]
+                    yield b.column("id").slice(i, 1), part, np.array([0, len(part)]), np.array([at])
+            if long.any():
+                b = b.filter(pa.array(~long))
+                raw, off = utf8(b.column("text"))
+            if b.num_rows:
                 yield b.column("id"), raw, off, np.zeros(len(off) - 1, np.int64)
 
 

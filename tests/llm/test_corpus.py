@@ -381,6 +381,14 @@ def test_repeated_passages(spark, odd, many, monkeypatch):
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found] == _cut(texts)
 
 
+def test_repeated_passages_of_a_text_over_8_mib_before_a_short_row(spark):
+    long = np.random.default_rng(4).integers(97, 123, 9_000_000).astype(np.uint8).tobytes().decode()
+    far = 1 << 23
+    texts = [long[:500], long, long[far + 1000 : far + 1400], "short", long[far - 200 : far + 200], long[:300]]
+    found = substring_dedup.drop_repeats(make(spark, texts).coalesce(1)).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["n_spans"]) for r in found] == [(0, 0), (500, 1), (400, 1), (0, 0), (400, 1), (300, 1)]
+
+
 def test_repeated_passages_ids(spark):
     t = "word " * 3 + "".join(chr(97 + i * i % 26) for i in range(300))
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (7, t)], "doc_id long, text string")
