@@ -221,6 +221,18 @@ def test_main_text(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_repeats_of_a_few_pages_copies_and_pages_without_a_host_stay(spark):
+    rng = random.Random(12)
+    line, quote, copy = "this line of eight plain words stands everywhere", prose(rng, 30), prose(rng, 90)
+    own = [prose(rng, 40) for _ in range(8)]
+    page = lambda *parts: "<body>" + "".join(f"<div>{x}</div>" for x in parts) + "</body>"
+    rows = [(i, "https://a.b/", page(t, quote, line) if i < 2 else page(t, line), "\n".join([t, quote] if i < 2 else [t])) for i, t in enumerate(own[:6])]
+    rows += [(i, "https://c.d/", page(copy + t), copy + t) for i, t in ((10, " first"), (11, " second"))]
+    rows += [(i, None, page(t, line), t + "\n" + line) for i, t in ((20, own[6]), (21, own[7]))]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == {r[0]: r[3] for r in rows}
+
+
 # 6 and 7
 
 
