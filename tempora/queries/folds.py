@@ -177,7 +177,15 @@ def cursor_rollup(spark, sf_dir):
 
 
 def described(spark, sf_dir):
-    """Documents' first words as the descriptions of a user's events."""
+    """Whole texts of all documents, dealt by event number, as the descriptions of a user's events."""
+    docs = read(spark, sf_dir, "documents")
+    text = F.coalesce(F.regexp_replace("text", "[^ -~]", ""), F.lit("")).alias("description")
+    i = intervals(spark, sf_dir).withColumn("_d", F.col("seq") % max(docs.count(), 1))
+    return i.join(docs.select(F.col("doc_id").alias("_d"), text), "_d", "left").fillna("", "description").select("session", "seq", "type", "start", "end", "description", "confidence")
+
+
+def first_words(spark, sf_dir):
+    """The first 60 characters of 200 documents as descriptions: what PAIRS says in SQL."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "").alias("description"))
     i = intervals(spark, sf_dir).withColumn("_d", F.col("seq") % 200)
     return i.join(d, "_d").select("session", "seq", "type", "start", "end", "description", "confidence")
@@ -193,14 +201,13 @@ def overlap_dedup(spark, sf_dir):
     return op.dedup_overlaps(described(spark, sf_dir).withColumn("in_overlap", F.col("seq") % 2 == 0), 12 * H, 0.3, ratio)
 
 
-def _two(spark, sf_dir):
-    d = described(spark, sf_dir)
+def _two(d):
     return d.filter("seq % 2 = 0"), d.filter("seq % 2 = 1")
 
 
 @query()
 def greedy_match(spark, sf_dir):
-    a, b = _two(spark, sf_dir)
+    a, b = _two(described(spark, sf_dir))
     return rounded(matching.greedy(matching.scored_pairs(a, b, 24 * H, 0.4, similarity.obershelp)), score=9)
 
 
@@ -212,7 +219,7 @@ p AS (SELECT a.session, a.type, a.seq AS b, z.seq AS e, 0.7::DOUBLE * (CASE WHEN
 
 @query(f"""WITH {PAIRS} SELECT session, type, b, e, round(score, 9) AS score FROM p WHERE score >= 0.3""")
 def match_scores(spark, sf_dir):
-    a, b = _two(spark, sf_dir)
+    a, b = _two(first_words(spark, sf_dir))
     return rounded(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio), score=9)
 
 
@@ -224,7 +231,7 @@ r AS (SELECT session, type, rn, [b] AS bs, [e] AS es, true AS keep, b, e FROM o
 SELECT session, type, b, e FROM r WHERE keep"""
 )
 def greedy_match_edit(spark, sf_dir):
-    a, b = _two(spark, sf_dir)
+    a, b = _two(first_words(spark, sf_dir))
     return matching.greedy(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio)).select("session", "type", "b", "e")
 
 

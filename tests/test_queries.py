@@ -44,3 +44,21 @@ def test_entry_without_corpus_operators():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'activity_segments' in e.queries(); assert 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
+
+
+def test_descriptions_are_whole_texts_of_all_documents(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tempora.functions.similarity import ratio
+
+    texts = [f"{'same opening words of every one of them, ' * 2}{i * 7919 % 1009} {chr(97 + i % 26) * 90}" for i in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = datetime(2026, 1, 1)
+    rows = [(i, i // 4, at + timedelta(hours=i % 4), "view", 20.0, '{"k": 1}') for i in range(200, 620)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["seq"]: r["description"] for r in queries.folds.described(spark, str(tmp_path)).collect()}
+    assert found == {i: texts[i % 300] for i in range(200, 620)}
+    scores = {(r["b"], r["e"]): r["score"] for r in queries.QUERIES["greedy_match"](spark, str(tmp_path)).collect()}
+    assert scores
+    for (b, e), score in scores.items():
+        assert abs(score - 0.7 * ratio(texts[b % 300], texts[e % 300]) - 0.3 * (1 - abs(b - e) / 48)) < 1e-8
