@@ -294,7 +294,7 @@ SELECT doc_id, blank OR length(trim(substr(text, 1, 20))) < 15 AS weak_text, lan
 )
 def enrichment_needs(spark, sf_dir):
     blank = F.col("doc_id") % 3 == 0
-    text = F.when(blank, "").otherwise(F.substring("text", 1, 20))
+    text = F.when(blank, "").otherwise(F.col("text"))
     title = F.when(F.col("lang") == "de", "").otherwise(F.col("lang"))
     return read(spark, sf_dir, "documents").select(
         "doc_id", (F.length(F.trim(text)) < 15).alias("weak_text"), (title == "").alias("no_title"), F.coalesce(F.nullif(F.when(blank, "").otherwise(F.col("source")), F.lit("")), F.col("lang")).alias("filled")

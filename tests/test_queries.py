@@ -62,3 +62,10 @@ def test_descriptions_are_whole_texts_of_all_documents(spark, tmp_path):
     assert scores
     for (b, e), score in scores.items():
         assert abs(score - 0.7 * ratio(texts[b % 300], texts[e % 300]) - 0.3 * (1 - abs(b - e) / 48)) < 1e-8
+
+
+def test_weak_text_is_judged_on_the_whole_text(spark, tmp_path):
+    rows = [(1, " " * 20 + "a text long enough", "en", "s"), (2, "short" + " " * 30, "en", "s"), (4, "a b" + " " * 18 + "c", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["weak_text"] for r in queries.QUERIES["enrichment_needs"](spark, str(tmp_path)).collect()}
+    assert found == {1: False, 2: True, 4: False}
