@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import table
 
-#: Turns in one rendered block; a longer dialogue gives further blocks, so that no row and no task grows with a dialogue.
-BLOCK_TURNS = 256
+ASSISTANT, SYSTEM, END = "<|assistant|>\n", "<|system|>\n", "<|end|>\n"
 
 
 def _hex(col: Column) -> Column:
@@ -16,6 +16,13 @@ def _hex(col: Column) -> Column:
     return F.lower(F.hex(F.encode(col, "UTF-8")))
 
 
+def escaped(col: Column, name: bool = False) -> Column:
+    """Text in which no mark can be forged: `<|` becomes `<\\|`, and one more backslash goes into what looks escaped already, so
+    that taking one out again gives the text. In names `|>` is escaped alike."""
+    col = F.regexp_replace(col, r"<(\\*)\|", r"<\\$1|")
+    return F.regexp_replace(col, r"\|(\\*)>", r"|\\$1>") if name else col
+
+
 def rotate(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -23,91 +30,93 @@ def rotate(
     role_col: str = "role",
     text_col: str = "text",
     system_role: str = "system",
-    block_turns: int = BLOCK_TURNS,
+    block_turns: int | None = None,
 ) -> DataFrame:
-    """One row per dialogue, participant and block of turns: conv_id, speaker, block, n_turns, text, mask, n_masked.
+    """One row per dialogue and participant: conv_id, speaker, block (0), at (0), n_turns, text, mask, n_masked.
 
     Seen from `speaker`, each of their turns is rendered `<|assistant|>\\n...<|end|>\\n`, each other participant's
-    `<|user name=NAME|>\\n...<|end|>\\n` and each system turn `<|system|>\\n...<|end|>\\n`. mask lists [start, end) in
-    code points of the block's text: what the speaker says, with its closing mark, which is what a model is trained on.
-    n_masked is their total length. System turns are context for every participant and nobody's perspective.
+    `<|user name=NAME|>\\n...<|end|>\\n` and each system turn `<|system|>\\n...<|end|>\\n`; texts and names are escaped(), so
+    that only turns make marks. mask lists [start, end) in code points of the text: what the speaker says, with its closing
+    mark, which is what a model is trained on. n_masked is their total length. System turns are context for every participant
+    and nobody's perspective.
 
     Null roles are a participant named `unknown`; null texts render as empty; rows with a null conv_id or turn are
     left out, as they have no place in a dialogue; repeated rows are all rendered; ties of a turn are ordered by role, then
     text, by their bytes. A dialogue with system turns alone, or an empty table, gives no row. Extra columns are ignored.
 
-    Turns are numbered within blocks that each hold a fixed range of turn numbers, so a dialogue with very many turns
-    spreads over tasks; ties beyond the range make a block longer, and one turn number is not split.
+    A rendering is one value, so it has to fit into a row. For dialogues beyond that give block_turns: a rendering then comes
+    as rows that each hold a fixed range of that many turn numbers, with their place `at` in the whole; in the order of
+    `block` their texts make up the same rendering, and their masks plus `at` the same mask.
     """
     role = F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    head = F.when(role == system_role, F.lit(SYSTEM)).otherwise(F.concat(F.lit("<|user name="), escaped(role, True), F.lit("|>\n")))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.floor(F.col(turn_col) / block_turns).alias("block"),
+        (F.floor(F.col(turn_col) / block_turns) if block_turns else F.lit(0)).cast("long").alias("block"),
         F.col(turn_col).alias("turn"),
+        _hex(role).alias("by"),
+        _hex(text).alias("as"),
         role.alias("role"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        head.alias("head"),
+        F.concat(escaped(text), F.lit(END)).alias("body"),
     ).filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    speakers = rows.filter(F.col("role") != system_role).select("conv_id", F.col("role").alias("speaker")).distinct()
-    blocks = rows.groupBy("conv_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("turn", _hex(F.col("role")).alias("by"), _hex(F.col("text")).alias("as"), "role", "text"))).alias("said")
-    )
-    # A participant's row carries the block's turns once; nothing is paired turn by turn across a dialogue.
-    seen = blocks.join(stored(speakers), "conv_id")
-    own = lambda s: s["role"] == F.col("speaker")
-    head = lambda s: F.when(own(s), F.lit("<|assistant|>\n")).when(
-        s["role"] == system_role, F.lit("<|system|>\n")
-    ).otherwise(F.concat(F.lit("<|user name="), s["role"], F.lit("|>\n")))
-    tail = "<|end|>\n"
-    parts = F.transform("said", lambda s: F.struct(own(s).alias("own"), head(s).alias("head"), F.concat(s["text"], F.lit(tail)).alias("body")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
-
-    def step(acc, p):
-        start = acc["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        return F.struct(
-            end.cast("long").alias("at"),
-            F.when(p["own"], F.concat(acc["mask"], F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))))
-            .otherwise(acc["mask"])
-            .alias("mask"),
-        )
-
-    made = seen.withColumn("parts", parts).withColumn("mask", F.aggregate("parts", zero, step)["mask"])
+    # Where a turn stands in its own speaker's rendering: all that comes before, less what their shorter heads save.
+    size, saved = F.length("head") + F.length("body"), F.length("head") - len(ASSISTANT)
+    of = lambda *by: W.partitionBy(*by).orderBy("turn", "by", "as").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("_before", F.coalesce(F.sum(size).over(of("conv_id")), F.lit(0)))
+    placed = placed.withColumn("_start", F.col("_before") - F.coalesce(F.sum(saved).over(of("conv_id", "role")), F.lit(0)) + len(ASSISTANT))
+    said = placed.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "by", "as", "role", "head", "body"))).alias("said"))
+    span = F.struct(F.col("_start").alias("start"), (F.col("_start") + F.length("body")).alias("end"))
+    own = placed.filter(F.col("role") != system_role).groupBy("conv_id", F.col("role").alias("speaker"), "block").agg(F.array_sort(F.collect_list(span)).alias("mask"))
+    if block_turns:  # a participant may say nothing in some block
+        seen = said.join(own.select("conv_id", "speaker").distinct(), "conv_id").join(own, ["conv_id", "speaker", "block"], "left")
+    else:
+        seen = said.join(own, ["conv_id", "block"])
+    parts = F.transform("said", lambda s: F.concat(F.when(s["role"] == F.col("speaker"), F.lit(ASSISTANT)).otherwise(s["head"]), s["body"]))
+    made = seen.withColumn("text", F.array_join(parts, ""))
+    before = W.partitionBy("conv_id", "speaker").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)) if block_turns else F.lit(0)
+    made = made.withColumn("at", at.cast("long"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    mask = F.transform(F.coalesce("mask", none), lambda m: F.struct((m["start"] - F.col("at")).alias("start"), (m["end"] - F.col("at")).alias("end")))
     return made.select(
         "conv_id",
         "speaker",
-        F.col("block").cast("long").alias("block"),
+        "block",
+        "at",
         F.size("said").cast("long").alias("n_turns"),
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), "").alias("text"),
-        "mask",
+        "text",
+        mask.alias("mask"),
         F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["end"] - m["start"]).alias("n_masked"),
-    )
+    ).fillna(0, ["n_masked"])
 
 
 def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mask as text `start-end,start-end`."""
-    made = rotate(table(spark, sf_dir, "conversations"))
+    made = rotate(table(spark, sf_dir, "conversations")).drop("block", "at")
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
     return made.withColumn("mask", spans)
 
 
 OP1_SQL = r"""
 WITH r AS (
-  SELECT conv_id, floor(turn / 256.0)::BIGINT AS block, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
 h AS (
-  SELECT r.conv_id, speaker, block, turn, role, text, role = speaker AS own,
+  SELECT r.conv_id, speaker, turn, role, text, role = speaker AS own,
          CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name=' || role || '|>' || chr(10) END AS head,
-         text || '<|end|>' || chr(10) AS body
+              ELSE '<|user name=' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') || '|>' || chr(10) END AS head,
+         regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|end|>' || chr(10) AS body
   FROM r JOIN p USING (conv_id)),
 o AS (
   SELECT *, row_number() OVER w AS n,
          sum(length(head) + length(body)) OVER w AS stop
-  FROM h WINDOW w AS (PARTITION BY conv_id, speaker, block ORDER BY turn, lower(hex(encode(role))), lower(hex(encode(text)))
+  FROM h WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn, lower(hex(encode(role))), lower(hex(encode(text)))
                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT conv_id, speaker, block, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
+SELECT conv_id, speaker, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
        coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY n) FILTER (WHERE own), '') AS mask,
        coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_masked
-FROM o GROUP BY conv_id, speaker, block
+FROM o GROUP BY conv_id, speaker
 """
