@@ -22,18 +22,37 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one is made only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session in one process (tests) gets a
+    temporary folder; on a cluster that is an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tempora-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tempora-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that stored() wrote in this application, once no result that reads them is needed any more."""
+    _delete(spark, {_home(spark)})
+
+
+def _delete(spark: SparkSession, folders: set[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tempora-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/tempora-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files of this plan have no reader once the table is written
     try:
@@ -45,13 +64,35 @@ def stored(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by stored() that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tempora-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+    _delete(df.sparkSession, {f for f in (name.rsplit("/", 1)[0] for name in df.inputFiles()) if "/tempora-" in f})
+
+
+#: A key with more than this share of all rows is hot, so there are at most HOT_KEYS of them.
+HOT_KEYS = 10_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "left") -> DataFrame:
+    """left joined (inner, left or left_semi) to right, which has a row per key and in column n how many rows of left have it.
+
+    right's rows for hot keys, those with more than a HOT_KEYS-th of all that it counts, are broadcast, HOT_KEYS of them at
+    most; where the other keys need a shuffle, the rows of hot ones are spread over it by their hash, which changes no result.
+    right should be a stored table.
+    """
+    seen = right.agg(F.sum(n).alias("total"), F.max(n).alias("most")).first()
+    values = [] if how == "left_semi" else [c for c in right.columns if c not in (*keys, n)]
+    columns = [*keys, *(c for c in left.columns if c not in keys)]
+    if seen["most"] is None or seen["most"] * HOT_KEYS <= seen["total"]:
+        return left.join(right.select(*keys, *values), keys, how).select(*columns, *values)
+    side = right.select(*keys, n, F.struct(F.lit(1).alias("_has"), *values).alias("_right"))
+    is_hot = F.col(n) * HOT_KEYS > seen["total"]
+    hot = F.broadcast(side.filter(is_hot).select(*keys, F.col("_right").alias("_hot")))
+    rest = side.filter(~is_hot).select(*keys, F.lit(0).cast("long").alias("_salt"), F.col("_right").alias("_cold"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(HOT_KEYS)))
+    both = left.join(hot, keys, "left").withColumn("_salt", salt.cast("long")).join(rest, [*keys, "_salt"], "left")
+    both = both.withColumn("_right", F.coalesce("_hot", "_cold"))
+    if how != "left":
+        both = both.filter("_right IS NOT NULL")
+    return both.select(*columns, *(F.col("_right")[c].alias(c) for c in values))
 
 
 def worker_cache(name: str) -> dict:
@@ -61,12 +102,17 @@ def worker_cache(name: str) -> dict:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a record batch so that each part holds about `limit` bytes of `column`, one row at least."""
+    """Cut a record batch so that no part holds more than `limit` bytes of `column`; a row over it is a part of its own."""
     if not batch.num_rows:
         return
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    part = np.cumsum(size) // limit
-    cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    cut, held = [0], 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > limit:
+            cut.append(i)
+            held = 0
+        held += n
+    cut.append(batch.num_rows)
     for a, b in zip(cut, cut[1:]):
         if b > a:
             yield batch.slice(a, b - a)
@@ -172,14 +218,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: str, tie: str, value: str, out: str, bits: int = 12) -> DataFrame:
+def part_sums(df: DataFrame, group: list[str], order: str, value: str, bits: int = 12) -> DataFrame:
+    """(group, _part, _sum): sums of `value` by group and leading bits of `order`, for prefix_sums()."""
+    return stored(df.groupBy(*group, F.shiftright(F.col(order), 60 - bits).alias("_part")).agg(F.sum(value).alias("_sum")))
+
+
+def prefix_sums(df: DataFrame, sums: DataFrame, group: list[str], order: str, tie: str, value: str, out: str, bits: int = 12) -> DataFrame:
     """Exclusive running sum of `value` by (group, order, tie), for a bigint `order` spread evenly over 0..2**60-1.
 
-    Rows are dealt by (group, leading bits of order), so a hot group spreads over up to 2**bits parts; the sums of the parts
-    are prefix-summed per group (at most 2**bits rows each) and joined back.
+    Rows are dealt by (group, leading bits of order), so a hot group spreads over up to 2**bits parts; the sums of the parts,
+    from part_sums(), are prefix-summed per group (at most 2**bits rows each) and joined back.
     """
     part = df.withColumn("_part", F.shiftright(F.col(order), 60 - bits))
-    sums = part.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
     running = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = stored(sums.select(*group, "_part", F.coalesce(F.sum("_sum").over(running), F.lit(0)).alias("_before")))
     inside = W.partitionBy(*group, "_part").orderBy(order, tie).rowsBetween(W.unboundedPreceding, -1)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import skew_join, stored, table
 
 #: Space and the control characters 9 to 13.
 WHITE = "[\\x20\\x09-\\x0D]"
 
 
 def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Keys that more than one row has; counts are combined before the shuffle, so a hot key is one row per task."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    """Keys that more than one row has, and how many; counts are combined before the shuffle, so a hot key is one row per task."""
+    return stored(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
 
 
 def exact_groups(
@@ -38,38 +38,48 @@ def exact_groups(
     )
     left, keys = facts, ["_length"]
     for more in ("_prefix", "_full"):  # each step reads only the rows that still share everything looked at so far
-        left = stored(left.join(_shared(left, keys), keys, "left_semi"))
+        left = stored(skew_join(left, _shared(left, keys), keys, "_n", "left_semi"))
         keys.append(more)
     groups = left.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.struct(F.col("_points"), (-F.col("_id")).alias("_neg"))).alias("_best"),
     )
-    groups = groups.filter("_n > 1").drop("_prefix")
+    groups = stored(groups.filter("_n > 1"))
     if verify_content:
+        # Only texts of surviving groups are read on: by length and prefix first, so that few others are hashed again.
+        wanted = stored(groups.groupBy("_length", "_prefix").agg(F.sum("_n").alias("_n")))
+        again = docs.select(F.col(id_col).alias("_id"), bare.alias("_bare")).select(
+            "_id", "_bare", F.length("_bare").alias("_length"), F.xxhash64(F.substring("_bare", 1, prefix_chars)).alias("_prefix")
+        )
         # Equal least and greatest content means that all of it is equal; copies are combined before the shuffle.
         content = (
-            docs.select(bare.alias("_bare"))
-            .groupBy(F.length("_bare").alias("_length"), F.sha2("_bare", 256).alias("_full"))
+            skew_join(again, wanted, ["_length", "_prefix"], "_n", "left_semi")
+            .groupBy("_length", F.sha2("_bare", 256).alias("_full"))
             .agg((F.min("_bare") == F.max("_bare")).alias("_same"))
         )
-        groups = groups.join(content, ["_length", "_full"]).filter(
-            F.when(F.col("_same"), True).otherwise(F.raise_error("different texts share length and SHA-256"))
+        groups = stored(
+            groups.join(content, ["_length", "_full"]).filter(
+                F.when(F.col("_same"), True).otherwise(F.raise_error("different texts share length and SHA-256"))
+            )
         )
-    joined = facts.join(groups, ["_length", "_full"], "left")
+    groups = groups.select("_length", "_full", "_n", F.col("_n").alias("_size"), "_best")
+    joined = skew_join(facts, groups, ["_length", "_full"], "_n")
     keep = F.coalesce(-F.col("_best._neg"), F.col("_id"))
     return joined.select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(keep == F.col("_id"), F.col("_id").isNull()).alias("kept"),
         F.col("_full").alias("text_sha256"),
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns. Rows with a null id stay."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that stay, with their columns. Rows with a null id stay, and rows that share an id stay together if
+    one of them does."""
+    groups = exact_groups(docs, id_col, text_col)
+    gone = stored(groups.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("_kept")).filter("NOT _kept").select("_gone"))
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
