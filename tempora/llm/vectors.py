@@ -1,22 +1,31 @@
-"""Near-duplicate vectors by collision counting: pairs whose projections fall into each other's windows often enough are verified."""
+"""Near-duplicate vectors by collision counting: pairs whose projections fall into each other's windows often enough are verified.
+
+Which pairs are counted at all is decided by windows too: cells of several projections make a key, and vectors that share one
+of many keys are sorted along a further projection and looked at within the query's window. Keys grow longer with the number of
+vectors, so that the pairs to count grow nearly in proportion to it, and more numerous, so that recall stays.
+"""
 
 from __future__ import annotations
 
-from math import comb, erf, sqrt
+from collections.abc import Callable, Iterator
+from math import ceil, comb, erf, exp, log, pi, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import U64, mix, skew_join, stored, table
 from .components import components
 
-#: One-dimensional projections, and vectors in a block.
-PROJECTIONS, BLOCK = 32, 1024
-#: A link is missed with this probability at the threshold itself, less above it.
-MISS = 1e-9
+#: Projections whose windows are counted, unlike vectors that a key's bucket holds on average, vectors in a compared block.
+PROJECTIONS, BUCKET, BLOCK = 48, 64, 1024
+#: Width of a key's cells, in distances at the threshold.
+CELL = 4.0
+#: A link at the threshold itself is missed with at most these probabilities by counting and by the keys, less above it.
+MISS, MISS_KEYS = 1e-6, 1e-6
+#: Projections are kept in steps of 1/16, from -8 on, for counting.
+STEP = 1 / 16
 
 
 def calibrate(cosine: float, m: int = PROJECTIONS, miss: float = MISS) -> tuple[float, int]:
@@ -40,53 +49,200 @@ def calibrate(cosine: float, m: int = PROJECTIONS, miss: float = MISS) -> tuple[
     return best[1], best[2]
 
 
-def directions(dim: int, m: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, m))
-
-
-def compare(x: pd.DataFrame, y: pd.DataFrame | None, cosine: float, width: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links between the rows of x and y (None: within x), and candidates verified. Rows come sorted by nothing in particular:
-    each projection is sorted here and the queries' windows are counted on the sorted list."""
-    a = np.stack(x["unit"].to_numpy())
-    b = a if y is None else np.stack(y["unit"].to_numpy())
-    proj = directions(a.shape[1], PROJECTIONS)
-    pa_, pb = a @ proj, b @ proj
-    count = np.zeros((len(a), len(b)), np.uint8)
-    for j in range(PROJECTIONS):
-        order = np.argsort(pb[:, j], kind="stable")
-        line = pb[order, j]
-        lo = np.searchsorted(line, pa_[:, j] - width, side="left")
-        hi = np.searchsorted(line, pa_[:, j] + width, side="right")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        count += (place[None, :] >= lo[:, None].astype(np.int32)) & (place[None, :] < hi[:, None].astype(np.int32))
-    i, j = np.nonzero(count >= least)
-    if y is None:
-        i, j = i[i < j], j[i < j]
-    dot = np.empty(len(i))
-    for at in range(0, len(i), 100_000):
-        dot[at : at + 100_000] = np.einsum("ij,ij->i", a[i[at : at + 100_000]], b[j[at : at + 100_000]])
-    ok = dot >= cosine
-    return i[ok], j[ok], np.array(len(i))
-
-
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links, so that a block of copies sends no more links than it has vectors."""
-    parent = list(range(n))
-
-    def root(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    out = []
-    for u, v in zip(i.tolist(), j.tolist()):
-        p, q = root(u), root(v)
-        if p != q:
-            parent[p] = q
-            out.append((u, v))
-    return out
+def key_plan(n: int, cosine: float) -> tuple[int, int, float]:
+    """(cells in a key, number of keys, width of a cell) for n vectors of one label.
+
+    Vectors at distance t share a cell of width w, placed at random, with probability 1 - 2 P(N < -w/t) - 2 (1 - exp(-(w/t)^2 / 2)) /
+    (sqrt(2 pi) w/t). Unrelated vectors are to share a key with BUCKET others, and linked ones one of all keys.
+    """
+    d = max(sqrt(2 - 2 * cosine), 1e-6)
+    width = CELL * d
+
+    def same(t: float) -> float:
+        r = width / t
+        return erf(r / sqrt(2)) - 2 * (1 - exp(-r * r / 2)) / (sqrt(2 * pi) * r)
+
+    cells = max(0, ceil(log(max(n, 1) / BUCKET) / -log(same(sqrt(2)))))
+    return cells, 1 if not cells else ceil(log(MISS_KEYS) / log(1 - same(d) ** cells)), width
+
+
+def directions(dim: int, m: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((dim, m))
+
+
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For links i-j between n things: the least one that each can reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(lists.flatten(), dtype=float).reshape(-1, dim)
+
+
+def entries(classes: DataFrame, cells: int, keys: int, width: float) -> DataFrame:
+    """(key, lab, rep, line): a row for each key of each class (lab, rep, dim, unit), with its projections for counting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
+                dims = b.column("dim").to_numpy()
+                for dim in np.unique(dims).tolist():
+                    part = b.filter(pa.array(dims == dim))
+                    n, unit = part.num_rows, matrix(part.column("unit"), dim)
+                    lab = part.column("lab").to_numpy().view(U64)
+                    key = mix(lab[:, None] + np.arange(1, keys + 1, dtype=U64))
+                    if cells:
+                        shift = np.random.default_rng([11, dim]).random(cells * keys)
+                        cell = np.floor(unit @ directions(dim, cells * keys, 7) / width + shift).astype(np.int64).view(U64).reshape(n, keys, cells)
+                        for k in range(cells):
+                            key = mix(key * U64(0x100000001B3) + cell[:, :, k])
+                    line = np.clip(np.rint((unit @ directions(dim, PROJECTIONS, 5) + 8) / STEP), 0, 255).astype(np.uint8)
+                    row = pa.array(np.repeat(np.arange(n), keys))
+                    lines = pa.array([r.tobytes() for r in line], pa.binary())
+                    columns = [pa.array(key.view(np.int64).ravel()), *(c.take(row) for c in (part.column("lab"), part.column("rep"), lines))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "lab", "rep", "line"])
+
+    return classes.select("lab", "rep", "dim", "unit").mapInArrow(run, "key long, lab long, rep long, line binary")
+
+
+def walk(df: DataFrame, by: list[str], step: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """step(rows, first row of each group) over whole groups of the bigint columns `by`, many small ones at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in by:
+                v = b.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+                new[0] |= not held or held[-1].column(c)[-1].as_py() != v[0]
+            first = np.flatnonzero(new)
+            if held and len(first):
+                # The last group met may go on, so what is complete ends where the batch's last group begins.
+                whole = pa.concat_batches([*held, b.slice(0, first[-1])])
+                yield from step(whole, starts(whole))
+                held = [b.slice(first[-1])]
+            elif len(first) > 1:
+                yield from step(b.slice(0, first[-1]), first[:-1])
+                held = [b.slice(first[-1])]
+            else:
+                held.append(b)
+        if held:
+            whole = pa.concat_batches(held)
+            yield from step(whole, starts(whole))
+
+    def starts(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(b.num_rows, bool)
+        new[:1] = True
+        for c in by:
+            v = b.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def in_blocks(members: DataFrame, by: list[str], block: int) -> DataFrame:
+    """members with own, p and q: groups of more than `block` rows are cut into blocks by the hash of rep, and come as pairs
+    p <= q of blocks, in which every two members meet once; own is a member's block."""
+    sizes = stored(members.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block))
+    one = members.withColumns({c: F.lit(0) for c in ("own", "p", "q")})
+    if sizes.isEmpty():
+        return one
+    rows = skew_join(members, sizes.withColumn("_parts", F.ceil(F.col("_n") / block).cast("int")), by, "_n")
+    parts = F.coalesce("_parts", F.lit(1))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumns({"p": F.least("own", "_with"), "q": F.greatest("own", "_with")}).drop("_with", "_parts")
+
+
+def collisions(rows: DataFrame, width: float, least: int) -> DataFrame:
+    """Pairs (a, b) of a key's entries that collide in at least `least` windows, as stars: what they connect, without a row for
+    each pair."""
+    reach = ceil(width / STEP) + 1
+
+    def step(b: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, b.num_rows]))
+        line = np.frombuffer(b"".join(b.column("line").to_pylist()), np.uint8).reshape(-1, PROJECTIONS)
+        order = np.lexsort((line[:, 0], group))
+        group, line = group[order], line[order].astype(np.int16)
+        lab, own = b.column("lab").to_numpy()[order], b.column("own").to_numpy()[order]
+        cross = b.column("p").to_numpy()[order] != b.column("q").to_numpy()[order]
+        place = group * 4096 + line[:, 0]
+        partners = np.searchsorted(place, place + reach, side="right") - np.arange(len(place)) - 1
+        to = np.cumsum(partners)
+        a, z = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(place):
+            end = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + 500_000, side="right")))
+            n = partners[at:end]
+            i = np.repeat(np.arange(at, end), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (lab[i] == lab[j]) & (~cross[i] | (own[i] != own[j]))
+            i, j = i[ok], j[ok]
+            hit = (np.abs(line[i] - line[j]) <= reach).sum(1) >= least
+            a.append(i[hit])
+            z.append(j[hit])
+            at = end
+        label = stars(np.concatenate(a), np.concatenate(z), len(place))
+        some = np.flatnonzero(label != np.arange(len(label)))
+        rep = b.column("rep").take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([rep.take(pa.array(some)), rep.take(pa.array(label[some]))], names=["a", "b"])
+
+    return walk(in_blocks(rows, ["key"], 2 * BLOCK), ["key", "p", "q"], step, "a long, b long")
+
+
+def verified(members: DataFrame, cosine: float) -> DataFrame:
+    """Links between members (cluster, lab, rep, h1, h2, dim, copies, unit) of a cluster, by their vectors: rows of a member's
+    number of links (lab, h1, h2, n) and of stars (a, b) that connect what is linked."""
+
+    def step(b: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.diff(np.r_[first, b.num_rows])
+        own, copies, dims = b.column("own").to_numpy(), b.column("copies").to_numpy(), b.column("dim").to_numpy()
+        cross = b.column("p").to_numpy() != b.column("q").to_numpy()
+        offset = np.r_[0, np.cumsum(dims)]
+        flat = np.asarray(b.column("unit").flatten(), dtype=float)
+        some: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at, n in zip(first[size > 32].tolist(), size[size > 32].tolist()):
+            unit = flat[offset[at] : offset[at + n]].reshape(n, -1)
+            i, j = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
+            some.append((at + i, at + j))
+        for dim in np.unique(dims[first[size <= 32]]).tolist():
+            mine = (size <= 32) & (dims[first] == dim)
+            rank = np.arange(b.num_rows) - np.repeat(first, size)
+            rows = np.flatnonzero(np.repeat(mine, size))
+            n = (np.repeat(size, size) - rank - 1)[rows]
+            i = np.repeat(rows, n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            for k in range(0, len(i), 100_000):
+                x, y = (flat[offset[v[k : k + 100_000]][:, None] + np.arange(dim)] for v in (i, j))
+                ok = np.einsum("ij,ij->i", x, y) >= cosine
+                some.append((i[k : k + 100_000][ok], j[k : k + 100_000][ok]))
+        i, j = (np.concatenate(c) for c in zip(*some))
+        ok = ~cross[i] | (own[i] != own[j])
+        i, j = i[ok], j[ok]
+        links = np.bincount(i, weights=copies[j], minlength=b.num_rows) + np.bincount(j, weights=copies[i], minlength=b.num_rows)
+        label = stars(i, j, b.num_rows)
+        has, tree = pa.array(np.flatnonzero(links)), np.flatnonzero(label != np.arange(b.num_rows))
+        none = pa.nulls(len(tree), pa.int64())
+        rep = b.column("rep")
+        counted = [*(b.column(c).take(has) for c in ("lab", "h1", "h2")), pa.array(links[has].astype(np.int64)), pa.nulls(len(has), pa.int64()), pa.nulls(len(has), pa.int64())]
+        names = ["lab", "h1", "h2", "n", "a", "b"]
+        yield pa.RecordBatch.from_arrays(counted, names=names)
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(tree), pa.int32()), none, rep.take(pa.array(tree)), rep.take(pa.array(label[tree]))], names=names)
+
+    rows = in_blocks(members, ["lab", "cluster"], BLOCK)
+    return walk(rows, ["lab", "cluster", "p", "q"], step, "lab long, h1 long, h2 int, n long, a long, b long")
 
 
 def near_vectors(
@@ -96,10 +252,11 @@ def near_vectors(
 
     Null vectors, empty and zero vectors, those with null or non-finite components and those without a label link with
     nothing; vectors of different dimension do not link. Equal vectors of a label are compared once, as a class with a
-    multiplicity. Ids are integers; rows that repeat an id are rows of their own in n_links. Extra columns are ignored.
+    multiplicity. Ids are integers; rows that repeat an id are rows of their own in n_links and share a component, the least
+    id that any of their vectors reaches. Extra columns are ignored.
 
-    Classes of a label are numbered along one projection and cut into blocks of BLOCK; every pair of blocks of a label that
-    may hold a link is one group of bounded size, in which windows on sorted projections are counted.
+    Pairs that share a key and collide in enough windows make clusters; within a cluster all vectors are compared, in blocks.
+    So a dense group costs no row for a pair, and no size of key or cluster loses one.
     """
     width, least = calibrate(cosine)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
@@ -111,73 +268,35 @@ def near_vectors(
         & F.forall("v", lambda x: F.coalesce((F.abs(x) < limit) & ~F.isnan(x), F.lit(False)))
         & F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False)))
     )
-    rows = rows.withColumn("label", F.when(F.coalesce(valid, F.lit(False)), F.col("label")))
-    digest = [F.xxhash64("v"), F.hash("v")]
-    keyed = stored(rows.withColumn("h1", digest[0]).withColumn("h2", digest[1]))
-    classes = keyed.filter("label IS NOT NULL").groupBy("label", "v").agg(
+    rows = rows.withColumn("lab", F.when(F.coalesce(valid, F.lit(False)), F.xxhash64("label", F.size("v"))))
+    keyed = stored(rows.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")}))
+    classes = keyed.filter("lab IS NOT NULL").groupBy("lab", "v").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("h1").alias("h1"), F.first("h2").alias("h2")
     )
     big = F.array_max(F.transform("v", F.abs))
     scaled = F.transform("v", lambda x: x / F.col("big"))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda t, x: t + x * x))
-    line = F.aggregate(
-        F.zip_with("unit", F.transform(F.sequence(F.lit(1), F.size("unit")), lambda i: F.sin(i * i * 1.7 + i)), lambda x, d: x * d), F.lit(0.0), lambda t, x: t + x
-    )
     classes = stored(
         classes.withColumn("big", big).withColumn("s", scaled).withColumn("norm", norm)
-        .select("label", "rep", "copies", "h1", "h2", F.size("v").alias("dim"), F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
-        .withColumn("line", line)
-    )
-    # Blocks along the line: a fine histogram of a label's line is summed up, so that no label is sorted in one task.
-    cells = classes.groupBy("label", "dim", F.floor(F.col("line") * 256).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("label", "dim").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
-    start = stored(cells.withColumn("before", F.coalesce(before, F.lit(0))))
-    salt = F.pmod(F.xxhash64("rep"), F.greatest(F.col("n"), F.lit(1)))
-    placed = stored(
-        classes.withColumn("cell", F.floor(F.col("line") * 256)).join(start, ["label", "dim", "cell"])
-        .withColumn("block", F.floor((F.col("before") + salt) / BLOCK))
-        .select("label", "dim", "block", "rep", "copies", "unit", "line")
-    )
-    blocks = stored(placed.groupBy("label", "dim", "block").agg(F.min("line").alias("low"), F.max("line").alias("high")))
-    p, q = (blocks.select("label", "dim", F.col("block").alias(s), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")) for s in "pq")
-    # Along the line linked vectors are no further apart than their distance times the direction's length.
-    reach = F.lit(sqrt(2 - 2 * cosine) + 1e-9) * F.sqrt(F.col("dim"))
-    pairs = p.join(q, ["label", "dim"]).filter((F.col("p") <= F.col("q")) & (F.greatest("low_p", "low_q") - F.least("high_p", "high_q") <= reach))
-    sides = pairs.select("label", "dim", F.col("p").alias("block"), "p", "q").unionByName(
-        pairs.filter("p < q").select("label", "dim", F.col("q").alias("block"), "p", "q")
+        .select("lab", "rep", "copies", "h1", "h2", F.size("v").alias("dim"), F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
     )
-    work = placed.drop("line").join(sides, ["label", "dim", "block"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p, q = g["p"].iloc[0], g["q"].iloc[0]
-        x = g[g["block"] == p].reset_index(drop=True)
-        y = None if p == q else g[g["block"] == q].reset_index(drop=True)
-        i, j, _ = compare(x, y, cosine, width, least)
-        n = len(x)
-        both = x if y is None else pd.concat([x, y], ignore_index=True)
-        j = j if y is None else j + n
-        rep, copies = both["rep"].to_numpy(), both["copies"].to_numpy()
-        links = np.bincount(i, weights=copies[j], minlength=len(both)) + np.bincount(j, weights=copies[i], minlength=len(both))
-        some = np.flatnonzero(links)
-        tree = np.array(_forest(i, j, len(both)), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame(
-            {
-                "a": np.r_[rep[some], rep[tree[:, 0]]],
-                "b": np.r_[np.full(len(some), -1), rep[tree[:, 1]]],
-                "n": np.r_[links[some].astype(np.int64), np.zeros(len(tree), np.int64)],
-                "tree": np.r_[np.zeros(len(some), bool), np.ones(len(tree), bool)],
-            }
-        )
-
-    found = stored(work.groupBy("label", "dim", "p", "q").applyInPandas(run, "a long, b long, n long, tree boolean"))
-    counts = found.filter("NOT tree").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    # Every class's row count joins by its representative's own class key, as a representative may carry an id twice.
-    joined = components(found.filter("tree").select("a", "b")).withColumnRenamed("node", "rep")
+    most = classes.groupBy("lab").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    spread = entries(classes, *key_plan(most, cosine))
+    near = stored(collisions(spread, width, least).distinct())
+    clusters = components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    found = stored(verified(classes.join(clusters, "rep"), cosine))
+    links = found.filter("a IS NOT NULL").select("a", "b")
+    again = stored(keyed.filter("lab IS NOT NULL").groupBy("id").agg(F.count_distinct("lab", "h1", "h2").alias("n")).filter("n > 1").select("id"))
+    if not again.isEmpty():
+        reps = keyed.join(again, "id", "left_semi").join(classes.select("lab", "h1", "h2", "rep"), ["lab", "h1", "h2"]).select("id", "rep")
+        links = links.union(reps.join(reps.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b"))
+    counts = found.filter("a IS NULL").groupBy("lab", "h1", "h2").agg(F.sum("n").alias("n"))
+    joined = components(links).select(F.col("node").alias("rep"), "component")
     known = stored(
-        classes.select("label", "h1", "h2", "dim", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
-        .select("label", "h1", "h2", "dim", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+        classes.select("lab", "h1", "h2", "rep", "copies").join(counts, ["lab", "h1", "h2"], "left").join(joined, "rep", "left")
+        .select("lab", "h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     )
-    out = keyed.withColumn("dim", F.size("v")).drop("v").join(known, ["label", "h1", "h2", "dim"], "left")
+    out = skew_join(keyed.select("id", "lab", "h1", "h2"), known, ["lab", "h1", "h2"], "copies")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col),

@@ -223,7 +223,7 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_recall_of_the_collision_count():
+def test_recall_of_the_collision_count_and_of_the_keys():
     width, least = vectors.calibrate(0.93)
     rng = np.random.default_rng(0)
     a = rng.standard_normal((2000, 64))
@@ -232,8 +232,32 @@ def test_recall_of_the_collision_count():
     d -= (d * a).sum(1, keepdims=True) * a
     d /= np.linalg.norm(d, axis=1, keepdims=True)
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * d
-    hits = (np.abs((a - b) @ vectors.directions(64, vectors.PROJECTIONS)) <= width).sum(1)
+    hits = (np.abs((a - b) @ vectors.directions(64, vectors.PROJECTIONS, 5)) <= width).sum(1)
     assert (hits >= least).mean() == 1.0
+    for n in (1000, 50_000):
+        cells, keys, cell = vectors.key_plan(n, 0.93)
+        shift = rng.random(cells * keys)
+        x, y = (np.floor(v @ vectors.directions(64, cells * keys, 7) / cell + shift).reshape(-1, keys, cells) for v in (a, b))
+        assert (x == y).all(2).any(1).mean() == 1.0
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_vectors_of_dense_groups_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((3, 24))
+    rows = [(i, (centre[i % 3] + 0.25 * rng.standard_normal(24)).tolist(), "x") for i in range(150)] + [(i, rng.standard_normal(24).tolist(), "x") for i in range(150, 500)]
+    rows += [(7, rows[1][1], "x"), (600, rows[0][1], "x"), (600, rows[200][1], "x"), (601, rows[300][1], "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    lab = np.array([x for _, _, x in rows])
+    hit = (unit @ unit.T >= 0.93) & (lab[:, None] == lab[None, :])
+    np.fill_diagonal(hit, False)
+    ids = [i for i, _, _ in rows]
+    component = _reach(700, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(hit))])
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect())
+    assert found == sorted((i, int(hit[k].sum()), component[i], component[i] == i) for k, i in enumerate(ids))
 
 
 # 5
