@@ -7,7 +7,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, stored, table
+from .common import part_sums, prefix_sums, stored, table
 
 #: Each round of the bisection cuts the interval into so many parts; ROUNDS rounds leave an interval of PARTS**-ROUNDS.
 PARTS, ROUNDS = 32, 4
@@ -95,7 +95,8 @@ def temperature_mix(
         F.xxhash64(text_col).alias("_tie"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"),
     ).filter("_n > 0")
-    totals = stored(rows.groupBy("_source").agg(F.sum("_n").alias("total")))
+    sums = part_sums(rows, ["_source"], "_order", "_n")  # the only pass over the rows before they are placed
+    totals = stored(sums.groupBy("_source").agg(F.sum("_sum").alias("total")))
     given = budget if budget is not None else totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     a = exponent(totals, given, max_repeat, target_entropy)
     power = F.exp(F.lit(a) * F.log("total"))
@@ -105,7 +106,7 @@ def temperature_mix(
         totals.select("_source", F.col("total").alias("_total"), weight.alias("_weight"), F.floor(weight * F.lit(float(given))).cast("long").alias("_budget"))
     )
     n_blocks = max(1, ceil(given / block_tokens))
-    placed = prefix_sums(rows, ["_source"], "_order", "_tie", "_n", "_start").join(shares, "_source")
+    placed = prefix_sums(rows, sums, ["_source"], "_order", "_tie", "_n", "_start").join(shares, "_source")
     copies = F.when(F.col("_start") < F.col("_budget"), F.ceil((F.col("_budget") - F.col("_start")) / F.col("_total"))).otherwise(0).cast("int")
     taken = placed.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     at = F.col("_copy").cast("long") * F.col("_total") + F.col("_start")
@@ -121,8 +122,10 @@ def temperature_mix(
 
 def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed so that no source is repeated more than twice; weight at nine digits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    made = temperature_mix(docs, max_repeat=2.0)
+    docs = table(spark, sf_dir, "documents")
+    # Words are counted once; a digest stands for the text, which only orders rows that repeat an id.
+    narrow = stored(docs.select("doc_id", "source", word_count().alias("words"), F.xxhash64("text").alias("text")))
+    made = temperature_mix(narrow, F.col("words"), max_repeat=2.0)
     return made.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), F.col("copy").cast("long").alias("copy"), "block", "place")
 
 
