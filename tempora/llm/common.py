@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,45 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: s
     return both.select(*columns, *(F.col("_right")[c].alias(c) for c in values))
 
 
+def walk(df: DataFrame, by: list[str], step: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """step(rows, first row of each group) over whole groups of the bigint columns `by`, many small ones at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for c in by:
+                v = b.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+                new[0] |= not held or held[-1].column(c)[-1].as_py() != v[0]
+            first = np.flatnonzero(new)
+            if held and len(first):
+                # The last group met may go on, so what is complete ends where the batch's last group begins.
+                whole = pa.concat_batches([*held, b.slice(0, first[-1])])
+                yield from step(whole, starts(whole))
+                held = [b.slice(first[-1])]
+            elif len(first) > 1:
+                yield from step(b.slice(0, first[-1]), first[:-1])
+                held = [b.slice(first[-1])]
+            else:
+                held.append(b)
+        if held:
+            whole = pa.concat_batches(held)
+            yield from step(whole, starts(whole))
+
+    def starts(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(b.num_rows, bool)
+        new[:1] = True
+        for c in by:
+            v = b.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across tasks."""
     home = sys.modules.setdefault("_tempora_worker", types.ModuleType("_tempora_worker"))

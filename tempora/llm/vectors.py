@@ -7,7 +7,7 @@ vectors, so that the pairs to count grow nearly in proportion to it, and more nu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import ceil, comb, erf, exp, log, pi, sqrt
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, skew_join, stored, table
+from .common import U64, mix, skew_join, stored, table, walk
 from .components import components
 
 #: Projections whose windows are counted, unlike vectors that a key's bucket holds on average, vectors in a compared block.
@@ -114,45 +114,6 @@ def entries(classes: DataFrame, cells: int, keys: int, width: float) -> DataFram
     return classes.select("lab", "rep", "dim", "unit").mapInArrow(run, "key long, lab long, rep long, line binary")
 
 
-def walk(df: DataFrame, by: list[str], step: Callable[[pa.RecordBatch, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """step(rows, first row of each group) over whole groups of the bigint columns `by`, many small ones at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = np.zeros(b.num_rows, bool)
-            for c in by:
-                v = b.column(c).to_numpy()
-                new[1:] |= v[1:] != v[:-1]
-                new[0] |= not held or held[-1].column(c)[-1].as_py() != v[0]
-            first = np.flatnonzero(new)
-            if held and len(first):
-                # The last group met may go on, so what is complete ends where the batch's last group begins.
-                whole = pa.concat_batches([*held, b.slice(0, first[-1])])
-                yield from step(whole, starts(whole))
-                held = [b.slice(first[-1])]
-            elif len(first) > 1:
-                yield from step(b.slice(0, first[-1]), first[:-1])
-                held = [b.slice(first[-1])]
-            else:
-                held.append(b)
-        if held:
-            whole = pa.concat_batches(held)
-            yield from step(whole, starts(whole))
-
-    def starts(b: pa.RecordBatch) -> np.ndarray:
-        new = np.zeros(b.num_rows, bool)
-        new[:1] = True
-        for c in by:
-            v = b.column(c).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(new)
-
-    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
-
-
 def in_blocks(members: DataFrame, by: list[str], block: int) -> DataFrame:
     """members with own, p and q: groups of more than `block` rows are cut into blocks by the hash of rep, and come as pairs
     p <= q of blocks, in which every two members meet once; own is a member's block."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -291,6 +292,90 @@ def test_repeats_of_a_few_pages_copies_and_pages_without_a_host_stay(spark):
     assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == {r[0]: r[3] for r in rows}
 
 
+@pytest.mark.parametrize("bad", ["<a ", "<a b=\"", "<a b='\"", "<", "<div><p", "</x", "<!-- ", "<svg", "<div class=ad><b>", "<nav></b>", "&#", "<p title=\"a>b", "<script>"])
+def test_broken_markup_takes_linear_time(bad):
+    page = bad * (1_000_000 // len(bad))
+    begin = time.perf_counter()
+    html.blocks(page)
+    assert time.perf_counter() - begin < 8  # 0.1 to 2 s on a free core
+
+
+def test_markup_that_does_not_end():
+    text = lambda page: [t for _, _, t in html.blocks(page)]
+    assert text('<p>a<p title="x>b<p>c') == ["a", "b", "c"]
+    assert text("<p>a < b &amp; 1<2</p><p>c<a hre") == ["a < b & 1<2", "c"]
+    assert text("<p title='a>b'>c</p><!-- d") == ["c"]
+
+
+def test_suffix_array_against_sorting():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 60, 300):
+        text = rng.integers(0, 3, n).astype(np.uint64)
+        ends = np.unique(np.r_[rng.integers(1, n + 1, 3), n])
+        end = {i: int(ends[ends > i][0]) for i in range(n)}
+        order, common = html.suffix_array(text, ends)
+        tails = [text[i : end[i]].tolist() for i in order]
+        assert tails == sorted(tails) and sorted(order.tolist()) == list(range(n))
+        for k in range(1, n):
+            x, y = tails[k - 1], tails[k]
+            assert common[k] == next((m for m in range(min(len(x), len(y))) if x[m] != y[m]), min(len(x), len(y)))
+
+
+def _unique_runs(pages, run=8):
+    """Words that no run of 8 tokens (an element, then its words) on more than half of a host's pages covers."""
+    out = {}
+    for host in {h for _, h, _ in pages}:
+        mine = {i: [t for tag, text in parts for t in ["<" + tag, *text.split()]] for i, h, parts in pages if h == host}
+        seen = defaultdict(set)
+        for i, t in mine.items():
+            for k in range(len(t) - run + 1):
+                seen[tuple(t[k : k + run])].add(i)
+        for i, t in mine.items():
+            gone = set()
+            for k in range(len(t) - run + 1):
+                if len(seen[tuple(t[k : k + run])]) * 2 > len(mine) and len(seen[tuple(t[k : k + run])]) > 1:
+                    gone |= set(range(k, k + run))
+            lines, at = [], 0
+            for tag, text in next(p for j, _, p in pages if j == i):
+                words = text.split()
+                left = [w for k, w in enumerate(words, at + 1) if k not in gone]
+                lines += [" ".join(left)] if left else []
+                at += 1 + len(words)
+            out[i] = "\n".join(lines)
+    return out
+
+
+@pytest.mark.parametrize("size", [150, 1 << 20])
+def test_index_against_brute_force(spark, size, monkeypatch):
+    monkeypatch.setattr(html, "STREAM_TOKENS", size)
+    rng = random.Random(21)
+    lines = [prose(rng, n) for n in (6, 8, 12, 20, 9)]
+    pages = []
+    for i in range(60):
+        host = f"h{i % 3}.org"
+        parts = [("div", prose(rng, rng.randint(10, 40)))]
+        for k, line in enumerate(lines):
+            if rng.random() < (0.9, 0.8, 0.45, 0.6, 0.3)[k]:
+                parts.insert(rng.randint(0, len(parts)), (rng.choice(["div", "p"]), line))
+        pages.append((i, host, parts))
+    rows = [(i, f"https://{h}/{i}", "<body>" + "".join(f"<{t}>{x}</{t}>" for t, x in parts) + "</body>") for i, h, parts in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == _unique_runs(pages)
+
+
+def test_prose_outside_an_article_stays_where_no_other_page_repeats_it(spark):
+    rng = random.Random(14)
+    article, lead, promo = [[prose(rng, 50) for _ in range(2)] for _ in range(3)]
+    rows = []
+    for i in range(2):
+        rows.append((i, "https://a.b/", f"<nav>{promo[0]}</nav><div>{lead[i]}</div><article><p>{article[i]}</p></article><div>{promo[0]}</div><div>short</div>"))
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")
+    found = sorted((r["page_id"], r["text"]) for r in html.main_text(df).collect())
+    assert found == sorted((i, lead[i] + "\n" + article[i]) for i in (0, 0, 1))
+    seen = {(r["kind"], r["covered"]): r["n"] for r in html.decisions(df).collect()}
+    assert seen == {(html.ARTICLE, False): 3, (html.UNDECIDED, False): 3, (html.UNDECIDED, True): 3, (html.BOILERPLATE, True): 6}
+
+
 # 6 and 7
 
 
