@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, add_by_row, discard, mix, shingles_of, slices, stored, table, utf8, words_of
+from .common import U64, add_by_row, discard, mix, shingles_of, skew_join, slices, stored, table, utf8, words_of
 from .components import components
 
 #: Registers (a power of two), registers in a band, base of the exponential spacing, offset that makes registers unsigned.
 REGISTERS, BAND, BASE, OFFSET = 128, 4, 1.001, 8192
 #: At similarity 0.8 a band of 4 agrees with probability 0.41, so 32 bands miss a pair with probability 5e-8.
+#: At similarity 0.8 a register is equal with probability 0.8 or so; 64 or fewer of 128 are with probability 1e-13.
+LEAST_EQUAL = REGISTERS // 2
 #: A pair is dropped before verification only where the threshold is this many nats less likely than the estimate.
 NATS = 16.0
 
@@ -237,7 +239,7 @@ def _bridges(members: DataFrame, percent: int) -> DataFrame:
         for i in range(len(x)):
             same = (ry == rx[i]).sum(1)
             fit = 100 * np.minimum(n_x[i], n_y) >= percent * np.maximum(n_x[i], n_y)
-            j = np.flatnonzero(fit & (2 * same > REGISTERS) & (of_y != of_x[i]))
+            j = np.flatnonzero(fit & (same > LEAST_EQUAL) & (of_y != of_x[i]))
             some.append((np.full(len(j), i), j, same[j]))
         i, j, same = (np.concatenate(c) for c in zip(*some))
         order = np.lexsort((j, -same, of_y[j], i))
@@ -283,20 +285,25 @@ def near_components(
 
     A document's set holds its distinct k-word shingles (A-Z as a-z, words split at white space); with fewer words the
     whole sequence is one shingle; null and empty texts and those without words have an empty set and no link. Rows with
-    equal sets are one class. Within a bucket of equal band keys, members are first paired with the bucket's least and
+    equal sets are one class, named by its least id. Within a bucket of equal band keys, members are first paired with the bucket's least and
     greatest. Pairs that the registers leave possible span clusters; where a bucket's members are in several clusters,
     they are compared in blocks on registers, which joins clusters. Each member's likeliest pair is verified, and where a
-    cluster is not yet one component its rest is compared in blocks on full sets, so no size of bucket loses a link. Ids are integers; rows with a null id are returned with a
-    null component and kept true; repeated ids share a component.
+    cluster is not yet one component its rest is compared in blocks on full sets, so no size of bucket loses a link. Ids are
+    integers; rows with a null id are returned with a null component and kept true. Rows that repeat an id are one document
+    with several sets: it is linked where any of them is, whatever the order of the rows, and all its rows have its component,
+    each with its own n_shingles.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = stored(signatures(rows, k))
     reps = stored(
         sig.filter("n > 0 AND id IS NOT NULL")
         .groupBy("h1", "h2")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("size"))
     )
+    again = stored(sig.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
+    repeated = not again.isEmpty()
     entries = reps.select(F.explode("bands").alias("key"), "rep")
+    entries = entries.distinct() if repeated else entries
     ends = stored(entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most"))
     buckets = stored(entries.join(ends, "key"))
 
@@ -315,10 +322,16 @@ def near_components(
         clusters = _clusters(pairs)
     clusters = stored(clusters)
     wanted = clusters.select(F.col("rep").alias("id"))
-    sets = stored(full_sets(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), k))
+    texts = rows.join(wanted, "id", "left_semi")
+    sets = stored(full_sets(texts.distinct() if repeated else texts, k).filter(F.length("members") > 0))
     ended = scored.select(F.explode(F.array("a", "b")).alias("rep"), "a", "b", "estimate")
     first = ended.groupBy("rep").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = stored(_verified(first, sets, percent))
+    links = _verified(first, sets, percent)
+    if repeated:  # the classes of one document's sets belong together
+        own = stored(sig.select("id", "h1", "h2").distinct().join(again, "id", "left_semi").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct())
+        links = links.unionByName(own.join(own.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b"))
+        links = links.unionByName(own.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    links = stored(links)
     labels = _labels(links)
     known = stored(clusters.join(labels, "rep", "left").select("cluster", "rep", F.coalesce("label", "rep").alias("label")))
     mixed = _majority(known, "cluster", "label")
@@ -326,11 +339,15 @@ def near_components(
     inside = stored(_inside(rest.drop("main"), percent))
     if not inside.isEmpty():
         labels = _labels(links.unionByName(inside))
-    classes = stored(reps.join(labels, "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component")))
+    classes = stored(reps.join(labels, "rep", "left").select("h1", "h2", "size", F.coalesce("label", "rep").alias("component")))
     for old in (buckets, placed, ends, sets):
         discard(old)
-    out = sig.select("id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    out = skew_join(sig.select("id", "n", "h1", "h2"), classes, ["h1", "h2"], "size")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    if repeated:
+        whole = stored(labels.withColumnRenamed("rep", "id").join(again, "id", "left_semi"))
+        out = out.join(whole, "id", "left")
+        component = F.coalesce("label", component)
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -151,6 +151,18 @@ def test_near_null_ids_repeats_and_empty(spark):
     assert sorted(near_dedup.near_dedup(df).select("doc_id").collect(), key=str) == [(1,), (1,), (None,)]
 
 
+def test_repeated_ids_with_unlike_texts_in_any_order(spark):
+    rng = random.Random(2)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    near = lambda t: t + " tail"
+    rows = [(5, one), (5, two), (7, near(one)), (9, near(two)), (3, two), (11, three), (12, near(three)), (11, ""), (20, None)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + seed)
+        found = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_components(df, k=2).collect()}
+        assert found == {(5, 3), (7, 3), (9, 3), (3, 3), (11, 11), (12, 11), (20, 20)}
+
+
 def test_bridge_to_a_group_that_grows_past_the_size_of_a_link(spark):
     h = np.random.default_rng(1).integers(0, 2**63, 1300).astype(np.uint64)
     sizes = [1000, 1253, 1252, 1251, 1249]
