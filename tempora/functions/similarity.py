@@ -15,6 +15,15 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
 
 
+def similar(a: str | None, b: str | None, least: float) -> bool:
+    """Whether ratio() is at least `least`; bounds by length and by letters, which are never less than it, come first."""
+    a, b = (a or "").lower(), (b or "").lower()
+    if len(a) + len(b) and 2.0 * min(len(a), len(b)) / (len(a) + len(b)) < least:
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= least and m.ratio() >= least
+
+
 def obershelp(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

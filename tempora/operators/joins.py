@@ -27,29 +27,41 @@ def interval_join(left: DataFrame, right: DataFrame, width: float, strict: bool
     return a.join(b, ["session", "bin"]).filter(meet & home).select("session", "l", "r")
 
 
+def _reached(left: DataFrame, at: Column, right: DataFrame, value: Column, before: bool, backwards: bool = False) -> DataFrame:
+    """left with _seen: the greatest `value` of right's rows that start by `at` (backwards: the start of the next one from `at`
+    on); rows that start right at it count if `before`. One sort of both sides together; no row is multiplied."""
+    side = 1 if before != backwards else -1
+    l = left.select("session", at.alias("_t"), F.lit(side).alias("_side"), F.struct("*").alias("_l"), F.lit(None).cast("double").alias("_v"))
+    r = right.select("session", F.col("start").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), value.cast("double").alias("_v"))
+    order = [F.desc("_t"), F.desc("_side")] if backwards else [F.asc("_t"), F.asc("_side")]
+    past = W.partitionBy("session").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = F.last("_v", ignorenulls=True).over(past) if backwards else F.max("_v").over(past)
+    return l.unionByName(r).withColumn("_seen", seen).filter("_l IS NOT NULL").select("_l.*", "_seen")
+
+
 def without_overlap(left: DataFrame, right: DataFrame, key: str = "seq") -> DataFrame:
-    """Rows of left that overlap no interval of right (half-open)."""
-    r = right.select("session", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return left.join(r, (left["session"] == r["session"]) & (left["start"] < r["_e"]) & (r["_s"] < left["end"]), "left_anti")
+    """Rows of left that overlap no interval of right (half-open): of those that start before its end, none ends after its start."""
+    both = _reached(left, F.col("end"), right, F.col("end"), before=False)
+    return both.filter(F.coalesce(F.col("_seen") <= F.col("start"), F.lit(True))).drop("_seen")
 
 
 def within_any(left: DataFrame, at: str, right: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of left whose time lies in an interval of right, ends included (left_anti: in none)."""
-    r = right.select(F.col("session").alias("_session"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return left.join(r, (F.col("session") == F.col("_session")) & (F.col(at) >= F.col("_s")) & (F.col(at) <= F.col("_e")), how)
+    inside = F.coalesce(F.col("_seen") >= F.col(at), F.lit(False))
+    both = _reached(left, F.col(at), right, F.col("end"), before=True)
+    return both.filter(inside if how == "left_semi" else ~inside).drop("_seen")
 
 
 def not_contained(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of left that no interval of right contains."""
-    r = right.select(F.col("session").alias("_session"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return left.join(r, (F.col("session") == F.col("_session")) & (F.col("_s") <= F.col("start")) & (F.col("_e") >= F.col("end")), "left_anti")
+    both = _reached(left, F.col("start"), right, F.col("end"), before=True)
+    return both.filter(~F.coalesce(F.col("_seen") >= F.col("end"), F.lit(False))).drop("_seen")
 
 
 def followed(left: DataFrame, right: DataFrame, within: float) -> DataFrame:
     """Rows of left after whose end a row of right starts within the open interval (0, within)."""
-    r = right.select(F.col("session").alias("_session"), F.col("start").alias("_s"))
-    gap = F.col("_s") - F.col("end")
-    return left.join(r, (F.col("session") == F.col("_session")) & (gap > 0) & (gap < within), "left_semi")
+    both = _reached(left, F.col("end"), right, F.col("start"), before=False, backwards=True)
+    return both.filter(F.col("_seen") - F.col("end") < within).drop("_seen")
 
 
 def backward_asof(left: DataFrame, at: str, right: DataFrame, right_at: str, value: str) -> DataFrame:
@@ -75,52 +87,59 @@ def nearest_neighbours(left: DataFrame, at: str, trajectory: DataFrame, toleranc
         "session", F.col("ts").alias("_t"), F.lit(0).alias("_side"), "seq", F.struct("ts", "x", "y", F.col("_ok").alias("ok"), "seq").alias("_d")
     )
     q = left.select("session", F.col(at).alias("_t"), F.lit(-1).alias("_side"), "seq", F.lit(None).cast(t.schema["_d"].dataType).alias("_d"), F.struct("*").alias("_l"))
-    w = ordered("_t", "_side", "seq")
+    # Looking ahead is looking back in the opposite order: a frame from the start of a session grows by a row at a time.
+    w = W.partitionBy("session").orderBy("_t", "_side", "seq").rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy("session").orderBy(F.desc("_t"), F.desc("_side"), F.desc("seq"))
+    ahead = back.rowsBetween(W.unboundedPreceding, -1)
     both = q.unionByName(t.withColumn("_l", F.lit(None).cast(q.schema["_l"].dataType)))
-    before = F.last("_d", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    ahead = w.rowsBetween(1, W.unboundedFollowing)
-    one = F.first("_d", ignorenulls=True).over(ahead)
-    # The row after the next one: carried along by the rows of the trajectory themselves.
-    second = F.first(F.when(F.col("_side") == 0, F.col("_next")), ignorenulls=True).over(ahead)
-    nxt = F.lead("_d").over(W.partitionBy("session", "_side").orderBy("_t", "seq"))
-    both = both.withColumn("_next", F.when(F.col("_side") == 0, F.struct(nxt.alias("d"))))
-    both = both.withColumn("_c", F.array(before, one, second["d"])).filter("_side = -1")
+    # A trajectory's row carries the one after it along.
+    both = both.withColumn("_next", F.when(F.col("_side") == 0, F.struct("_d", F.last("_d", ignorenulls=True).over(ahead).alias("_then"))))
+    both = both.withColumn("_two", F.last("_next", ignorenulls=True).over(ahead))
+    both = both.withColumn("_c", F.array(F.last("_d", ignorenulls=True).over(w), F.col("_two._d"), F.col("_two._then"))).filter("_side = -1")
     near = F.filter("_c", lambda d: d.isNotNull() & d["ok"] & (F.abs(d["ts"] - F.col("_t")) < tolerance))
     best = F.array_min(F.transform(near, lambda d: F.struct(F.abs(d["ts"] - F.col("_t")).alias("gap"), d["ts"].alias("ts"), d["seq"].alias("seq"), d["x"].alias("x"), d["y"].alias("y"))))
     return both.withColumn("_b", best).select("_l.*", F.col("_b.x").alias("px"), F.col("_b.y").alias("py"))
 
 
 def nearest_detected(left: DataFrame, at: str, trajectory: DataFrame, tolerance: float) -> DataFrame:
-    """left with px, py of the nearest detected row of all, nearer than the tolerance (strict), ties to the earlier row."""
-    t = trajectory.filter("detected").select(F.col("session").alias("_session"), F.col("ts").alias("_t"), F.col("seq").alias("_q"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    gap = F.abs(F.col("_t") - F.col(at))
-    hit = left.join(t, (F.col("session") == F.col("_session")) & (F.col("_t") > F.col(at) - tolerance) & (F.col("_t") < F.col(at) + tolerance))
-    best = hit.groupBy("session", "seq").agg(F.min_by(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")), F.struct(gap, "_t", "_q")).alias("_b"))
-    return left.join(best, ["session", "seq"], "left").select(left["*"], F.col("_b.x").alias("px"), F.col("_b.y").alias("py"))
-
-
-def mean_inside(left: DataFrame, trajectory: DataFrame, valid: Column) -> DataFrame:
-    """left with px, py averaged over the valid rows in [start, end)."""
-    t = trajectory.filter(valid).select(F.col("session").alias("_session"), F.col("ts").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    hit = left.join(t, (F.col("session") == F.col("_session")) & (F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("end")))
+    """left with px, py of the nearest detected row of all, nearer than the tolerance (strict), ties to the earlier row: the last
+    one up to the time and the first one from it on, by one sort each way."""
+    place = F.struct("x", "y")
+    t = trajectory.filter("detected").groupBy("session", F.col("ts").alias("_t")).agg(F.min_by(place, "seq").alias("_p"))
+    t = t.select("session", "_t", F.lit(0).alias("_side"), F.struct(F.col("_t").alias("ts"), "_p").alias("_d"))
+    q = left.select("session", F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(t.schema["_d"].dataType).alias("_d"), F.struct("*").alias("_l"))
+    both = q.unionByName(t.withColumn("_l", F.lit(None).cast(q.schema["_l"].dataType)))
+    seen = lambda *order: F.last("_d", ignorenulls=True).over(W.partitionBy("session").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    both = both.withColumn("_c", F.array(seen("_t", "_side"), seen(F.desc("_t"), "_side"))).filter("_side = 1")
+    gap = lambda d: F.abs(d["ts"] - F.col("_t"))
+    near = F.filter("_c", lambda d: d.isNotNull() & (gap(d) < tolerance))
+    best = F.array_min(F.transform(near, lambda d: F.struct(gap(d).alias("gap"), d["ts"].alias("ts"), d["_p"].alias("p"))))["p"]
+    return both.withColumn("_b", best).select("_l.*", F.col("_b.x").alias("px"), F.col("_b.y").alias("py"))
+
+
+def mean_inside(left: DataFrame, trajectory: DataFrame, valid: Column, width: float = 10_000.0) -> DataFrame:
+    """left with px, py averaged over the valid rows in [start, end). Both sides are dealt by (session, time bin of `width`), and
+    a bin's sums are added up."""
+    t = trajectory.filter(valid).select("session", F.floor(F.col("ts") / width).cast("long").alias("bin"), F.col("ts").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    spans = binned(left.filter(F.col("end") > F.col("start")).select("session", "seq", F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e", width)
+    hit = spans.join(t, ["session", "bin"]).filter((F.col("_t") >= F.col("_s")) & (F.col("_t") < F.col("_e")))
     mean = hit.groupBy("session", "seq").agg(F.avg("_x").alias("px"), F.avg("_y").alias("py"))
     return left.join(mean, ["session", "seq"], "left").select(left["*"], "px", "py")
 
 
-def cursor_positions(events: DataFrame, trajectory: DataFrame, valid: Column, tolerance: float, point: list[str], mean: list[str]) -> DataFrame:
+def cursor_positions(events: DataFrame, trajectory: DataFrame, valid: Column, tolerance: float, point: list[str], mean: list[str], width: float = 10_000.0) -> DataFrame:
     """px, py by kind of event: nearest at the start for `point` types, mean inside for `mean` types, null for others."""
     near = nearest_neighbours(events.filter(F.col("type").isin(point)), "start", trajectory, tolerance, valid)
-    inside = mean_inside(events.filter(F.col("type").isin(mean)), trajectory, valid)
+    inside = mean_inside(events.filter(F.col("type").isin(mean)), trajectory, valid, width)
     none = F.lit(None).cast("double")
     rest = events.filter(~F.col("type").isin(*point, *mean)).withColumns({"px": none, "py": none})
     return near.unionByName(inside).unionByName(rest)
 
 
-def first_overlap(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
-    """left with the value of the first row of right, in its order, that overlaps it."""
-    r = right.select(F.col("session").alias("_session"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("seq").alias("_q"), F.col(value).alias("_v"))
-    hit = left.join(r, (F.col("session") == F.col("_session")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")))
-    best = hit.groupBy("session", "seq").agg(F.min_by("_v", F.struct("_s", "_q")).alias(value))
+def first_overlap(left: DataFrame, right: DataFrame, value: str, width: float = 10_000.0) -> DataFrame:
+    """left with the value of the first row of right, in its order, that overlaps it; found by time bins of `width`."""
+    hit = interval_join(left.select("session", "seq", "start", "end"), right.select("session", "seq", "start", "end", value), width)
+    best = hit.groupBy("session", F.col("l.seq").alias("seq")).agg(F.min_by(F.col("r")[value], F.struct("r.start", "r.seq")).alias(value))
     return left.join(best, ["session", "seq"], "left")
 
 

@@ -4,71 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .folds import fold
+from .windows import islands, ordered, overlap_islands
 
 
 def scored_pairs(baseline: DataFrame, found: DataFrame, tolerance: float, threshold: float, similarity: Callable[[Column, Column], Column]) -> DataFrame:
     """Pairs of one session and type that overlap within the tolerance and score at least the threshold.
 
     score = 0.7 similarity + 0.3 closeness, closeness falling from 1 to 0 over twice the tolerance between middles.
-    Inputs: session, seq, type, start, end (already the start where missing), description.
+    Inputs: session, seq, type, start, end (already the start where missing), description. Both sides are first cut together at
+    gaps over the tolerance, which no pair bridges: pairs are sought within such islands, and greedy() matches within them.
     """
-    side = lambda d, s: d.select("session", "type", F.col("seq").alias(s), F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end"), F.col("description").alias(f"{s}_text"))
-    b, e = side(baseline, "b"), side(found, "e")
+    rows = lambda d, s: d.select("session", "type", "seq", "start", "end", "description", F.lit(s).alias("side"))
+    both = overlap_islands(rows(baseline, "b").unionByName(rows(found, "e")), tolerance, "start", "end", ["start", "seq", "side"], by=["session", "type"])
+    side = lambda s: both.filter(F.col("side") == s).select("session", "type", "island", F.col("seq").alias(s), F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end"), F.col("description").alias(f"{s}_text"))
+    b, e = side("b"), side("e")
     near = (F.col("b_start") <= F.col("e_end") + tolerance) & (F.col("e_start") <= F.col("b_end") + tolerance)
     middle = F.abs((F.col("b_start") + F.col("b_end")) / 2 - (F.col("e_start") + F.col("e_end")) / 2)
     close = F.greatest(F.lit(0.0), 1.0 - middle / (2 * tolerance))
-    pairs = b.join(e, ["session", "type"]).filter(near)
+    pairs = b.join(e, ["session", "type", "island"]).filter(near)
     score = 0.7 * similarity(F.col("b_text"), F.col("e_text")) + 0.3 * close
-    return pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("session", "type", "b", "e", "score")
+    return pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("session", "type", "island", "b", "e", "score")
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
-    """1:1 matches by falling score, ties by baseline, then found order. Types never meet, so each is a fold of its own."""
+    """1:1 matches of scored_pairs() by falling score, ties by baseline, then found order. Islands never meet, so each is a fold
+    of its own."""
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
+    def step(g: dict[str, np.ndarray]) -> list[tuple]:
         b, e, keep = set(), set(), []
-        for i, (p, q) in enumerate(zip(g["b"], g["e"])):
-            if p not in b and q not in e:
-                b.add(p)
-                e.add(q)
-                keep.append(i)
-        return g.iloc[keep][["session", "type", "b", "e", "score"]]
+        for r in zip(g["session"], g["type"], g["b"], g["e"], g["score"]):
+            if r[2] not in b and r[3] not in e:
+                b.add(r[2])
+                e.add(r[3])
+                keep.append(r)
+        return keep
 
     rows = pairs.withColumn("_rank", -F.col("score"))
-    return fold(rows, ["session", "type"], ["_rank", "b", "e"], step, "session long, type string, b long, e long, score double")
+    return fold(rows, ["session", "type", "island"], ["_rank", "b", "e"], step, "session long, type string, b long, e long, score double")
 
 
 def match_by_time(reference: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
     """Two passes over (session, seq, type, start): each reference in time order takes the closest free row of its type at
-    most `tolerance` away, then the rest take any type. Ties go to the lowest seq. A fold over a session's compact rows."""
-    names = ["session", "ref", "hit", "same_type"]
+    most `tolerance` away, then the rest take any type. Ties go to the lowest seq. No match bridges a gap over the tolerance,
+    so sessions are cut there, and a reference looks only at the rows around it."""
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        refs = [r for r in g.itertuples(index=False) if r.side == 0]
-        cand = [r for r in g.itertuples(index=False) if r.side == 1]
+    def step(g: dict[str, np.ndarray]) -> list[tuple]:
+        refs, cand = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+        start, seq, kind = g["start"], g["seq"], g["type"]
+        at = start[cand]
         used: set = set()
         out: dict = {}
         for same in (True, False):
             for r in refs:
-                if r.seq in out:
+                if r in out:
                     continue
+                lo, hi = np.searchsorted(at, start[r] - tolerance, "left"), np.searchsorted(at, start[r] + tolerance, "right")
                 best = min(
-                    ((abs(c.start - r.start), c.seq) for c in cand if c.seq not in used and abs(c.start - r.start) <= tolerance and (not same or c.type == r.type)),
+                    ((abs(start[c] - start[r]), seq[c], c) for c in cand[max(lo - 1, 0) : hi + 1] if c not in used and abs(start[c] - start[r]) <= tolerance and (not same or kind[c] == kind[r])),
                     default=None,
                 )
                 if best:
-                    used.add(best[1])
-                    out[r.seq] = (r.session, r.seq, best[1], same)
-        return pd.DataFrame(list(out.values()), columns=names)
+                    used.add(best[2])
+                    out[r] = (g["session"][0], seq[r], best[1], same)
+        return list(out.values())
 
     both = reference.select("session", "seq", "type", "start", F.lit(0).alias("side")).unionByName(found.select("session", "seq", "type", "start", F.lit(1).alias("side")))
-    return fold(both, ["session"], ["start", "seq"], step, "session long, ref long, hit long, same_type boolean")
+    order = ["start", "seq"]
+    rows = islands(both, F.col("start") - F.lag("start").over(ordered(*order)) > tolerance, order)
+    return fold(rows, ["session", "island"], order, step, "session long, ref long, hit long, same_type boolean")
 
 
 def ratios(matched: Column, baseline: Column, found: Column) -> dict[str, Column]:

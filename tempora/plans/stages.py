@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import EVENT_TYPES, MOMENT_PRIORITY, Behaviour, Change, Merge, Moments, Triage
 from ..functions import expr
-from ..functions.similarity import ratio
+from ..functions.similarity import similar
 from ..operators import folds, joins, windows
 from ..operators.windows import ordered
 
@@ -121,7 +121,7 @@ def shifted(found: DataFrame, offset: str, types: tuple = EVENT_TYPES, fallback:
 def merged(found: DataFrame, c: Merge = Merge()) -> DataFrame:
     """Events of all sources without duplicates, in the kept list's order."""
     columns = ["session", "seq", "type", "start", "end", "description", "confidence"]
-    out = folds.dedup_events(found.select(*columns), c.tolerance_ms, c.similarity, ratio)
+    out = folds.dedup_events(found.select(*columns), c.tolerance_ms, c.similarity, similar)
     return out.withColumn("position", F.row_number().over(W.partitionBy("session").orderBy("slot_start", "slot_seq")))
 
 

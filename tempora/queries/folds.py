@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..functions.similarity import ratio
+from ..functions.similarity import similar
 from ..operators import folds as op
 from ..operators import matching
 from ..functions import similarity
@@ -193,12 +193,12 @@ def first_words(spark, sf_dir):
 
 @query()
 def fuzzy_dedup(spark, sf_dir):
-    return op.dedup_events(described(spark, sf_dir), 12 * H, 0.3, ratio)
+    return op.dedup_events(described(spark, sf_dir), 12 * H, 0.3, similar)
 
 
 @query()
 def overlap_dedup(spark, sf_dir):
-    return op.dedup_overlaps(described(spark, sf_dir).withColumn("in_overlap", F.col("seq") % 2 == 0), 12 * H, 0.3, ratio)
+    return op.dedup_overlaps(described(spark, sf_dir).withColumn("in_overlap", F.col("seq") % 2 == 0), 12 * H, 0.3, similar)
 
 
 def _two(d):
@@ -220,7 +220,7 @@ p AS (SELECT a.session, a.type, a.seq AS b, z.seq AS e, 0.7::DOUBLE * (CASE WHEN
 @query(f"""WITH {PAIRS} SELECT session, type, b, e, round(score, 9) AS score FROM p WHERE score >= 0.3""")
 def match_scores(spark, sf_dir):
     a, b = _two(first_words(spark, sf_dir))
-    return rounded(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio), score=9)
+    return rounded(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio), score=9).drop("island")
 
 
 @query(

@@ -47,7 +47,7 @@ def overlap_pairs(spark, sf_dir):
 def first_overlap(spark, sf_dir):
     i = intervals(spark, sf_dir)
     right = of(i, "click", "error").withColumn("category", F.col("type"))
-    return op.first_overlap(of(i, "view"), right, "category").select("session", "seq", "category")
+    return op.first_overlap(of(i, "view"), right, "category", 6 * H).select("session", "seq", "category")
 
 
 @query(f"""WITH {E} SELECT session, seq FROM e a WHERE type = 'view' AND EXISTS (SELECT 1 FROM e b WHERE b.type = 'purchase' AND a.session = b.session AND b.ts - a.ts > 0 AND b.ts - a.ts < {24 * H})""")
@@ -103,7 +103,7 @@ def nearest_full(spark, sf_dir):
 SELECT q.session, q.seq, round(px, 6) AS px, round(py, 6) AS py FROM i q LEFT JOIN j USING (session, seq) WHERE q.type = 'error'"""
 )
 def mean_inside(spark, sf_dir):
-    found = op.mean_inside(of(intervals(spark, sf_dir), "error"), timeline(spark, sf_dir), expr.valid())
+    found = op.mean_inside(of(intervals(spark, sf_dir), "error"), timeline(spark, sf_dir), expr.valid(), 6 * H)
     return rounded(found.select("session", "seq", "px", "py"), px=6, py=6)
 
 
@@ -118,7 +118,7 @@ FROM i LEFT JOIN n USING (session, seq) LEFT JOIN m USING (session, seq)"""
 )
 def cursor_positions(spark, sf_dir):
     i, t = intervals(spark, sf_dir).drop("x", "y", "confidence"), timeline(spark, sf_dir)
-    found = op.cursor_positions(i, t, expr.valid(), 6 * H, ["click", "view"], ["error"])
+    found = op.cursor_positions(i, t, expr.valid(), 6 * H, ["click", "view"], ["error"], 6 * H)
     return rounded(found.select("session", "seq", "type", "px", "py"), px=6, py=6)
 
 

@@ -49,9 +49,72 @@ def test_interpolation(spark):
     assert (r["x"], r["confidence"]) == (7.0, 0.0)
 
 
-def test_smoothing_is_in_place():
-    x, _ = folds.smooth_values(np.array([0.0, 6, 0, 6, 0]), np.zeros(5), np.ones(5, bool), 3, 50)
-    assert np.round(x, 3).tolist() == [0, 2, 2.667, 2.889, 0]
+def test_smoothing_is_in_place(spark):
+    t = trajectory(spark, [(i, x, 0, 1.0, True) for i, x in enumerate([0.0, 6, 0, 6, 0])])
+    assert [round(r["x"], 3) for r in folds.smooth(t, 3, 50).orderBy("ts").collect()] == [0, 2, 2.667, 2.889, 0]
+
+
+def _walks(n=400, seed=0):
+    """Random walks of two sessions with pauses, jumps, gaps and invalid rows: (session, ts, seq, x, y, confidence, detected)."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for session in (1, 2):
+        t = x = y = 0.0
+        for i in range(n):
+            t += float(rng.choice([50, 100, 400, 7000], p=[0.5, 0.3, 0.18, 0.02]))
+            step = rng.choice([0.0, 0.6, 3.0, 9.0, 80.0], p=[0.3, 0.25, 0.2, 0.15, 0.1])
+            x, y = x + float(step * rng.standard_normal()), y + float(step * rng.standard_normal())
+            rows.append((session, t, i, x, y, float(rng.choice([0.0, 0.5, 0.9])), bool(rng.random() < 0.9)))
+    return rows
+
+
+WALK = "session long, ts double, seq long, x double, y double, confidence double, detected boolean"
+
+
+@pytest.mark.parametrize("seed,window", [(0, 3), (1, 3), (2, 5)])
+def test_smoothing_of_walks(spark, seed, window):
+    rows, half, want = _walks(seed=seed), window // 2, []
+    for s in (1, 2):
+        mine = [list(r) for r in rows if r[0] == s]
+        ok = [r[6] or r[5] > 0 for r in mine]
+        for i in range(half, len(mine) - half):
+            if ok[i]:
+                bend = [abs(mine[i][k] - mine[i - 1][k]) + abs(mine[i + 1][k] - mine[i][k]) for k in (3, 4)]
+                if np.hypot(*bend) <= 12.0:
+                    use = [j for j in range(i - half, i + half + 1) if ok[j]]
+                    mine[i][3], mine[i][4] = (float(np.mean([mine[j][k] for j in use])) for k in (3, 4))
+        want += [(s, r[2], round(r[3], 6), round(r[4], 6)) for r in mine]
+    found = folds.smooth(spark.createDataFrame(rows, WALK), window, 12.0).collect()
+    assert sorted((r["session"], r["seq"], round(r["x"], 6), round(r["y"], 6)) for r in found) == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_click_candidates_of_walks(spark, seed):
+    rows, want = _walks(seed=seed), []
+    for s in (1, 2):
+        p = [r for r in rows if r[0] == s]
+        d = lambda a, b: np.hypot(p[a][3] - p[b][3], p[a][4] - p[b][4])  # noqa: E731, B023
+        start = 1
+        while start < len(p) - 1:
+            stay = next((k for k in range(start + 1, len(p)) if d(k, start) > 5), len(p)) - 1
+            brief = p[stay][1] - p[start][1] <= 450
+            moves = d(start, start - 1) > 5 or (stay + 1 < len(p) and d(stay + 1, stay) > 5)
+            if brief and moves:
+                want.append((s, p[start][1], p[stay][1], stay - start + 1))
+            start = stay + 1 if brief and moves else start + 1
+    found = folds.clicks(spark.createDataFrame(rows, WALK), F.lit(True), 5.0, 450.0).collect()
+    assert len(want) > 20 and sorted((r["session"], r["start"], r["end"], r["n"]) for r in found) == sorted(want)
+
+
+def test_nearest_neighbours_grow_with_the_rows(spark):
+    """One session of 60,000 rows; a quadratic plan would take minutes."""
+    n = 60_000
+    t = spark.range(n).selectExpr("1L AS session", "id AS seq", "CAST(id * 10 AS double) AS ts", "CAST(id AS double) AS x", "0.0D AS y", "1.0D AS confidence", "id % 7 <> 0 AS detected")
+    at = spark.range(n).selectExpr("1L AS session", "id AS seq", "CAST(id * 10 + 4 AS double) AS at")
+    got = joins.nearest_neighbours(at, "at", t, 200, F.col("detected")).agg(F.sum("px"), F.count("px")).first()
+    # The row 4 before, else (where that is undetected) the one 6 after.
+    want = [i if i % 7 else i + 1 for i in range(n)]
+    assert tuple(got) == (float(sum(want)), n)
 
 
 def test_an_invalid_neighbour_hides_a_valid_one(spark):
@@ -72,7 +135,7 @@ def test_followed_by_is_open_at_both_ends(spark):
 def test_dedup_keeps_the_surest(spark):
     rows = [(1, i, "click", i * 100.0, i * 100.0, "press the button", c) for i, c in enumerate((0.5, 0.9, 0.7))]
     df = spark.createDataFrame(rows, "session long, seq long, type string, start double, end double, description string, confidence double")
-    assert [r["confidence"] for r in folds.dedup_events(df, 2000, 0.7, similarity.ratio).collect()] == [0.9]
+    assert [r["confidence"] for r in folds.dedup_events(df, 2000, 0.7, similarity.similar).collect()] == [0.9]
 
 
 def test_frame_dedup_is_closed(spark):
@@ -81,7 +144,7 @@ def test_frame_dedup_is_closed(spark):
 
 
 def test_greedy_match(spark):
-    pairs = spark.createDataFrame([(1, "a", 0, 5, 0.6), (1, "a", 1, 5, 0.8)], "session long, type string, b long, e long, score double")
+    pairs = spark.createDataFrame([(1, "a", 0, 0, 5, 0.6), (1, "a", 0, 1, 5, 0.8)], "session long, type string, island long, b long, e long, score double")
     assert [(r["b"], r["e"]) for r in matching.greedy(pairs).collect()] == [(1, 5)]
 
 
