@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 
@@ -112,14 +113,6 @@ EVENT_TYPES = (
 )
 
 
-def deep_merge(base: dict, over: dict) -> dict:
-    """Nested dictionaries merged, the right one winning."""
-    out = dict(base)
-    for k, v in over.items():
-        out[k] = deep_merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
-    return out
-
-
 def typed(text: str):
     """An override's value: boolean, integer, float, else text."""
     if text.lower() in ("true", "false"):
@@ -147,9 +140,31 @@ def overrides(items: list[str]) -> dict:
     return out
 
 
-def resolve(*layers: dict) -> dict:
-    """Layers from the weakest to the strongest."""
-    out: dict = {}
+def leaves(layer: dict, above: tuple = ()) -> Iterator[tuple[tuple, object]]:
+    """(path, value) of what a layer sets; an empty dictionary is a value of its own."""
+    for key, value in layer.items():
+        if isinstance(value, dict) and value:
+            yield from leaves(value, (*above, key))
+        else:
+            yield (*above, key), value
+
+
+def resolve(*layers: dict | None) -> dict:
+    """Layers from the weakest to the strongest: of each path the last value counts. A value and a dictionary replace each other
+    whole; an empty dictionary changes nothing where there is one already."""
+    found: dict[tuple, object] = {}
     for layer in layers:
-        out = deep_merge(out, layer or {})
+        for path, value in leaves(layer or {}):
+            below = [p for p in found if len(p) > len(path) and p[: len(path)] == path]
+            if value == {} and below:
+                continue
+            for p in [*below, *(path[:n] for n in range(1, len(path) + 1))]:
+                found.pop(p, None)
+            found[path] = value
+    out: dict = {}
+    for path, value in found.items():
+        at = out
+        for key in path[:-1]:
+            at = at.setdefault(key, {})
+        at[path[-1]] = value
     return out

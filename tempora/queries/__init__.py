@@ -1,6 +1,7 @@
 """The timeline queries and the SQL that gives the same rows."""
 
-from . import folds, joins, projections, reports, windows
+from . import events, folds, joins, projections, reports, windows
 
-QUERIES: dict = {**windows.QUERIES, **joins.QUERIES, **folds.QUERIES, **reports.QUERIES, **projections.QUERIES}
-ORACLE: dict = {**windows.ORACLE, **joins.ORACLE, **folds.ORACLE, **reports.ORACLE, **projections.ORACLE}
+_MODULES = (windows, joins, folds, reports, projections, events)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

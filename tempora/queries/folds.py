@@ -153,17 +153,60 @@ def frame_grants(spark, sf_dir):
     return op.grant_frames(m)
 
 
-@query()
+#: From hits h (session, rn, stop, nxt: the least row that the next hit may start at) those that a scan takes.
+TAKEN = """nx AS (SELECT h.session, h.rn, min(g.rn) AS following FROM h LEFT JOIN h g ON g.session = h.session AND g.rn >= h.nxt GROUP BY ALL),
+k AS (SELECT session, min(rn) AS rn FROM h GROUP BY session UNION ALL SELECT k.session, nx.following FROM k JOIN nx USING (session, rn) WHERE nx.following IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {N},
+d AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, lead(x) OVER w - x AS ex, lead(y) OVER w - y AS ey FROM n WINDOW w AS (PARTITION BY session ORDER BY rn)),
+a AS (SELECT *, sqrt(dx ** 2 + dy ** 2) AS step, CASE WHEN sqrt(dx ** 2 + dy ** 2) > 0.5 AND sqrt(ex ** 2 + ey ** 2) > 0.5
+  THEN degrees(acos(greatest(-1, least(1, (dx * ex + dy * ey) / (sqrt(dx ** 2 + dy ** 2) * sqrt(ex ** 2 + ey ** 2)))))) >= 60 ELSE false END AS sharp FROM d),
+j AS (SELECT i.session, i.rn, max(z.rn) AS stop FROM n i JOIN n z ON z.session = i.session AND z.rn >= i.rn AND z.ts <= i.ts + {72 * H} GROUP BY ALL),
+h AS (SELECT j.session, j.rn, j.stop, j.stop AS nxt FROM j JOIN a ON a.session = j.session AND a.rn BETWEEN j.rn AND j.stop WHERE j.stop - j.rn >= 2 GROUP BY ALL
+  HAVING count(*) FILTER (WHERE a.sharp AND a.rn > j.rn AND a.rn < j.stop) >= 4 AND sum(a.step) FILTER (WHERE a.rn > j.rn) / ((max(a.ts) - min(a.ts)) / 1000) >= 0.0001),
+{TAKEN}
+SELECT k.session, min(ts) AS start, max(ts) AS "end", round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n
+FROM k JOIN h USING (session, rn) JOIN n ON n.session = k.session AND n.rn BETWEEN k.rn AND h.stop GROUP BY k.session, k.rn"""
+)
 def thrashes(spark, sf_dir):
     return rounded(op.thrashes(timeline(spark, sf_dir), expr.valid(), 72 * H, 4, 0.0001, 60.0), x=6, y=6)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {N}, c AS (SELECT session, max(rn) AS last FROM n GROUP BY session),
+m AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) > 40 AS arrives, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) > 40 AS leaves
+  FROM n WINDOW w AS (PARTITION BY session ORDER BY rn)),
+f AS (SELECT i.session, i.rn, min(z.rn) AS far FROM n i JOIN n z ON z.session = i.session AND z.rn > i.rn AND sqrt((z.x - i.x) ** 2 + (z.y - i.y) ** 2) > 40 GROUP BY ALL),
+h AS (SELECT m.session, m.rn, l.rn AS stop, l.rn + 1 AS nxt FROM m JOIN c USING (session) LEFT JOIN f USING (session, rn) JOIN m l ON l.session = m.session AND l.rn = coalesce(far - 1, c.last)
+  WHERE m.rn > 1 AND m.rn < c.last AND l.ts - m.ts <= {12 * H} AND (m.arrives OR coalesce(l.leaves, false))),
+{TAKEN}
+SELECT k.session, a.ts AS start, z.ts AS "end", a.x, a.y, h.stop - k.rn + 1 AS n
+FROM k JOIN h USING (session, rn) JOIN n a ON a.session = k.session AND a.rn = k.rn JOIN n z ON z.session = k.session AND z.rn = h.stop"""
+)
 def click_candidates(spark, sf_dir):
     return op.clicks(timeline(spark, sf_dir), expr.valid(), 40.0, 12 * H)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, {I},
+w AS (SELECT session, seq, start, "end", x AS magnitude, confidence AS uniformity, ['N', 'S', 'E', 'W'][(floor(y / 25)::INTEGER % 4) + 1] AS direction, confidence >= 0.2 AND x >= 3.0 AS good FROM i),
+b AS (SELECT *, sum(CASE WHEN good IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY start, seq) AS island
+  FROM (SELECT *, lag(good) OVER (PARTITION BY session ORDER BY start, seq) AS was FROM w)),
+g AS (SELECT * FROM b WHERE good),
+m AS (SELECT session, island, direction, row_number() OVER (PARTITION BY session, island ORDER BY count(*) DESC, min(row(start, seq))) AS place FROM g GROUP BY session, island, direction),
+r AS (SELECT session, island, min(start) AS start, arg_max("end", row(start, seq)) AS "end", avg(magnitude) AS magnitude, avg(uniformity) AS uniformity FROM g GROUP BY session, island HAVING count(*) >= 2),
+o AS (SELECT r.*, direction, CASE WHEN direction IN ('N', 'S') THEN 'scroll' ELSE 'pan' END AS category, row_number() OVER (PARTITION BY r.session ORDER BY start) AS rn
+  FROM r JOIN m ON m.session = r.session AND m.island = r.island AND place = 1),
+s AS (SELECT session, rn, start, "end", direction, category, magnitude, uniformity, 1 AS slot FROM o WHERE rn = 1
+  UNION ALL SELECT o.session, o.rn, CASE WHEN j THEN s.start ELSE o.start END, o."end", o.direction, o.category,
+  CASE WHEN NOT j THEN o.magnitude WHEN o."end" - s.start > 0 THEN (s.magnitude * (s."end" - s.start) + o.magnitude * (o."end" - o.start)) / (o."end" - s.start) ELSE s.magnitude END,
+  CASE WHEN j THEN (s.uniformity + o.uniformity) / 2 ELSE o.uniformity END, CASE WHEN j THEN s.slot ELSE s.slot + 1 END
+  FROM s JOIN o ON o.session = s.session AND o.rn = s.rn + 1, LATERAL (SELECT s.direction = o.direction AND s.category = o.category AND o.start - s."end" <= 1.5 * {6 * H} AS j))
+SELECT session, arg_max(start, rn) AS start, arg_max("end", rn) AS "end", arg_max(direction, rn) AS direction, arg_max(category, rn) AS category,
+  round(arg_max(magnitude, rn), 6) AS magnitude, round(arg_max(uniformity, rn), 6) AS uniformity FROM s GROUP BY session, slot"""
+)
 def flow_runs(spark, sf_dir):
     i = intervals(spark, sf_dir)
     names = F.element_at(F.array(*map(F.lit, ("N", "S", "E", "W"))), (F.floor(F.col("y") / 25) % 4 + 1).cast("int"))
@@ -235,7 +278,17 @@ def greedy_match_edit(spark, sf_dir):
     return matching.greedy(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio)).select("session", "type", "b", "e")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {E}, a AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, seq) AS rn FROM e WHERE seq % 2 = 0),
+l AS (SELECT a.session, a.seq AS ref, a.rn, list(c.seq ORDER BY abs(c.ts - a.ts), c.seq) FILTER (WHERE c.type = a.type) AS alike, list(c.seq ORDER BY abs(c.ts - a.ts), c.seq) FILTER (WHERE c.seq IS NOT NULL) AS any_
+  FROM a LEFT JOIN e c ON c.session = a.session AND c.seq % 2 = 1 AND abs(c.ts - a.ts) <= {24 * H} GROUP BY ALL),
+q AS (SELECT session, ref, rn AS k, coalesce(alike, []) AS among, true AS same FROM l
+  UNION ALL SELECT session, ref, rn + max(rn) OVER (PARTITION BY session), coalesce(any_, []), false FROM l),
+r AS (SELECT DISTINCT session, 0::BIGINT AS k, []::BIGINT[] AS used, []::BIGINT[] AS done, NULL::BIGINT AS ref, NULL::BIGINT AS hit, true AS same FROM q
+  UNION ALL SELECT q.session, q.k, CASE WHEN f IS NULL THEN r.used ELSE list_append(r.used, f) END, CASE WHEN f IS NULL THEN r.done ELSE list_append(r.done, q.ref) END, q.ref, f, q.same
+  FROM r JOIN q ON q.session = r.session AND q.k = r.k + 1, LATERAL (SELECT CASE WHEN NOT list_contains(r.done, q.ref) THEN list_filter(q.among, lambda z: NOT list_contains(r.used, z))[1] END AS f))
+SELECT session, ref, hit, same AS same_type FROM r WHERE hit IS NOT NULL"""
+)
 def match_by_time(spark, sf_dir):
     t = timeline(spark, sf_dir).withColumn("start", F.col("ts"))
     return matching.match_by_time(t.filter("seq % 2 = 0"), t.filter("seq % 2 = 1"), 24 * H)

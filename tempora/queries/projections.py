@@ -137,11 +137,11 @@ def summary_changes(spark, sf_dir):
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("identical"), F.count_if(F.col("before").isNotNull() & ~same).alias("changed"))
 
 
-@query(f"""WITH {E} SELECT session, seq, floor(x * 1920 / 500)::BIGINT AS px, floor(y * 1080 / 100)::BIGINT AS py, round(ts / 1000 + 12.5, 3) AS stored_s FROM e WHERE x <= 500""")
+@query(f"""WITH {E} SELECT session, seq, floor(least(x, 500) * 1920 / 500)::BIGINT AS px, floor(y * 1080 / 100)::BIGINT AS py, round(ts / 1000 + 12.5, 3) AS stored_s FROM e""")
 def native_coordinates(spark, sf_dir):
-    """Points of a view of 500 x 100 in pixels of a 1920 x 1080 video, and times on the stored clock."""
-    t = timeline(spark, sf_dir).filter("x <= 500")
-    return t.select("session", "seq", F.floor(F.col("x") * 1920 / 500).alias("px"), F.floor(F.col("y") * 1080 / 100).alias("py"), F.round(F.col("ts") / 1000 + 12.5, 3).alias("stored_s"))
+    """Points of a view of 500 x 100 in pixels of a 1920 x 1080 video, those beyond its right edge on it; times on the stored clock."""
+    t = timeline(spark, sf_dir)
+    return t.select("session", "seq", F.floor(F.least(F.col("x"), F.lit(500.0)) * 1920 / 500).alias("px"), F.floor(F.col("y") * 1080 / 100).alias("py"), F.round(F.col("ts") / 1000 + 12.5, 3).alias("stored_s"))
 
 
 @query("""SELECT session, max(n) FILTER (WHERE ok)::INTEGER AS iteration FROM (SELECT user_id AS session, event_id % 23 AS n, event_id % 2 = 0 AS ok FROM events) GROUP BY session""")

@@ -290,7 +290,7 @@ def budget_fps(spark, sf_dir):
 
 @query(
     """WITH f AS (SELECT doc_id, text, lang, source, doc_id % 3 = 0 AS blank FROM documents)
-SELECT doc_id, blank OR length(trim(substr(text, 1, 20))) < 15 AS weak_text, lang = 'de' AS no_title, coalesce(nullif(CASE WHEN blank THEN '' ELSE source END, ''), lang) AS filled FROM f"""
+SELECT doc_id, blank OR length(trim(text)) < 15 AS weak_text, lang = 'de' AS no_title, coalesce(nullif(CASE WHEN blank THEN '' ELSE source END, ''), lang) AS filled FROM f"""
 )
 def enrichment_needs(spark, sf_dir):
     blank = F.col("doc_id") % 3 == 0

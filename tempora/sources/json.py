@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +25,29 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(sessions: DataFrame, path: str) -> None:
-    sessions.write.mode("overwrite").json(path)
+    """A folder of files that each hold one JSON array, which manifest() reads again: a file's rows stand between brackets."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = "["
+        for b in batches:
+            for text in b.column("value").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([line + text])], names=["value"])
+                line = ","
+        if line == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    rows = sessions.select(F.to_json(F.struct(*sessions.columns)).alias("value"))
+    rows.mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+
+
+def settings(spark: SparkSession, path: str) -> dict:
+    """A configuration file in YAML (or JSON, which is YAML too); an empty dictionary where there is none or it is empty.
+    Layers go to config.resolve()."""
+    import yaml
+
+    if not exists(spark, path):
+        return {}
+    return yaml.safe_load("".join(r[0] for r in spark.read.text(path, wholetext=True).collect())) or {}  # one small file
 
 
 def events(spark: SparkSession, pattern: str) -> DataFrame:

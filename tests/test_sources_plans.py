@@ -63,7 +63,7 @@ def test_sessions(spark, tmp_path):
     probed = spark.createDataFrame([("a", 12.34)], "identifier string, duration_ms double")
     assert {r["identifier"]: r["screenTrackDurationMs"] for r in discovery.with_durations(s, probed).collect()} == {"a": 12.3, "b": None}
     source.write_manifest(s, f"{tmp_path}/out")
-    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    assert sorted(source.manifest(spark, f"{tmp_path}/out").collect()) == sorted(s.collect())
     answers = spark.createDataFrame([(1, '{"type": "click", "description": "x"}'), (2, "not json"), (3, '[{"type": "hover", "confidence": 0.9}, {"no": 1}]')], "r long, text string")
     found = source.parsed_responses(answers, "text", "type: string, description: string, confidence: double").collect()
     assert sorted((r["r"], r["type"], r["confidence"]) for r in found) == [(1, "click", 0.5), (3, "hover", 0.9)]
@@ -145,3 +145,23 @@ def test_stream(spark, tmp_path):
 
 def test_defaults():
     assert config.Triage().medium == 0.08 and config.Merge().similarity == 0.7 and config.Evaluation().two_pass_ms == 5000
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    rows = [(f"s{i}", f"study{i % 2}") for i in range(5)]
+    first = spark.createDataFrame(rows, "identifier string, studyId string").repartition(2)
+    source.write_manifest(first, str(tmp_path / "m"))
+    again = source.manifest(spark, str(tmp_path / "m"))
+    assert sorted((r["identifier"], r["studyId"]) for r in again.collect()) == rows
+    source.write_manifest(again.coalesce(1), str(tmp_path / "n"))
+    assert sorted(source.manifest(spark, str(tmp_path / "n")).collect()) == sorted(again.collect())
+
+
+def test_settings_and_layers(spark, tmp_path):
+    (tmp_path / "base.yaml").write_text("triage:\n  idle: 0.01\n  fps: {low: 2}\nname: base\n")
+    base = source.settings(spark, str(tmp_path / "base.yaml"))
+    assert source.settings(spark, str(tmp_path / "none.yaml")) == {}
+    found = config.resolve(base, None, {"triage": {"fps": {"low": 3, "high": 9}}}, config.overrides(["name=x"]))
+    assert found == {"triage": {"idle": 0.01, "fps": {"low": 3, "high": 9}}, "name": "x"}
+    assert config.resolve({"a": {"b": 1}}, {"a": {}}) == {"a": {"b": 1}}
+    assert config.resolve({"a": {"b": 1}}, {"a": 2}) == {"a": 2} and config.resolve({"a": 2}, {"a": {"b": 1}}) == {"a": {"b": 1}}
