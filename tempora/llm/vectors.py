@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, mix, skew_join, stored, table, walk
-from .components import components
+from .components import components, stars
 
 #: Projections whose windows are counted, unlike vectors that a key's bucket holds on average, vectors in a compared block.
 PROJECTIONS, BUCKET, BLOCK = 48, 64, 1024
@@ -70,20 +70,6 @@ def directions(dim: int, m: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, m))
 
 
-def stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For links i-j between n things: the least one that each can reach."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        after = label.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == label).all():
-            return label
-        label = after
-
-
 def matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(lists.flatten(), dtype=float).reshape(-1, dim)
 

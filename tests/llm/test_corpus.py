@@ -182,7 +182,9 @@ def test_sketches_merge_and_estimate():
     assert abs(j[0] - 700 / 1300) < 0.15 and keep[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("links_a_task", [5, 100_000])
+def test_components(spark, links_a_task, monkeypatch):
+    monkeypatch.setattr(components, "LINKS_A_TASK", links_a_task)
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     df = spark.createDataFrame(links, "a long, b long")
     found = {r["node"]: r["component"] for r in components.components(df).collect()}
