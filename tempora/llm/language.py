@@ -16,8 +16,8 @@ from .common import slices, stored, table, utf8
 BUCKETS = 1 << 16
 #: Consecutive words that share one hidden language.
 SEGMENT_WORDS = 4
-#: EM rounds, and the most languages that one document's mixture may have.
-ROUNDS, MOST_LANGUAGES = 6, 4
+#: EM ends when no share moves by more than SETTLED in a round, at ROUNDS at the latest.
+ROUNDS, SETTLED = 50, 1e-3
 SMOOTHING = 0.5
 #: Bytes of text scored at a time; each byte takes a number for every language.
 TEXT_BYTES = 1 << 20
@@ -81,8 +81,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: i
 def mixture(like: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """For segments' log likelihoods [segment, language] and their (sorted) document numbers: the chosen language and its share.
 
-    EM gives each document's proportions over all languages; nested sets of its strongest languages are then refitted, and
-    the set with the best likelihood, less half a logarithm of the segments for each language, is kept.
+    EM gives each document's proportions over all languages; nested sets of its strongest languages are then refitted, one
+    language more at a time while the likelihood, less half a logarithm of the segments for each language, rises.
     """
     n, langs = like.shape
     top = like.max(1, keepdims=True)
@@ -92,22 +92,30 @@ def mixture(like: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, n
     size = np.diff(np.r_[at, n])
 
     def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = allowed / allowed.sum(1, keepdims=True)
+        share, moving = allowed / allowed.sum(1, keepdims=True), np.ones(len(at), bool)
         for _ in range(ROUNDS):
             part = ratio * np.repeat(share, size, axis=0)
             part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-            share = np.add.reduceat(part, at, axis=0) / size[:, None]
+            new = np.add.reduceat(part, at, axis=0) / size[:, None]
+            moved = np.abs(new - share).max(1) > SETTLED
+            share = np.where(moving[:, None], new, share)  # each document stops by itself, whatever others it came with
+            moving &= moved
+            if not moving.any():
+                break
         value = np.log(np.maximum((ratio * np.repeat(share, size, axis=0)).sum(1), 1e-300)) + top[:, 0]
         return share, np.add.reduceat(value, at)
 
     full, _ = em(np.ones((len(at), langs)))
     order = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     best, score = full, np.full(len(at), -np.inf)
-    for k in range(1, min(langs, MOST_LANGUAGES) + 1):
+    going = np.ones(len(at), bool)
+    for k in range(1, langs + 1):
         share, value = em((order < k).astype(float))
         value = value - k * (1 + 0.5 * np.log(size))
-        better = value > score
-        best, score = np.where(better[:, None], share, best), np.where(better, value, score)
+        going &= value > score
+        if not going.any():
+            break
+        best, score = np.where(going[:, None], share, best), np.where(going, value, score)
     which, part = np.full(docs, -1), np.zeros(docs)
     which[own] = best.argmax(1)
     part[own] = best.max(1)
