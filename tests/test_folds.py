@@ -180,3 +180,89 @@ def test_trend(spark):
 def test_overrides():
     assert config.overrides(["a.b=1", "a.c=x", "d=true", "e="]) == {"a": {"b": 1, "c": "x"}, "d": True}
     assert config.resolve({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+
+
+EVENTS = "session long, seq long, type string, start double, end double, description string, confidence double, in_overlap boolean"
+
+
+def _events(seed, n=90):
+    rng = np.random.default_rng(seed)
+    words = "open the menu close save file button press link tab".split()
+    rows, t = [], 0.0
+    for i in range(n):
+        t += float(rng.choice([0, 300, 1500, 9000], p=[0.1, 0.5, 0.3, 0.1]))
+        text = " ".join(rng.choice(words, rng.integers(1, 6)))
+        rows.append((int(i % 2), i, str(rng.choice(["click", "hover"])), t, t + float(rng.choice([0, 200, 4000])), text, float(rng.choice([0.3, 0.6, 0.9])), bool(rng.random() < 0.4)))
+    return rows
+
+
+def _kept(rows, same):
+    out = []
+    for key in sorted({(r[0], r[2]) for r in rows}):
+        kept = []
+        for r in sorted((r for r in rows if (r[0], r[2]) == key), key=lambda r: (r[3], r[1])):
+            k = next((i for i, other in enumerate(kept) if same(r, other)), None)
+            if k is None:
+                kept.append(r)
+            elif r[6] > kept[k][6]:
+                kept[k] = r
+        out += [(r[0], r[1]) for r in kept]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_dedup_against_brute_force(spark, seed):
+    rows = _events(seed)
+    df = spark.createDataFrame(rows, EVENTS)
+    alike = lambda a, b: similarity.ratio(a[5], b[5]) >= 0.6
+    close = lambda a, b: a[3] <= b[4] + 2000 and b[3] <= a[4] + 2000 and alike(a, b)
+    found = folds.dedup_events(df.drop("in_overlap"), 2000, 0.6, similarity.similar).collect()
+    assert sorted((r["session"], r["seq"]) for r in found) == _kept(rows, close)
+    over = lambda a, b: (a[7] or b[7]) and abs(a[3] - b[3]) <= 3000 and alike(a, b)
+    found = folds.dedup_overlaps(df, 3000, 0.6, similarity.similar).collect()
+    assert sorted((r["session"], r["seq"]) for r in found) == _kept(rows, over)
+
+
+def test_similarity_bounds_change_nothing():
+    texts = [r[5] for r in _events(5)] + ["", None, "MENU"]
+    for a in texts:
+        for b in texts:
+            for least in (0.0, 0.3, 0.7, 1.0):
+                assert similarity.similar(a, b, least) == (similarity.ratio(a, b) >= least)
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_cursor_rollup_of_walks(spark, seed):
+    """Cut sessions give the spans that one pass over the whole session gives."""
+    rows, want = _walks(seed=seed), []
+    for s in (1, 2):
+        mine, spans, run = [r for r in rows if r[0] == s], [], []
+        for r in [*mine, None]:
+            if r is not None and r[6]:
+                run.append(r)
+                continue
+            i = 0
+            while i < len(run):
+                x, y, c = run[i][3], run[i][4], run[i][5]
+                j = i
+                while j + 1 < len(run) and abs(run[j + 1][3] - x) <= 1 and abs(run[j + 1][4] - y) <= 1 and abs(run[j + 1][5] - c) <= 0.1:
+                    j += 1
+                kind = "stationary"
+                if j == i:
+                    while j + 1 < len(run):
+                        dx, dy = run[j + 1][3] - x, run[j + 1][4] - y
+                        if np.hypot(dx, dy) < 1 or any(abs(dx * (y - p[4]) - (x - p[3]) * dy) / np.hypot(dx, dy) > 5 for p in run[i + 1 : j + 1]):
+                            break
+                        j += 1
+                    kind = "moved" if j > i else kind
+                span = [s, run[i][1], run[j][1], kind, x, y]
+                p = spans[-1] if spans else None
+                if p and p[3] == kind == "stationary" and abs(p[4] - x) <= 2 and abs(p[5] - y) <= 2 and span[1] - p[2] <= 5000:
+                    p[2] = span[2]
+                else:
+                    spans.append(span)
+                i = j + 1
+            run = []
+        want += [tuple(p) for p in spans]
+    found = folds.cursor_rollup(spark.createDataFrame(rows, WALK)).collect()
+    assert sorted((r["session"], r["start"], r["end"], r["kind"], r["x"], r["y"]) for r in found) == sorted(want)
