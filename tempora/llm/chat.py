@@ -11,11 +11,6 @@ from .common import table
 ASSISTANT, SYSTEM, END = "<|assistant|>\n", "<|system|>\n", "<|end|>\n"
 
 
-def _hex(col: Column) -> Column:
-    """Text as lowercase hex of its UTF-8, for an order that SQL engines share."""
-    return F.lower(F.hex(F.encode(col, "UTF-8")))
-
-
 def escaped(col: Column, name: bool = False) -> Column:
     """Text in which no mark can be forged: `<|` becomes `<\\|`, and one more backslash goes into what looks escaped already, so
     that taking one out again gives the text. In names `|>` is escaped alike."""
@@ -48,38 +43,37 @@ def rotate(
     as rows that each hold a fixed range of that many turn numbers, with their place `at` in the whole; in the order of
     `block` their texts make up the same rendering, and their masks plus `at` the same mask.
     """
-    role = F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    head = F.when(role == system_role, F.lit(SYSTEM)).otherwise(F.concat(F.lit("<|user name="), escaped(role, True), F.lit("|>\n")))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         (F.floor(F.col(turn_col) / block_turns) if block_turns else F.lit(0)).cast("long").alias("block"),
         F.col(turn_col).alias("turn"),
-        _hex(role).alias("by"),
-        _hex(text).alias("as"),
-        role.alias("role"),
-        head.alias("head"),
-        F.concat(escaped(text), F.lit(END)).alias("body"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("words"),
     ).filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    head = F.when(F.col("role") == system_role, F.lit(SYSTEM)).otherwise(F.concat(F.lit("<|user name="), escaped(F.col("role"), True), F.lit("|>\n")))
+    # One shuffle by dialogue serves both windows and the grouping.
+    dealt = rows.repartition("conv_id").withColumns({"head": head, "body": F.concat(escaped(F.col("words")), F.lit(END))})
     # Where a turn stands in its own speaker's rendering: all that comes before, less what their shorter heads save.
     size, saved = F.length("head") + F.length("body"), F.length("head") - len(ASSISTANT)
-    of = lambda *by: W.partitionBy(*by).orderBy("turn", "by", "as").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("_before", F.coalesce(F.sum(size).over(of("conv_id")), F.lit(0)))
-    placed = placed.withColumn("_start", F.col("_before") - F.coalesce(F.sum(saved).over(of("conv_id", "role")), F.lit(0)) + len(ASSISTANT))
-    said = placed.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "by", "as", "role", "head", "body"))).alias("said"))
-    span = F.struct(F.col("_start").alias("start"), (F.col("_start") + F.length("body")).alias("end"))
-    own = placed.filter(F.col("role") != system_role).groupBy("conv_id", F.col("role").alias("speaker"), "block").agg(F.array_sort(F.collect_list(span)).alias("mask"))
+    of = lambda *by: W.partitionBy(*by).orderBy("turn", "role", "words").rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("_before", F.coalesce(F.sum(size).over(of("conv_id")), F.lit(0)))
+    start = F.col("_before") - F.coalesce(F.sum(saved).over(of("conv_id", "role")), F.lit(0)) + len(ASSISTANT)
+    placed = placed.withColumn("start", start.cast("long")).withColumn("end", (F.col("start") + F.length("body")).cast("long"))
+    said = placed.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "words", "head", "body", "start", "end"))).alias("said"))
     if block_turns:  # a participant may say nothing in some block
-        seen = said.join(own.select("conv_id", "speaker").distinct(), "conv_id").join(own, ["conv_id", "speaker", "block"], "left")
+        speakers = rows.filter(F.col("role") != system_role).select("conv_id", F.col("role").alias("speaker")).distinct()
+        seen = said.join(speakers, "conv_id")
     else:
-        seen = said.join(own, ["conv_id", "block"])
+        speakers = F.array_distinct(F.transform(F.filter("said", lambda s: s["role"] != system_role), lambda s: s["role"]))
+        seen = said.withColumn("speaker", F.explode(speakers))
+    own = F.transform(F.filter("said", lambda s: s["role"] == F.col("speaker")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    seen = seen.withColumn("mask", own)
     parts = F.transform("said", lambda s: F.concat(F.when(s["role"] == F.col("speaker"), F.lit(ASSISTANT)).otherwise(s["head"]), s["body"]))
     made = seen.withColumn("text", F.array_join(parts, ""))
     before = W.partitionBy("conv_id", "speaker").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)) if block_turns else F.lit(0)
     made = made.withColumn("at", at.cast("long"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    mask = F.transform(F.coalesce("mask", none), lambda m: F.struct((m["start"] - F.col("at")).alias("start"), (m["end"] - F.col("at")).alias("end")))
+    mask = F.transform("mask", lambda m: F.struct((m["start"] - F.col("at")).alias("start"), (m["end"] - F.col("at")).alias("end")))
     return made.select(
         "conv_id",
         "speaker",
@@ -89,7 +83,7 @@ def rotate(
         "text",
         mask.alias("mask"),
         F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["end"] - m["start"]).alias("n_masked"),
-    ).fillna(0, ["n_masked"])
+    )
 
 
 def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
