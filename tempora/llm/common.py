@@ -221,6 +221,26 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value, count
 
 
+def word_array(raw: np.ndarray, off: np.ndarray, low: bool, breaks: bytes = b"") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of the rows as a string array, the word count per row, and where in raw each word starts.
+
+    Words are split at space and 9..13, or, where `breaks` are given, at space, 9 and those bytes; `low` turns A-Z to a-z.
+    """
+    gap = np.zeros(256, bool)
+    gap[[32, 9, *(breaks or range(9, 14))]] = True
+    first = np.zeros(len(raw) + 1, bool)
+    first[off] = True
+    space = gap[raw]
+    start = np.flatnonzero(~space & (np.r_[True, space[:-1]] | first[:-1]))
+    end = np.flatnonzero(~space & (np.r_[space[1:], True] | first[1:])) + 1
+    held = raw[~space]
+    if low:
+        held = np.where((held >= 65) & (held <= 90), held + 32, held).astype(np.uint8)
+    to = np.r_[0, np.cumsum(end - start)].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(to), pa.py_buffer(np.ascontiguousarray(held))])
+    return words, np.diff(np.searchsorted(start, off)), start
+
+
 def shingles_of(words: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles of each row, sorted by row and value, and their number per row.
 
