@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, exact_dedup, html, language, mixing, near_dedup, packing, substring_dedup, tokens, vectors
+from . import audit, chat, exact_dedup, html, language, mixing, near_dedup, packing, phrases, substring_dedup, tokens, vectors
 
 QUERIES = {
     "op1_chat_rotation": chat.op1_chat_rotation,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_repeated_passages": substring_dedup.op10_repeated_passages,
     "op8_temperature_mix": mixing.op8_temperature_mix,
     "op9_language_id": language.op9_language_id,
+    "op12_phrases": phrases.op12_phrases,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 ORACLE = {
@@ -23,5 +24,6 @@ ORACLE = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_near_vectors": vectors.OP4_SQL,
     "op8_temperature_mix": mixing.OP8_SQL,
+    "op12_phrases": phrases.OP12_SQL,
     "op13_filter_audit": audit.OP13_SQL,
 }
