@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, exact_dedup, html, language, mixing, near_dedup, packing, phrases, substring_dedup, tokens, vectors
+from . import audit, chat, exact_dedup, html, language, mixing, near_dedup, packing, phrases, slack, substring_dedup, tokens, vectors
 
 QUERIES = {
     "op1_chat_rotation": chat.op1_chat_rotation,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_repeated_passages": substring_dedup.op10_repeated_passages,
     "op8_temperature_mix": mixing.op8_temperature_mix,
     "op9_language_id": language.op9_language_id,
+    "op11_minimum_slack": slack.op11_minimum_slack,
     "op12_phrases": phrases.op12_phrases,
     "op13_filter_audit": audit.op13_filter_audit,
 }
