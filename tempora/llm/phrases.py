@@ -1,4 +1,7 @@
-"""Phrase mining: all n-grams of up to max_n words as counted rows, scored at their weakest cut, the best of each language."""
+"""Phrase mining: all n-grams of up to max_n words as counted rows, scored at their weakest cut, the best of each language.
+
+The rows of one length after another are dealt out by phrase and added up; what occurs often enough is scored.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ from .common import skew_join, slices, stored, table, utf8, word_array
 #: Characters that end a piece; no phrase goes over them.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text whose equal n-grams a task adds up before it sends them.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Parts in which a language's candidates are ranked before the best of each part are ranked together.
 RANK_PARTS = 16
 SPACE, NOTHING = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
@@ -50,63 +53,70 @@ def _windows(raw: np.ndarray, off: np.ndarray, max_n: int, limit: int) -> Iterat
             limit *= 2
 
 
-def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes 0.. in order of first appearance, and the key of each code."""
-    code = pa.array(key).dictionary_encode()
-    return code.indices.to_numpy().astype(np.int64), code.dictionary.to_numpy()
-
-
-def ngram_counts(docs: DataFrame, max_n: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(phrase, n): occurrences of each phrase of 1 to max_n words in each language, as rows whose phrase ends in a tab and the
-    language; a row with no words before the tab has the language's words. No word holds a tab.
+def ngram_counts(docs: DataFrame, orders: list[int], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(phrase, n): occurrences of each phrase of so many words in each language, as rows whose phrase ends in a tab and the
+    language; with order 1, a row with no words before the tab has the language's words. No word holds a tab.
 
-    Equal n-grams of a slice of text are one row, so the shuffle gets at most a row for each of them and slice.
+    Equal n-grams of a slice of text are one row, so the shuffle gets at most a row for each of them and slice. They are sent
+    in order, which the shuffle's compression makes use of.
     """
+    max_n = max(orders)
+    ends = np.zeros(256, bool)
+    ends[list(BREAKS)] = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         for whole in batches:
             for b in slices(whole, "text", SLICE_BYTES):
                 code = b.column("lang").dictionary_encode()
                 tail = pc.binary_join_element_wise(pa.array([""] * len(code.dictionary), pa.string()), code.dictionary, "\t").cast(pa.large_string())
-                of_row = code.indices.to_numpy()
+                of_row = code.indices.to_numpy().astype(np.int64)
                 for raw, off, skip in _windows(*utf8(b.column("text")), max_n, SLICE_BYTES):
                     words, count, start = word_array(raw, off, True, BREAKS)
                     if not len(words):
                         continue
                     row = np.repeat(np.arange(len(count)), count)
-                    ends = np.zeros(256, bool)
-                    ends[list(BREAKS)] = True
                     piece = np.cumsum(ends[raw])[start]
                     joined = np.r_[(row[1:] == row[:-1]) & (piece[1:] == piece[:-1]), False]  # to the word that follows
                     spelt = words.dictionary_encode()
-                    base = len(spelt.dictionary)
-                    first, key = _dense(of_row[row] * base + spelt.indices.to_numpy())
-                    own, lang = spelt.dictionary.take(pa.array(key % base)), key // base
-                    total = np.bincount(of_row[row[skip:]], minlength=len(tail))
-                    some = np.flatnonzero(total)
-                    yield pa.RecordBatch.from_arrays([tail.take(pa.array(some)), pa.array(total[some].astype(np.int64))], names=["phrase", "n"])
-                    at, gram, phrase = np.arange(len(first)), first, own
-                    for n in range(1, max_n + 1):
-                        if n > 1:
-                            on = joined[at + n - 2]
-                            at, gram = at[on], gram[on]
-                            gram, key = _dense(gram * len(own) + first[at + n - 1])
-                            before = pa.array(key // len(own))
-                            phrase, lang = pc.binary_join_element_wise(phrase.take(before), own.take(pa.array(key % len(own))), SPACE), lang[key // len(own)]
-                        seen = np.bincount(gram[at + n - 1 >= skip], minlength=len(phrase))
-                        some = np.flatnonzero(seen)
-                        for k in range(0, len(some), 100_000):
-                            part = some[k : k + 100_000]
-                            named = pc.binary_join_element_wise(phrase.take(pa.array(part)), tail.take(pa.array(lang[part])), NOTHING)
-                            yield pa.RecordBatch.from_arrays([named, pa.array(seen[part].astype(np.int64))], names=["phrase", "n"])
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in run(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1)], names=["phrase", "n"])
-
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Dealt by phrase first: the rows of a slice differ, so a second map-side table would only hold them once more.
-    return rows.mapInArrow(plain, "phrase string, n long").repartition("phrase").groupBy("phrase").agg(F.sum("n").alias("n"))
+                    order = pc.sort_indices(spelt.dictionary).to_numpy()
+                    rank, base = np.empty(len(order), np.int64), len(order)
+                    rank[order] = np.arange(base)
+                    key, first = np.unique(of_row[row] * base + rank[spelt.indices.to_numpy()], return_inverse=True)
+                    phrase = own = spelt.dictionary.take(pa.array(order[key % base]))
+                    lang = key // base
+                    if 1 in orders:
+                        total = np.bincount(of_row[row[skip:]], minlength=len(tail))
+                        yield tail, total
+                        yield _named(own, tail, lang), np.bincount(first[skip:], minlength=len(own))
+                    at, gram = np.arange(len(first)), first
+                    for n in range(2, max_n + 1):
+                        on = joined[at + n - 2]
+                        at, gram = at[on], gram[on]
+                        gram = gram * len(own) + first[at + n - 1]
+                        if n < max_n:
+                            key, gram = np.unique(gram, return_inverse=True)
+                            n_of = np.bincount(gram[at + n - 1 >= skip], minlength=len(key))
+                        else:
+                            key, n_of = np.unique(gram[at + n - 1 >= skip], return_counts=True)
+                        before = key // len(own)
+                        phrase, lang = pc.binary_join_element_wise(phrase.take(pa.array(before)), own.take(pa.array(key % len(own))), SPACE), lang[before]
+                        if n in orders:
+                            yield _named(phrase, tail, lang), n_of
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for phrase, n in run(batches):
+            some = np.flatnonzero(n)
+            for k in range(0, len(some), 50_000):
+                part = some[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([phrase.take(pa.array(part)).cast(pa.string()), pa.array(n[part].astype(np.int64))], names=["phrase", "n"])
+
+    narrow = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Dealt by phrase first: the rows of a slice differ, so a table of them before the shuffle would only hold them once more.
+    return narrow.mapInArrow(rows, "phrase string, n long").repartition("phrase").groupBy("phrase").agg(F.sum("n").alias("n"))
+
+
+def _named(phrase: pa.Array, tail: pa.Array, lang: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(phrase, tail.take(pa.array(lang)), NOTHING)
 
 
 def phrases(
@@ -123,8 +133,11 @@ def phrases(
     A null language is `und`; null and empty texts have no words; repeated rows count each time; an empty table gives no
     row. Other columns are ignored.
     """
-    counts = ngram_counts(docs, max_n, text_col, lang_col)
-    kept = stored(counts.filter((F.col("n") >= least) | F.startswith("phrase", F.lit("\t"))))
+    kept = None
+    for orders in ([1, 2], *([n] for n in range(3, max_n + 1))):  # one shuffle after another, so that disks hold one at a time
+        counts = ngram_counts(docs, orders, text_col, lang_col)
+        frequent = stored(counts.filter((F.col("n") >= least) | F.startswith("phrase", F.lit("\t"))))
+        kept = frequent if kept is None else kept.union(frequent)
     named = kept.select(
         F.expr("substring(phrase, length(substring_index(phrase, '\t', 1)) + 2)").alias("lang"), F.substring_index("phrase", "\t", 1).alias("phrase"), "n"
     )
