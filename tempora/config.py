@@ -94,6 +94,17 @@ class Moments:
     batch_frames: int = 32
 
 
+@dataclass(frozen=True)
+class Frames:
+    scan_gap_ms: float = 3000.0
+    change: float = 0.03
+    baseline_gap_ms: float = 5000.0
+    dedup_ms: float = 200.0
+    lookup_ms: float = 200.0
+    roi_size: int = 256
+    roi_padding: int = 64
+
+
 #: Lower is more important.
 MOMENT_PRIORITY = {
     "scene_change": 0,

@@ -109,6 +109,20 @@ def ideal_frames(category: Column, bw: Column, duration: Column, sample_ms: floa
     return F.when(duration <= 0, base).otherwise(F.greatest(base, many)).cast("int")
 
 
+def region_around(x: Column, y: Column, width: int, height: int, size: int) -> Column:
+    """(rx, ry, rw, rh) of a square of `size` around a place (whole pixels), moved inside the frame; around its middle where
+    the place is null. A frame smaller than the square is taken whole from its corner."""
+
+    def side(at: Column, frame: int) -> Column:
+        begin = F.when(at.isNull(), F.lit(max(0, frame // 2 - size // 2))).otherwise(F.greatest(F.lit(0), F.least(at.cast("int") - size // 2, F.lit(frame - size))))
+        return begin.cast("int")
+
+    rx, ry = side(x, width), side(y, height)
+    rw = F.when(x.isNull(), F.lit(min(size, width))).otherwise(F.least(F.lit(size), F.lit(width) - rx))
+    rh = F.when(y.isNull(), F.lit(min(size, height))).otherwise(F.least(F.lit(size), F.lit(height) - ry))
+    return F.struct(rx.alias("rx"), ry.alias("ry"), rw.alias("rw"), rh.alias("rh"))
+
+
 def budget_fps(fps: Column, duration_ms: Column, budget: Column, per_frame: int = 1548) -> Column:
     """The frame rate under a token budget, 0.5 at least."""
     frames = F.floor(fps * duration_ms / 1000.0).cast("long")

@@ -52,6 +52,13 @@ def within_any(left: DataFrame, at: str, right: DataFrame, how: str = "left_semi
     return both.filter(inside if how == "left_semi" else ~inside).drop("_seen")
 
 
+def within_one(left: DataFrame, a: str, b: str, spans: DataFrame) -> DataFrame:
+    """Rows of left with [a, b] inside one of the spans (start, end), which do not overlap in a session: of those that start by
+    a, the last one ends latest."""
+    both = _reached(left, F.col(a), spans, F.col("end"), before=True)
+    return both.filter(F.coalesce(F.col("_seen") >= F.col(b), F.lit(False))).drop("_seen")
+
+
 def not_contained(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of left that no interval of right contains."""
     both = _reached(left, F.col("start"), right, F.col("end"), before=True)

@@ -20,9 +20,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, seq, ts (ms), type, x, y, confidence, detected"""
-    return read(spark, sf_dir, "events").select(
+def timeline(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """session, seq, ts (ms), type, x, y, confidence, detected of all events, or of those given"""
+    return (read(spark, sf_dir, "events") if events is None else events).select(
         F.col("user_id").alias("session"),
         F.col("event_id").alias("seq"),
         expr.session_ms().alias("ts"),
