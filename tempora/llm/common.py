@@ -273,6 +273,14 @@ def add_by_row(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with as many underscores after it as it takes to differ from all of `taken` (upper and lower case alike)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

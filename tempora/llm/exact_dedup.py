@@ -22,8 +22,8 @@ def exact_groups(
     """Per row: id, keep_id, group_size, kept, text_sha256 of the text without white space.
 
     Null text counts as empty; empty texts are equal to one another. Of equal texts the row with the most code points,
-    then the smallest id (null last) stays. Rows that repeat an id are rows of their own group like any others: of rows
-    that tie in all of this, all have kept true where their id is keep_id. Extra columns are ignored.
+    then the smallest id (null last) stays; keep_id is null where that row has no id. Rows that repeat an id or have none are rows
+    like any others: all of a group whose id is keep_id have kept true. Extra columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.regexp_replace(text, WHITE, "")
@@ -64,22 +64,39 @@ def exact_groups(
         )
     groups = groups.select("_length", "_full", "_n", F.col("_n").alias("_size"), "_best")
     joined = skew_join(facts, groups, ["_length", "_full"], "_n")
-    keep = F.coalesce(-F.col("_best._neg"), F.col("_id"))
+    keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(-F.col("_best._neg"))
     return joined.select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(keep == F.col("_id"), F.col("_id").isNull()).alias("kept"),
+        keep.eqNullSafe(F.col("_id")).alias("kept"),
         F.col("_full").alias("text_sha256"),
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns. Rows with a null id stay, and rows that share an id stay together if
-    one of them does."""
-    groups = exact_groups(docs, id_col, text_col)
-    gone = stored(groups.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("_kept")).filter("NOT _kept").select("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of docs for each text (white space aside), with its columns: the longest, then the one with the smallest id.
+
+    That holds whatever the ids are: of rows that repeat an id or have none, and have one text, one of the longest stays, a
+    fixed one unless they differ in nothing. Columns of any name go along. Null text counts as empty; an empty table gives none.
+    """
+    groups = stored(exact_groups(docs, id_col, text_col))
+    ids = groups.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("stays"))
+    ids = stored(ids.filter(f"n > 1 OR NOT stays OR `{id_col}` IS NULL"))
+    out = docs.join(ids.filter(f"`{id_col}` IS NOT NULL").select(id_col), id_col, "left_anti").filter(F.col(id_col).isNotNull())
+    odd = ids.filter(f"n > 1 OR `{id_col}` IS NULL").select(id_col)  # what stays of these is not settled by the id
+    if odd.isEmpty():
+        return out.select(*docs.columns)
+    row, text = F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit(""))
+    sha = F.sha2(F.regexp_replace(text, WHITE, ""), 256)
+    some = docs.join(odd.filter(f"`{id_col}` IS NOT NULL"), id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    some = some.select(row, sha.alias("sha"), F.struct(F.length(text).alias("points"), F.xxhash64(*docs.columns)).alias("rank"), F.col(id_col).alias("id"))
+    # A group's best row has its keep_id; copies are combined before the shuffle, so a hot text is one row a task.
+    keep = groups.select(F.col("text_sha256").alias("sha"), F.col("keep_id").alias("id"))
+    keep = keep.join(some.select("sha").distinct(), "sha", "left_semi").distinct()
+    best = some.groupBy("sha", "id").agg(F.max_by("row", "rank").alias("row"))
+    best = best.join(keep.withColumnRenamed("id", "keep"), "sha").filter(F.col("id").eqNullSafe(F.col("keep")))
+    return out.select(*docs.columns).unionByName(best.select("row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, table, utf8
+from .common import free_name, slices, stored, table, utf8
 
 #: Hash buckets of the byte 3-grams; with the number of languages this bounds the model (and what the driver reads).
 BUCKETS = 1 << 16
@@ -122,14 +122,16 @@ def mixture(like: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, n
     return which, part
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str, text_col: str, more: list[str] | None = None) -> DataFrame:
-    """docs' id (and the columns `more`) with lang_pred and score."""
+def predict(
+    docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str, keep: list[str], lang_as: str = "lang_pred", score_as: str = "score"
+) -> DataFrame:
+    """docs' columns `keep` with the predicted language and its score, in columns of the given names, which are not in `keep`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "_text", TEXT_BYTES):
-                text = b.column("_text")
+            for b in slices(whole, whole.schema.names[-1], TEXT_BYTES):
+                text = b.column(len(keep))
                 raw, off = utf8(text)
                 rows = len(off) - 1
                 ascii_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
@@ -152,15 +154,13 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str, t
                     like = np.add.reduceat(sent.value[bucket], first, axis=0).astype(float)
                     which, part = mixture(like, row[first], rows)
                 names = np.array([*langs, "und"], dtype=object)[which]
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in b.schema.names if c != "_text"), pa.array(names, pa.string()), pa.array(part)],
-                    names=[*(c for c in b.schema.names if c != "_text"), "lang_pred", "score"],
-                )
+                own = [b.column(i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(part)], names=[*keep, lang_as, score_as])
 
-    kept = docs.select(F.col(id_col), *map(F.col, more or []), F.col(text_col).alias("_text"))
-    fields = [f for f in kept.schema.fields if f.name != "_text"]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    # The text goes along under a name of its own, whatever the others are called.
+    narrow = docs.select(*map(F.col, keep), F.col(text_col).alias(free_name(keep, "_text")))
+    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
+    return narrow.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     langs, model = fit(docs.filter(~held_out(id_col)), text_col, lang_col)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col))
-    return predict(rows, langs, model, id_col, text_col, ["held_out"])
+    return predict(rows, langs, model, text_col, [id_col, "held_out"])
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,8 +291,10 @@ def near_components(
     cluster is not yet one component its rest is compared in blocks on full sets, so no size of bucket loses a link. Ids are
     integers; rows with a null id are returned with a null component and kept true. Rows that repeat an id are one document
     with several sets: it is linked where any of them is, whatever the order of the rows, and all its rows have its component,
-    each with its own n_shingles.
+    each with its own n_shingles. `percent` is 80 at least: for less, bands and registers would miss pairs.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("bands and registers are laid out for similarities of 0.8 or more")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = stored(signatures(rows, k))
     reps = stored(

@@ -49,11 +49,12 @@ def calibrate(cosine: float, m: int = PROJECTIONS, miss: float = MISS) -> tuple[
     return best[1], best[2]
 
 
-def key_plan(n: int, cosine: float) -> tuple[int, int, float]:
-    """(cells in a key, number of keys, width of a cell) for n vectors of one label.
+def key_plan(n: int, cosine: float, window: float) -> tuple[int, int, float]:
+    """(cells in a key, number of keys, width of a cell) for n vectors of one label and windows of half width `window`.
 
     Vectors at distance t share a cell of width w, placed at random, with probability 1 - 2 P(N < -w/t) - 2 (1 - exp(-(w/t)^2 / 2)) /
-    (sqrt(2 pi) w/t). Unrelated vectors are to share a key with BUCKET others, and linked ones one of all keys.
+    (sqrt(2 pi) w/t). Unrelated vectors are to share a key with BUCKET others, and linked ones one of all keys, in whose window
+    they lie too: the projections that keys are sorted along differ from key to key, so these chances multiply.
     """
     d = max(sqrt(2 - 2 * cosine), 1e-6)
     width = CELL * d
@@ -63,7 +64,8 @@ def key_plan(n: int, cosine: float) -> tuple[int, int, float]:
         return erf(r / sqrt(2)) - 2 * (1 - exp(-r * r / 2)) / (sqrt(2 * pi) * r)
 
     cells = max(0, ceil(log(max(n, 1) / BUCKET) / -log(same(sqrt(2)))))
-    return cells, 1 if not cells else ceil(log(MISS_KEYS) / log(1 - same(d) ** cells)), width
+    found = same(d) ** cells * erf(window / d / sqrt(2))
+    return cells, 1 if not cells else ceil(log(MISS_KEYS) / log(1 - found)), width
 
 
 def directions(dim: int, m: int, seed: int) -> np.ndarray:
@@ -75,7 +77,8 @@ def matrix(lists: pa.Array, dim: int) -> np.ndarray:
 
 
 def entries(classes: DataFrame, cells: int, keys: int, width: float) -> DataFrame:
-    """(key, lab, rep, line): a row for each key of each class (lab, rep, dim, unit), with its projections for counting."""
+    """(key, lab, rep, line): a row for each key of each class (lab, rep, dim, unit), with its projections for counting, turned
+    so that the one which the key is sorted along comes first: another one for each key, as far as there are enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -93,8 +96,9 @@ def entries(classes: DataFrame, cells: int, keys: int, width: float) -> DataFram
                             key = mix(key * U64(0x100000001B3) + cell[:, :, k])
                     line = np.clip(np.rint((unit @ directions(dim, PROJECTIONS, 5) + 8) / STEP), 0, 255).astype(np.uint8)
                     row = pa.array(np.repeat(np.arange(n), keys))
-                    lines = pa.array([r.tobytes() for r in line], pa.binary())
-                    columns = [pa.array(key.view(np.int64).ravel()), *(c.take(row) for c in (part.column("lab"), part.column("rep"), lines))]
+                    turned = line[:, (np.arange(keys)[:, None] + np.arange(PROJECTIONS)) % PROJECTIONS]
+                    lines = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PROJECTIONS), n * keys, [None, pa.py_buffer(np.ascontiguousarray(turned))])
+                    columns = [pa.array(key.view(np.int64).ravel()), *(c.take(row) for c in (part.column("lab"), part.column("rep"))), lines.cast(pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "lab", "rep", "line"])
 
     return classes.select("lab", "rep", "dim", "unit").mapInArrow(run, "key long, lab long, rep long, line binary")
@@ -113,10 +117,11 @@ def in_blocks(members: DataFrame, by: list[str], block: int) -> DataFrame:
     return rows.withColumns({"p": F.least("own", "_with"), "q": F.greatest("own", "_with")}).drop("_with", "_parts")
 
 
-def collisions(rows: DataFrame, width: float, least: int) -> DataFrame:
+def collisions(rows: DataFrame, width: float, least: int, windowed: bool = True) -> DataFrame:
     """Pairs (a, b) of a key's entries that collide in at least `least` windows, as stars: what they connect, without a row for
-    each pair."""
+    each pair. `windowed`: only pairs within the window on the first projection are counted; otherwise all of a key's."""
     reach = ceil(width / STEP) + 1
+    beside = reach if windowed else 4095
 
     def step(b: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, b.num_rows]))
@@ -126,7 +131,7 @@ def collisions(rows: DataFrame, width: float, least: int) -> DataFrame:
         lab, own = b.column("lab").to_numpy()[order], b.column("own").to_numpy()[order]
         cross = b.column("p").to_numpy()[order] != b.column("q").to_numpy()[order]
         place = group * 4096 + line[:, 0]
-        partners = np.searchsorted(place, place + reach, side="right") - np.arange(len(place)) - 1
+        partners = np.searchsorted(place, np.minimum(place + beside, group * 4096 + 4095), side="right") - np.arange(len(place)) - 1
         to = np.cumsum(partners)
         a, z = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at = 0
@@ -228,8 +233,9 @@ def near_vectors(
         .select("lab", "rep", "copies", "h1", "h2", F.size("v").alias("dim"), F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
     )
     most = classes.groupBy("lab").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    spread = entries(classes, *key_plan(most, cosine))
-    near = stored(collisions(spread, width, least).distinct())
+    keys = key_plan(most, cosine, width)
+    # A label that fits one key is counted whole: with one key there is no second window to find what the first misses.
+    near = stored(collisions(entries(classes, *keys), width, least, keys[0] > 0).distinct())
     clusters = components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     found = stored(verified(classes.join(clusters, "rep"), cosine))
     links = found.filter("a IS NOT NULL").select("a", "b")

@@ -250,7 +250,7 @@ def test_recall_of_the_collision_count_and_of_the_keys():
     hits = (np.abs((a - b) @ vectors.directions(64, vectors.PROJECTIONS, 5)) <= width).sum(1)
     assert (hits >= least).mean() == 1.0
     for n in (1000, 50_000):
-        cells, keys, cell = vectors.key_plan(n, 0.93)
+        cells, keys, cell = vectors.key_plan(n, 0.93, width)
         shift = rng.random(cells * keys)
         x, y = (np.floor(v @ vectors.directions(64, cells * keys, 7) / cell + shift).reshape(-1, keys, cells) for v in (a, b))
         assert (x == y).all(2).any(1).mean() == 1.0
