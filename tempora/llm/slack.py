@@ -19,9 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, table
+from .common import slices, stored, table, utf8
 from .packing import ids_bytes
-from .tokens import Encoder, tokenizer_path
+from .tokens import PLAIN, Encoder, tokenizer_path
 
 
 def closest(left: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
@@ -124,6 +124,52 @@ class Places:
             was = np.ones(len(item), bool)
 
 
+def _classes(raw: np.ndarray) -> np.ndarray:
+    """Of each byte of plain text (as tokens.PLAIN has it): 0 white space, 1 part of a letter, 2 part of another character."""
+    kind = np.full(256, 2, np.uint8)
+    kind[list(b" \n\t\r")] = 0
+    kind[65:91] = kind[97:123] = 1
+    out = kind[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)  # Latin-1 letters, but for the signs of multiplication and division
+    two = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    out[two] = out[two + 1] = 1
+    return out
+
+
+def _lower(raw: np.ndarray) -> np.ndarray:
+    """The bytes of plain text with ASCII and Latin-1 capitals as small letters."""
+    upper = (raw >= 65) & (raw <= 90)
+    upper[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    return raw + (upper * np.uint8(32))
+
+
+def encoded(enc: Encoder, column: pa.Array) -> list[bytes]:
+    """What enc.batch() gives for each text, joined: the pieces of plain texts are found and put together for all rows at once, and
+    only distinct ones are looked up. Other texts, and those over a chunk, go through enc.batch()."""
+    texts = [x or "" for x in column.to_pylist()]
+    plain = np.array([len(x) <= enc.chunk and "'" not in x and not PLAIN.search(x) for x in texts], bool)
+    raw, off = utf8(column.filter(pa.array(plain)))
+    first = np.zeros(len(raw) + 1, bool)
+    first[off] = True
+    kind = _classes(raw)
+    same = np.r_[False, kind[1:] == kind[:-1]] & ~first[:-1]
+    start = np.flatnonzero((kind > 0) & ~same)
+    held = np.ascontiguousarray(_lower(raw)[kind > 0])
+    to = np.r_[np.cumsum(kind > 0)[start] - 1, len(held)].astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(to), pa.py_buffer(held)]).dictionary_encode()
+    ids = enc.values(pieces.dictionary.to_pylist())
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+    code = pieces.indices.to_numpy()
+    n = size[code]
+    end = np.cumsum(n)
+    made = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(begin[code] - (end - n), n)].tobytes()
+    cut = 4 * np.r_[0, end][np.searchsorted(start, off)]
+    whole = iter([made[a:z] for a, z in zip(cut.tolist(), cut[1:].tolist())])
+    rest = iter(enc.batch([x for x, p in zip(texts, plain.tolist()) if not p]))
+    return [next(whole) if p else b"".join(next(rest)) for p in plain.tolist()]
+
+
 def items(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per item: a document's full windows and what is left of it, with `ids` (unsigned 16 or 32 bits) of the latter.
 
@@ -139,8 +185,8 @@ def items(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: s
         for whole in batches:
             for b in slices(whole, "text"):
                 row, start, tokens, total, crc, rest = [], [], [], [], [], []
-                for i, parts in enumerate(enc.batch([x or "" for x in b.column("text").to_pylist()])):
-                    ids = b"".join(parts) + tail
+                for i, found in enumerate(encoded(enc, b.column("text"))):
+                    ids = found + tail
                     for at in range(0, len(ids), width):
                         piece = ids[at : at + width]
                         row.append(i)

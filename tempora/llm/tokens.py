@@ -111,17 +111,26 @@ class Encoder:
             text = text.lower()
         return (BARE if self.strip and plain else UNITS[plain]).findall(text)
 
+    def values(self, pieces: list[str]) -> list:
+        """The values of pieces that stand alone; those not seen before are encoded."""
+        if len(self.kept) > CACHE_ENTRIES:
+            self.kept.clear()
+        self.learn([p for p in pieces if p not in self.kept])
+        return list(map(self.kept.__getitem__, pieces))
+
+    def learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.kept[p] = self.value(e.ids)
+
     def batch(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces."""
-        kept, tok = self.kept, self.tokenizer
+        kept = self.kept
         if len(kept) > CACHE_ENTRIES:
             kept.clear()
         cut = [self.pieces(x) if len(x) <= self.chunk else None for x in texts]
-        new = list({p for c in cut if c is not None for p in c if p not in kept})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                kept[p] = self.value(e.ids)
+        self.learn(list({p for c in cut if c is not None for p in c if p not in kept}))
         get = kept.__getitem__
         return [
             [self.value(splice(x, self.offsets, self.chunk))] if c is None else list(map(get, c))
