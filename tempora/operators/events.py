@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.exact import fixed, rounded
 from .joins import backward_asof, interval_join
 
 #: The moment categories each of the two analysis passes takes.
@@ -18,6 +19,17 @@ WAYS = {"S": "down", "N": "up"}
 CHANGES = {"scene_change": "Scene change", "continuous_change": "Continuous change", "local_change": "Local change"}
 
 
+#: The words that stand above the candidates of a prompt.
+CANDIDATE_HEADING = (
+    "## Local Event Candidates",
+    "",
+    "The following events were detected locally from cursor tracking and optical flow.",
+    "Please confirm, reject, or modify each candidate based on what you see in the frames.",
+    "",
+    "",
+)
+
+
 def of_pass(moments: DataFrame, number: int) -> DataFrame:
     return moments.filter(F.col("category").isin(*PASSES[number]))
 
@@ -83,7 +95,7 @@ def scroll_events(moments: DataFrame, scenes: DataFrame, offset: Column) -> Data
     way = F.col("direction")
     for letter, word in WAYS.items():
         way = F.when(F.col("direction") == letter, word).otherwise(way)
-    text = F.format_string("Scroll %s (magnitude: %.1f, uniformity: %.2f)", way, F.col("magnitude").cast("double"), F.col("uniformity").cast("double"))
+    text = F.concat(F.lit("Scroll "), way, F.lit(" (magnitude: "), fixed(F.col("magnitude"), 1), F.lit(", uniformity: "), fixed(F.col("uniformity"), 2), F.lit(")"))
     return titled.select(
         "session", "seq", F.lit("scroll").alias("type"), (F.col("start") + offset).alias("start"), (F.col("end") + offset).alias("end"),
         text.alias("description"), F.lit(0.8).alias("confidence"), "page_title",
@@ -102,20 +114,27 @@ def certain_events(local: DataFrame, offset: Column) -> DataFrame:
     )
 
 
-def final_events(found: DataFrame, source: Column, optional: list[str]) -> DataFrame:
-    """Events with their source and ids; optional texts that are empty become null, so that JSON leaves them out."""
-    return found.withColumns({"source": source} | {c: F.nullif(F.col(c), F.lit("")) for c in optional})
+def final_events(found: DataFrame, sessions: DataFrame, source: str, optional: list[str]) -> DataFrame:
+    """Finished events with their source and the ids of their session: transcript_id and study_id from sessions (session,
+    identifier, study_id). Optional texts that are empty become null, and so does a cursor_position (struct x, y) that lacks a
+    coordinate, so that JSON leaves them out. An event of an unknown session keeps null ids."""
+    known = sessions.select("session", F.col("identifier").alias("transcript_id"), "study_id")
+    out = found.drop("transcript_id", "study_id").join(known, "session", "left")
+    fields = {"source": F.lit(source)} | {c: F.nullif(F.col(c), F.lit("")) for c in optional}
+    if "cursor_position" in found.columns:
+        fields["cursor_position"] = F.when(F.col("cursor_position.x").isNotNull() & F.col("cursor_position.y").isNotNull(), F.col("cursor_position"))
+    return out.withColumns(fields)
 
 
 def annotations(changes: DataFrame, flows: DataFrame, offset: Column, least_area: float, kinds: list[str] | None = None) -> DataFrame:
-    """Changes and scrolling flows as baseline annotations in time order (ties by seq): times at one decimal, the box for local
+    """Changes and scrolling flows as baseline annotations in time order (ties by seq): times at one decimal of their exact value, halves to even, the box for local
     changes only; scene changes over at least `least_area` of the frame. kinds: the categories of change that are wanted."""
     kinds = list(CHANGES) if kinds is None else kinds
     kept = changes.filter(F.col("category").isin(*kinds) & ((F.col("category") != "scene_change") | (F.col("area") >= least_area)))
     text = F.lit("")
     for name, words in CHANGES.items():
         text = F.when(F.col("category") == name, words).otherwise(text)
-    times = [F.round(F.col(c) + offset, 1).alias(c) for c in ("start", "end")]
+    times = [rounded(F.col(c) + offset, 1).alias(c) for c in ("start", "end")]
     box = F.when(F.col("category") == "local_change", F.struct("x", "y", "w", "h"))
     seen = kept.select("session", "seq", F.lit("change_ui_state").alias("type"), *times, text.alias("description"), box.alias("bbox"))
     moved = flows.filter(F.col("category").isin("scroll", "pan")).select(
@@ -130,18 +149,22 @@ def appended(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("position", F.row_number().over(W.partitionBy("session").orderBy("start", "_new", "seq"))).drop("_new")
 
 
-def candidate_lines(local: DataFrame, segments: DataFrame, width: float) -> DataFrame:
+def candidate_lines(local: DataFrame, segments: DataFrame, width: float, heading: bool = True) -> DataFrame:
     """(session, segment, text): a segment's local events that need enrichment and touch it, ends included, as numbered lines in
-    the events' order. width: the time bins of the join. positions as in certain_events()."""
+    the events' order, under the heading of the analysis prompt; a segment without such events has no row. width: the time
+    bins of the join. positions as in certain_events(). The text of a segment is one value, as the prompt wants it."""
     wanted = local.filter("needs_enrichment")
     hit = interval_join(segments.select("session", "segment", "start", "end"), wanted, width, strict=False).select("l.segment", "r.*")
     at = F.try_element_at("positions", F.lit(1))
-    cursor = F.when(F.size("positions") > 0, F.format_string(" at cursor (%.0f, %.0f)", F.rint(at["x"]), F.rint(at["y"]))).otherwise("")
+    cursor = F.when(F.size("positions") > 0, F.concat(F.lit(" at cursor ("), fixed(at["x"], 0), F.lit(", "), fixed(at["y"], 0), F.lit(")"))).otherwise("")
     n = F.row_number().over(W.partitionBy("session", "segment").orderBy("start", "seq"))
-    line = F.format_string("- **Candidate %d**: %s | %.0fms-%.0fms | confidence=%.2f%s | %s", "_n", "type", F.rint("start"), F.rint("end"), "confidence", cursor, "description")
+    span = F.concat(fixed(F.col("start"), 0), F.lit("ms-"), fixed(F.col("end"), 0), F.lit("ms"))
+    name = F.concat(F.lit("- **Candidate "), F.col("_n").cast("string"), F.lit("**: "), F.col("type"))
+    line = F.concat_ws(" | ", name, span, F.concat(F.lit("confidence="), fixed(F.col("confidence"), 2), cursor), F.col("description"))
     each = hit.withColumn("_n", n).withColumn("_line", line)
     lines = F.array_sort(F.collect_list(F.struct("_n", "_line")))
-    return each.groupBy("session", "segment").agg(F.array_join(F.transform(lines, lambda s: s["_line"]), "\n").alias("text"))
+    text = F.array_join(F.transform(lines, lambda s: s["_line"]), "\n")
+    return each.groupBy("session", "segment").agg((F.concat(F.lit("\n".join(CANDIDATE_HEADING)), text, F.lit("\n")) if heading else text).alias("text"))
 
 
 def observe_summary(trajectory: DataFrame, local: DataFrame, moments: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -153,13 +176,13 @@ def observe_summary(trajectory: DataFrame, local: DataFrame, moments: DataFrame,
         return each.groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(out))
 
     seen = F.count_if("detected")
-    base = trajectory.groupBy("session").agg(F.count(F.lit(1)).alias("frames"), seen.alias("detections"), F.round(seen / F.count(F.lit(1)), 4).alias("rate"))
+    base = trajectory.groupBy("session").agg(F.count(F.lit(1)).alias("frames"), seen.alias("detections"), rounded(seen / F.count(F.lit(1)), 4).alias("rate"))
     used = moments.groupBy("session").agg(F.count(F.lit(1)).alias("moments"), F.sum("tokens").alias("used"))
     parts = [by(trajectory.filter("detected"), "template", "templates"), by(local, "type", "events"), by(moments, "category", "categories"), used, budgets]
     for part in parts:
         base = base.join(part, "session", "left")
     zero = base.fillna(0, ["moments", "used"])
-    share = F.when(F.col("budget") > 0, F.round(F.col("used") / F.col("budget") * 100, 1)).otherwise(0.0)
+    share = F.when(F.col("budget") > 0, rounded(F.col("used") / F.col("budget") * 100, 1)).otherwise(0.0)
     return zero.withColumn("used_percent", share)
 
 

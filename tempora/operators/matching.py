@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.exact import rounded
 from .folds import fold
 from .windows import islands, ordered, overlap_islands
 
@@ -103,6 +104,13 @@ def timing_error(matches: DataFrame, baseline: DataFrame, found: DataFrame) -> D
     return both.groupBy("session").agg(F.avg(F.abs(F.col("bs") - F.col("es"))).alias("start_error"), F.avg(end).alias("end_error"))
 
 
+def reported(metrics: DataFrame, ratios_at: int = 4, errors_at: int = 1) -> DataFrame:
+    """metrics as a report has them: ratios and similarities (precision, recall, f1, similarity) at four digits, timing errors
+    (start_error, end_error) at one, each to the nearest by its exact value, halves to even; missing ones stay missing."""
+    digits = dict.fromkeys(("precision", "recall", "f1", "similarity"), ratios_at) | dict.fromkeys(("start_error", "end_error"), errors_at)
+    return metrics.withColumns({c: rounded(F.col(c), n) for c, n in digits.items() if c in metrics.columns})
+
+
 def micro(metrics: DataFrame) -> DataFrame:
     """One row over all sessions: sums first, then ratios."""
     total = metrics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_baseline", "n_found", "n_matched")))

@@ -10,6 +10,7 @@ from .base import HOUR, E, I, intervals, timeline
 QUERIES: dict = {}
 ORACLE: dict = {}
 H = HOUR
+HEADING = "\n".join(op.CANDIDATE_HEADING)
 
 
 def query(sql: str):
@@ -80,17 +81,17 @@ def beside_change(spark, sf_dir):
 @query(
     f"""WITH {M}, t AS (SELECT session, start AS at, 'page ' || seq AS page_title, seq FROM m WHERE type = 'error')
 SELECT m.session, m.seq, 'scroll' AS type, m.start + 500 AS start, m."end" + 500 AS "end", 0.8::DOUBLE AS confidence,
-  'Scroll ' || CASE direction WHEN 'S' THEN 'down' WHEN 'N' THEN 'up' ELSE direction END || printf(' (magnitude: %.1f, uniformity: %.2f)', floor(x)::DOUBLE, round(confidence, 2)) AS description,
+  'Scroll ' || CASE direction WHEN 'S' THEN 'down' WHEN 'N' THEN 'up' ELSE direction END || printf(' (magnitude: %.1f, uniformity: %.2f)', x, confidence) AS description,
   (SELECT arg_max(page_title, row(t.at, -t.seq)) FROM t WHERE t.session = m.session AND t.at <= m.start) AS page_title FROM m WHERE category = 'scroll' AND seq % 7 > 0"""
 )
 def scroll_events(spark, sf_dir):
     m = moments(spark, sf_dir)
     scenes = m.filter("type = 'error'").select("session", "seq", F.col("start").alias("at"), F.concat(F.lit("page "), "seq").alias("page_title"))
-    m = m.withColumns({"direction": F.when(F.col("seq") % 7 > 0, F.col("direction")), "magnitude": F.floor("x"), "uniformity": F.round("confidence", 2)})
+    m = m.withColumns({"direction": F.when(F.col("seq") % 7 > 0, F.col("direction")), "magnitude": F.col("x"), "uniformity": F.col("confidence")})
     return op.scroll_events(m, scenes, F.lit(500.0))
 
 
-LOCAL = """l AS (SELECT *, CASE type WHEN 'purchase' THEN 'cursor_thrash' ELSE type END AS kind, (seq % 4)::INTEGER AS n_pos, seq % 3 > 0 AS needs, round(confidence, 2) AS sure FROM m)"""
+LOCAL = """l AS (SELECT *, CASE type WHEN 'purchase' THEN 'cursor_thrash' ELSE type END AS kind, (seq % 4)::INTEGER AS n_pos, seq % 3 > 0 AS needs, (seq % 400) / 400::DOUBLE AS sure FROM m)"""
 
 
 def local(spark, sf_dir):
@@ -101,7 +102,7 @@ def local(spark, sf_dir):
             "type": F.when(F.col("type") == "purchase", "cursor_thrash").otherwise(F.col("type")),
             "positions": F.slice(F.array(place(F.lit(0)), place(F.lit(1)), place(F.lit(2))), F.lit(1), n),
             "needs_enrichment": F.col("seq") % 3 > 0,
-            "confidence": F.round("confidence", 2),
+            "confidence": (F.col("seq") % 400) / 400,
             "description": F.concat(F.lit("event "), "seq"),
         }
     )
@@ -117,20 +118,24 @@ def certain_events(spark, sf_dir):
 
 
 @query(
-    f"""WITH {M} SELECT session, seq, 'engine' AS source, 'session ' || session AS transcript_id, nullif(CASE WHEN seq % 3 = 0 THEN '' ELSE type END, '') AS page_title,
-  nullif(CASE WHEN seq % 4 = 0 THEN '' WHEN seq % 4 > 1 THEN direction END, '') AS target FROM m"""
+    f"""WITH {M}, s AS (SELECT DISTINCT session, 'recording ' || session AS transcript_id, CASE WHEN session % 5 > 0 THEN 'study ' || session % 7 END AS study_id FROM m WHERE session % 11 > 0)
+SELECT m.session, seq, 'engine' AS source, transcript_id, study_id, nullif(CASE WHEN seq % 3 = 0 THEN '' ELSE type END, '') AS page_title,
+  nullif(CASE WHEN seq % 4 = 0 THEN '' WHEN seq % 4 > 1 THEN direction END, '') AS target, CASE WHEN seq % 5 > 0 THEN x END AS cursor_x FROM m LEFT JOIN s USING (session)"""
 )
 def final_events(spark, sf_dir):
-    m = moments(spark, sf_dir).withColumn("transcript_id", F.concat(F.lit("session "), "session"))
-    m = m.withColumn("page_title", F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("type")))
+    m = moments(spark, sf_dir).withColumn("page_title", F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("type")))
     m = m.withColumn("target", F.when(F.col("seq") % 4 == 0, "").when(F.col("seq") % 4 > 1, F.col("direction")))
-    return op.final_events(m, F.lit("engine"), ["page_title", "target"]).select("session", "seq", "source", "transcript_id", "page_title", "target")
+    m = m.withColumn("cursor_position", F.struct(F.when(F.col("seq") % 5 > 0, F.col("x")).alias("x"), "y"))
+    study = F.when(F.col("session") % 5 > 0, F.concat(F.lit("study "), (F.col("session") % 7).cast("string")))
+    known = m.filter("session % 11 > 0").select("session").distinct().withColumns({"identifier": F.concat(F.lit("recording "), "session"), "study_id": study})
+    made = op.final_events(m, known, "engine", ["page_title", "target"])
+    return made.select("session", "seq", "source", "transcript_id", "study_id", "page_title", "target", F.col("cursor_position.x").alias("cursor_x"))
 
 
 @query(
-    f"""WITH {M}, a AS (SELECT session, seq, 'change_ui_state' AS type, round(start + 100.25, 1) AS start, CASE category WHEN 'scene_change' THEN 'Scene change' ELSE 'Local change' END AS description,
+    f"""WITH {M}, a AS (SELECT session, seq, 'change_ui_state' AS type, printf('%.1f', start + 100.0625)::DOUBLE AS start, CASE category WHEN 'scene_change' THEN 'Scene change' ELSE 'Local change' END AS description,
   CASE WHEN category = 'interaction' THEN bx END AS left_edge, 1 AS new FROM m WHERE category = 'interaction' OR (category = 'scene_change' AND confidence >= 0.3)
-  UNION ALL SELECT session, seq, 'scroll', round(start + 100.25, 1), 'scroll ' || direction, NULL, 1 FROM m WHERE category = 'scroll'
+  UNION ALL SELECT session, seq, 'scroll', printf('%.1f', start + 100.0625)::DOUBLE, 'scroll ' || direction, NULL, 1 FROM m WHERE category = 'scroll'
   UNION ALL SELECT session, seq, 'old', start, NULL, NULL, 0 FROM m WHERE category = 'cursor_stop')
 SELECT session, seq, type, start, description, left_edge, row_number() OVER (PARTITION BY session ORDER BY start, new, seq) AS position FROM a"""
 )
@@ -138,28 +143,29 @@ def baseline_annotations(spark, sf_dir):
     m = moments(spark, sf_dir)
     kind = F.when(F.col("category") == "interaction", "local_change").otherwise(F.col("category"))
     changes = m.select("session", "seq", "start", "end", kind.alias("category"), F.col("confidence").alias("area"), *(F.col(f"b{k}").alias(k) for k in "xywh"))
-    new = op.annotations(changes, m, F.lit(100.25), 0.3)
+    new = op.annotations(changes, m, F.lit(100.0625), 0.3)
     old = m.filter("category = 'cursor_stop'").select("session", "seq", F.lit("old").alias("type"), "start")
     return op.appended(old, new).select("session", "seq", "type", "start", "description", F.col("bbox.x").alias("left_edge"), "position")
 
 
 @query(
     f"""WITH {M}, {LOCAL}, s AS (SELECT session, seq AS segment, start, "end" FROM m WHERE type = 'error'),
-h AS (SELECT s.session, segment, l.*, row_number() OVER (PARTITION BY s.session, segment ORDER BY l.start, l.seq) AS k FROM s JOIN l ON l.session = s.session AND needs AND l."end" >= s.start AND l.start <= s."end")
-SELECT session, segment, string_agg('- **Candidate ' || k || '**: ' || kind || printf(' | %.0fms-%.0fms | confidence=%.2f', start, "end", sure)
-  || CASE WHEN n_pos > 0 THEN printf(' at cursor (%.0f, %.0f)', x, y) ELSE '' END || ' | event ' || seq, chr(10) ORDER BY k) AS text FROM h GROUP BY session, segment"""
+h AS (SELECT s.session, segment, l.*, row_number() OVER (PARTITION BY s.session, segment ORDER BY l.start, l.seq) AS k FROM s JOIN l ON l.session = s.session AND needs AND l."end" + 0.5 >= s.start AND l.start + 0.5 <= s."end")
+SELECT session, segment, '{HEADING}' || string_agg('- **Candidate ' || k || '**: ' || kind || printf(' | %.0fms-%.0fms | confidence=%.2f', start + 0.5, "end" + 0.5, sure)
+  || CASE WHEN n_pos > 0 THEN printf(' at cursor (%.0f, %.0f)', x, y) ELSE '' END || ' | event ' || seq, chr(10) ORDER BY k) || chr(10) AS text FROM h GROUP BY session, segment"""
 )
 def candidate_lines(spark, sf_dir):
+    halves = local(spark, sf_dir).withColumns({"start": F.col("start") + 0.5, "end": F.col("end") + 0.5})
     segments = moments(spark, sf_dir).filter("type = 'error'").select("session", F.col("seq").alias("segment"), "start", "end")
-    return op.candidate_lines(local(spark, sf_dir), segments, 12 * H)
+    return op.candidate_lines(halves, segments, 12 * H)
 
 
 @query(
     f"""WITH {M}, u AS (SELECT session, count(*) AS moments, sum(seq % 900)::BIGINT AS used FROM m WHERE category IN ('scene_change', 'interaction') GROUP BY session),
 k AS (SELECT session, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM (SELECT session, category, count(*) AS n FROM m WHERE category IN ('scene_change', 'interaction') GROUP BY ALL) GROUP BY session),
 t AS (SELECT session, string_agg(direction || '=' || n, ',' ORDER BY direction) AS templates FROM (SELECT session, direction, count(*) AS n FROM m WHERE seq % 6 > 0 GROUP BY ALL) GROUP BY session)
-SELECT session, count(*) AS frames, count(*) FILTER (WHERE seq % 6 > 0) AS detections, round(count(*) FILTER (WHERE seq % 6 > 0) / count(*), 4) AS rate,
-  coalesce(any_value(templates), '') AS templates, coalesce(any_value(categories), '') AS categories, coalesce(any_value(u.moments), 0) AS moments, round(coalesce(any_value(used), 0) / 5000 * 100, 1) AS used_percent
+SELECT session, count(*) AS frames, count(*) FILTER (WHERE seq % 6 > 0) AS detections, printf('%.4f', count(*) FILTER (WHERE seq % 6 > 0) / count(*))::DOUBLE AS rate,
+  coalesce(any_value(templates), '') AS templates, coalesce(any_value(categories), '') AS categories, coalesce(any_value(u.moments), 0) AS moments, printf('%.1f', coalesce(any_value(used), 0) / 5000 * 100)::DOUBLE AS used_percent
 FROM m LEFT JOIN u USING (session) LEFT JOIN k USING (session) LEFT JOIN t USING (session) GROUP BY session"""
 )
 def observe_summary(spark, sf_dir):
