@@ -15,26 +15,46 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
 
 
-def similar(a: str | None, b: str | None, least: float) -> bool:
-    """Whether ratio() is at least `least`; bounds by length and by letters, which are never less than it, come first."""
+def possible(a: str | None, b: str | None, least: float) -> bool:
+    """Whether bounds by length and by letters, which are never less than ratio(), reach `least`."""
     a, b = (a or "").lower(), (b or "").lower()
     if len(a) + len(b) and 2.0 * min(len(a), len(b)) / (len(a) + len(b)) < least:
         return False
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= least and m.ratio() >= least
+    return SequenceMatcher(None, a, b).quick_ratio() >= least
 
 
-def obershelp(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([ratio(p, q) for p, q in zip(x, y)], dtype="float64")
+def similar(a: str | None, b: str | None, least: float) -> bool:
+    """Whether ratio() is at least `least`; its bounds come first, and equal texts are at once."""
+    if (a or "").lower() == (b or "").lower():
+        return least <= 1.0
+    return possible(a, b, least) and ratio(a, b) >= least
 
-    return run(a, b)
 
+def obershelp(a: Column, b: Column, least: Column | None = None) -> Column:
+    """ratio() of each pair; where `least` is given and bounds by length and letters show that a pair is below it, -1. A pair of
+    texts that comes again in a batch is looked up."""
 
-def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length, 1 for two empty texts."""
-    a, b = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y, z in batches:
+            known: dict[tuple[str | None, str | None], float] = {}
+            out = []
+            for p, q, low in zip(x, y, z):
+                p, q = p or "", q or ""
+                if (p, q) not in known:
+                    if low > 0 and not possible(p, q, low):
+                        out.append(-1.0)
+                        continue
+                    known[p, q] = ratio(p, q)
+                out.append(known[p, q])
+            yield pd.Series(out, dtype="float64")
+
+    return run(a, b, F.lit(0.0) if least is None else least)
+
+
+def edit_ratio(a: Column, b: Column, least: Column | None = None) -> Column:
+    """1 - edit distance / longer length, 1 for two empty texts; on the UTF-8 bytes of lower-cased text, which is what SQL engines
+    share. `least` is there for scored_pairs() and changes nothing."""
+    a, b = (F.decode(F.encode(F.lower(F.coalesce(t, F.lit(""))), "UTF-8"), "ISO-8859-1") for t in (a, b))  # a character for each byte
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)

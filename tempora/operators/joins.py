@@ -14,17 +14,18 @@ def binned(df: DataFrame, start: str, end: str, width: float, out: str = "bin")
     return df.withColumn(out, F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long"))))
 
 
-def interval_join(left: DataFrame, right: DataFrame, width: float, strict: bool = True) -> DataFrame:
-    """Pairs of a session whose intervals (start, end) overlap, left and right columns as structs l and r.
+def interval_join(left: DataFrame, right: DataFrame, width: float, strict: bool = True, by: tuple | list = ("session",)) -> DataFrame:
+    """Pairs of a session (or of equal `by`) whose intervals (start, end) overlap, left and right columns as structs l and r.
 
     Both sides are dealt by (session, time bin), so that a long session spreads over tasks; a pair is kept in the bin where
     its overlap begins, which makes it come once. strict: half-open intervals that only touch do not overlap.
     """
-    a = binned(left.select("session", F.struct("*").alias("l")).withColumns({"s": F.col("l.start"), "e": F.col("l.end")}), "s", "e", width)
-    b = binned(right.select("session", F.struct("*").alias("r")).withColumns({"s2": F.col("r.start"), "e2": F.col("r.end")}), "s2", "e2", width)
+    keys = list(by)
+    a = binned(left.select(*keys, F.struct("*").alias("l")).withColumns({"s": F.col("l.start"), "e": F.col("l.end")}), "s", "e", width)
+    b = binned(right.select(*keys, F.struct("*").alias("r")).withColumns({"s2": F.col("r.start"), "e2": F.col("r.end")}), "s2", "e2", width)
     meet = (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) if strict else (F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e"))
     home = F.floor(F.greatest("s", "s2") / width).cast("long") == F.col("bin")
-    return a.join(b, ["session", "bin"]).filter(meet & home).select("session", "l", "r")
+    return a.join(b, [*keys, "bin"]).filter(meet & home).select(*keys, "l", "r")
 
 
 def _reached(left: DataFrame, at: Column, right: DataFrame, value: Column, before: bool, backwards: bool = False) -> DataFrame:

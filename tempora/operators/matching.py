@@ -11,25 +11,29 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import rounded
 from .folds import fold
+from .joins import interval_join
 from .windows import islands, ordered, overlap_islands
 
 
-def scored_pairs(baseline: DataFrame, found: DataFrame, tolerance: float, threshold: float, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+def scored_pairs(baseline: DataFrame, found: DataFrame, tolerance: float, threshold: float, similarity: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Pairs of one session and type that overlap within the tolerance and score at least the threshold.
 
     score = 0.7 similarity + 0.3 closeness, closeness falling from 1 to 0 over twice the tolerance between middles.
-    Inputs: session, seq, type, start, end (already the start where missing), description. Both sides are first cut together at
-    gaps over the tolerance, which no pair bridges: pairs are sought within such islands, and greedy() matches within them.
+    similarity(a, b, least) may give any value below `least` where two texts are less alike than that: such pairs do not count.
+    Inputs: session, seq, type, start, end (already the start where missing), description. Pairs are found by time bins, so a
+    dense session spreads over tasks. Both sides are cut together at gaps over the tolerance, which no pair bridges; greedy()
+    matches within these islands.
     """
     rows = lambda d, s: d.select("session", "type", "seq", "start", "end", "description", F.lit(s).alias("side"))
     both = overlap_islands(rows(baseline, "b").unionByName(rows(found, "e")), tolerance, "start", "end", ["start", "seq", "side"], by=["session", "type"])
-    side = lambda s: both.filter(F.col("side") == s).select("session", "type", "island", F.col("seq").alias(s), F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end"), F.col("description").alias(f"{s}_text"))
-    b, e = side("b"), side("e")
-    near = (F.col("b_start") <= F.col("e_end") + tolerance) & (F.col("e_start") <= F.col("b_end") + tolerance)
-    middle = F.abs((F.col("b_start") + F.col("b_end")) / 2 - (F.col("e_start") + F.col("e_end")) / 2)
-    close = F.greatest(F.lit(0.0), 1.0 - middle / (2 * tolerance))
-    pairs = b.join(e, ["session", "type", "island"]).filter(near)
-    score = 0.7 * similarity(F.col("b_text"), F.col("e_text")) + 0.3 * close
+    side = lambda s: both.filter(F.col("side") == s).drop("side")
+    wide = side("b").withColumns({"_start": F.col("start"), "_end": F.col("end"), "start": F.col("start") - tolerance, "end": F.col("end") + tolerance})
+    near = interval_join(wide, side("e"), 4 * tolerance, strict=False, by=["session", "type"])
+    middle = F.abs((F.col("l._start") + F.col("l._end")) / 2 - (F.col("r.start") + F.col("r.end")) / 2)
+    pairs = near.select("session", "type", F.col("l.island").alias("island"), F.col("l.seq").alias("b"), F.col("r.seq").alias("e"), F.col("l.description").alias("_b"), F.col("r.description").alias("_e"), F.greatest(F.lit(0.0), 1.0 - middle / (2 * tolerance)).alias("_close"))
+    # A hair less than needed is asked for, so that rounding loses no pair; the score itself decides.
+    least = (F.lit(threshold) - 0.3 * F.col("_close")) / 0.7 - 1e-9
+    score = 0.7 * similarity(F.col("_b"), F.col("_e"), least) + 0.3 * F.col("_close")
     return pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("session", "type", "island", "b", "e", "score")
 
 

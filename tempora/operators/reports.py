@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,36 +12,39 @@ from ..functions import expr
 from .windows import ordered
 
 
-def upper_median(values: Column) -> Column:
-    """The element at position n // 2 of the sorted values, not a percentile."""
-    return F.element_at(F.array_sort(F.collect_list(values)), (F.floor(F.count(values) / 2) + 1).cast("int"))
+def at_places(rows: DataFrame, value: Column, by: list[str], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values of each group at places (from 1 on) of their rising order; a place is given from the number of values. One sort,
+    and no group's values are gathered in a row. Nulls do not count; a place outside has null."""
+    w = W.partitionBy(*by)
+    ranked = rows.select(*by, value.alias("_v")).filter("_v IS NOT NULL")
+    ranked = ranked.withColumns({"_k": F.row_number().over(w.orderBy("_v")), "_n": F.count(F.lit(1)).over(w)})
+    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_k") == at(F.col("_n")), F.col("_v"))).alias(name) for name, at in places.items()))
+
+
+def upper_middle(n: Column) -> Column:
+    """The place of the upper median: n // 2 counted from 0."""
+    return F.floor(n / 2) + 1
 
 
 def quality(trajectory: DataFrame, large_gap: float, long_absence: float) -> DataFrame:
     """Per session: samples, detections, rate, gaps between detections (upper median, p95 by position, greatest, large ones)."""
     seen = trajectory.filter("detected")
-    gap = F.col("ts") - F.lag("ts").over(ordered("ts", "seq"))
-    gaps = seen.withColumn("gap", gap).groupBy("session").agg(
-        upper_median(F.col("gap")).alias("gap_median"),
-        F.element_at(F.array_sort(F.collect_list("gap")), F.least(F.count("gap"), (F.floor(F.count("gap") * 0.95) + 1)).cast("int")).alias("gap_p95"),
-        F.max("gap").alias("gap_max"),
-        F.count_if(F.col("gap") > large_gap).alias("large_gaps"),
-        F.count_if(F.col("gap") > long_absence).alias("long_absences"),
-    )
+    gaps = seen.select("session", (F.col("ts") - F.lag("ts").over(ordered("ts", "seq"))).alias("gap"))
+    late = lambda n: F.least(n, F.floor(n * 0.95) + 1)
+    placed = at_places(gaps, F.col("gap"), ["session"], {"gap_median": upper_middle, "gap_p95": late})
+    sums = gaps.groupBy("session").agg(F.max("gap").alias("gap_max"), F.count_if(F.col("gap") > large_gap).alias("large_gaps"), F.count_if(F.col("gap") > long_absence).alias("long_absences"))
     total = trajectory.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("n_detected"))
-    return total.withColumn("rate", F.col("n_detected") / F.col("n")).join(gaps, "session", "left")
+    out = total.withColumn("rate", F.col("n_detected") / F.col("n")).join(placed, "session", "left").join(sums, "session", "left")
+    return out.select("session", "n", "n_detected", "rate", "gap_median", "gap_p95", "gap_max", "large_gaps", "long_absences")
 
 
 def distance_bands(pairs: DataFrame, by: list[str], bands: list[float]) -> DataFrame:
     d = F.col("distance")
-    return pairs.filter(d.isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(d == 0).alias("identical"),
-        *(F.count_if(d <= b).alias(f"within_{b:g}") for b in bands),
-        F.avg(d).alias("mean"),
-        upper_median(d).alias("median"),
-        F.max(d).alias("greatest"),
+    known = pairs.filter(d.isNotNull())
+    sums = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(d == 0).alias("identical"), *(F.count_if(d <= b).alias(f"within_{b:g}") for b in bands), F.avg(d).alias("mean"), F.max(d).alias("greatest")
     )
+    return sums.join(at_places(known, d, by, {"median": upper_middle}), by)
 
 
 def cost_rollup(facts: DataFrame, by: str, amounts: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -219,19 +220,36 @@ def cursor_rollup(spark, sf_dir):
     return op.cursor_rollup(timeline(spark, sf_dir))
 
 
+def numbered(rows, order, part):
+    """rows with `_d`, their place from 0 on in the order: counts of parts first, so that no task sorts them all. `part` must not
+    fall along the order."""
+    w = W.partitionBy("_part").orderBy(*order)
+    rows = rows.withColumn("_part", part)
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))  # a row for each part
+    return rows.join(ahead, "_part").withColumn("_d", F.col("_before") + F.row_number().over(w) - 1).drop("_part", "_before")
+
+
+def told(spark, sf_dir, texts, order, part):
+    """Events with whole texts as descriptions: those of a user within two days tell of the same one."""
+    texts = numbered(texts, order, part)
+    i = intervals(spark, sf_dir)
+    several = F.greatest(F.lit(1), texts.agg(F.count(F.lit(1))).scalar())
+    i = i.withColumn("_d", (F.col("session") * 7 + F.floor(F.col("start") / (48 * H))) % several)
+    text = F.coalesce("text", F.lit("")).alias("description")
+    return i.join(texts, "_d", "left").select("session", "seq", "type", "start", "end", text, "confidence")
+
+
 def described(spark, sf_dir):
-    """Whole texts of all documents, dealt by event number, as the descriptions of a user's events."""
-    docs = read(spark, sf_dir, "documents")
-    text = F.coalesce(F.regexp_replace("text", "[^ -~]", ""), F.lit("")).alias("description")
-    i = intervals(spark, sf_dir).withColumn("_d", F.col("seq") % max(docs.count(), 1))
-    return i.join(docs.select(F.col("doc_id").alias("_d"), text), "_d", "left").fillna("", "description").select("session", "seq", "type", "start", "end", "description", "confidence")
+    """Whole texts of all documents as the descriptions of events."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return told(spark, sf_dir, docs, ["doc_id"], F.floor(F.col("doc_id") / 10_000))
 
 
-def first_words(spark, sf_dir):
-    """The first 60 characters of 200 documents as descriptions: what PAIRS says in SQL."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.regexp_replace(F.substring("text", 1, 60), "[^ -~]", "").alias("description"))
-    i = intervals(spark, sf_dir).withColumn("_d", F.col("seq") % 200)
-    return i.join(d, "_d").select("session", "seq", "type", "start", "end", "description", "confidence")
+def spoken(spark, sf_dir):
+    """Whole turns of all dialogues as the descriptions of events: short enough for an edit distance in SQL."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return told(spark, sf_dir, turns, ["conv_id", "turn", "role", "text"], F.floor(F.col("conv_id") / 10_000))
 
 
 @query()
@@ -254,15 +272,16 @@ def greedy_match(spark, sf_dir):
     return rounded(matching.greedy(matching.scored_pairs(a, b, 24 * H, 0.4, similarity.obershelp)), score=9)
 
 
-PAIRS = f"""{E}, {I}, d AS (SELECT i.*, lower(regexp_replace(substr(text, 1, 60), '[^ -~]', '', 'g')) AS t FROM i JOIN documents ON doc_id = seq % 200),
-p AS (SELECT a.session, a.type, a.seq AS b, z.seq AS e, 0.7::DOUBLE * (CASE WHEN greatest(length(a.t), length(z.t)) = 0 THEN 1 ELSE 1 - levenshtein(a.t, z.t) / greatest(length(a.t), length(z.t)) END)
+PAIRS = f"""{E}, {I}, c AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS d FROM conversations), z AS (SELECT greatest(1, count(*)) AS n FROM c),
+d AS (SELECT i.*, lower(coalesce(text, '')) AS t FROM i CROSS JOIN z LEFT JOIN c ON c.d = (session * 7 + floor(start / {48 * H})::BIGINT) % z.n),
+p AS (SELECT a.session, a.type, a.seq AS b, z.seq AS e, 0.7::DOUBLE * (CASE WHEN greatest(strlen(a.t), strlen(z.t)) = 0 THEN 1 ELSE 1 - levenshtein(a.t, z.t) / greatest(strlen(a.t), strlen(z.t)) END)
   + 0.3::DOUBLE * greatest(0, 1 - abs((a.start + a."end") / 2 - (z.start + z."end") / 2) / (2 * {24 * H})) AS score
-  FROM d a JOIN d z ON a.session = z.session AND a.type = z.type AND a.seq % 2 = 0 AND z.seq % 2 = 1 AND a.start <= z."end" + {24 * H} AND z.start <= a."end" + {24 * H})"""
+  FROM d a JOIN d z ON a.session = z.session AND a.type = z.type AND a.seq % 2 = 0 AND z.seq % 2 = 1 AND a.start - {24 * H} <= z."end" AND z.start <= a."end" + {24 * H})"""
 
 
 @query(f"""WITH {PAIRS} SELECT session, type, b, e, round(score, 9) AS score FROM p WHERE score >= 0.3""")
 def match_scores(spark, sf_dir):
-    a, b = _two(first_words(spark, sf_dir))
+    a, b = _two(spoken(spark, sf_dir))
     return rounded(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio), score=9).drop("island")
 
 
@@ -274,7 +293,7 @@ r AS (SELECT session, type, rn, [b] AS bs, [e] AS es, true AS keep, b, e FROM o
 SELECT session, type, b, e FROM r WHERE keep"""
 )
 def greedy_match_edit(spark, sf_dir):
-    a, b = _two(first_words(spark, sf_dir))
+    a, b = _two(spoken(spark, sf_dir))
     return matching.greedy(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio)).select("session", "type", "b", "e")
 
 

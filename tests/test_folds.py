@@ -106,6 +106,19 @@ def test_click_candidates_of_walks(spark, seed):
     assert len(want) > 20 and sorted((r["session"], r["start"], r["end"], r["n"]) for r in found) == sorted(want)
 
 
+def test_click_places_on_a_still_pointer_are_linear():
+    import time
+
+    n = 200_000
+    g = {"ts": np.arange(n) * 10.0, "x": np.zeros(n), "y": np.zeros(n), "inner": np.ones(n, bool), "arrives": np.zeros(n, bool), "leaves": np.zeros(n, bool)}
+    g["arrives"][5], g["leaves"][n - 3] = True, True
+    t = time.time()
+    assert folds.click_places(g, 5.0, 450.0) == []
+    assert time.time() - t < 5
+    g["x"][n - 2 :] = 99.0
+    assert folds.click_places(g, 5.0, 450.0) == [(n - 48, n - 3)]
+
+
 def test_nearest_neighbours_grow_with_the_rows(spark):
     """One session of 60,000 rows; a quadratic plan would take minutes."""
     n = 60_000
@@ -155,8 +168,9 @@ def test_effective_end(spark, end, want):
 
 
 def test_upper_median(spark):
-    df = spark.createDataFrame([(float(v),) for v in (4, 1, 3, 2)], "v double")
-    assert df.agg(reports.upper_median(F.col("v"))).first()[0] == 3.0
+    df = spark.createDataFrame([(1, float(v)) for v in (4, 1, 3, 2)] + [(1, None), (2, 5.0), (3, None)], "session long, v double")
+    out = reports.at_places(df, F.col("v"), ["session"], {"median": reports.upper_middle, "second": lambda n: F.lit(2)})
+    assert sorted(map(tuple, out.collect())) == [(1, 3.0, 2.0), (2, 5.0, None)]
 
 
 def test_budget_skips_and_goes_on(spark):

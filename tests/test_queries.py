@@ -51,22 +51,49 @@ def test_entry_without_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
-def test_descriptions_are_whole_texts_of_all_documents(spark, tmp_path):
+def test_matches_of_whole_texts_of_all_documents(spark, tmp_path):
+    """Descriptions are whole texts, letters beyond ASCII included, of documents whose ids have holes; the matches of greedy_match are
+    those of the plain rule: pairs by falling score, each side once."""
+    import random
     from datetime import datetime, timedelta
 
     from tempora.functions.similarity import ratio
 
-    texts = [f"{'same opening words of every one of them, ' * 2}{i * 7919 % 1009} {chr(97 + i % 26) * 90}" for i in range(300)]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(9)
+    texts = [f"{'ouvrir le café, schließen: ' * 3}{i * 7919 % 1009} {chr(97 + i % 26) * 9}é" for i in range(60)]
+    docs = [(3 * i + 10_000 * (i % 4), t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     at = datetime(2026, 1, 1)
-    rows = [(i, i // 4, at + timedelta(hours=i % 4), "view", 20.0, '{"k": 1}') for i in range(200, 620)]
+    rows = [(i, i // 2 % 20, at + timedelta(hours=rng.randint(0, 400), seconds=i), rng.choice(["view", "click"]), 20.0, '{"k": %d}' % rng.randint(0, 40)) for i in range(800)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
-    found = {r["seq"]: r["description"] for r in queries.folds.described(spark, str(tmp_path)).collect()}
-    assert found == {i: texts[i % 300] for i in range(200, 620)}
-    scores = {(r["b"], r["e"]): r["score"] for r in queries.QUERIES["greedy_match"](spark, str(tmp_path)).collect()}
-    assert scores
-    for (b, e), score in scores.items():
-        assert abs(score - 0.7 * ratio(texts[b % 300], texts[e % 300]) - 0.3 * (1 - abs(b - e) / 48)) < 1e-8
+    events = {r["seq"]: r for r in queries.folds.described(spark, str(tmp_path)).collect()}
+    in_order = [t for _, t in sorted(docs)]
+    assert len(events) == 800
+    assert all(r["description"] == in_order[int((r["session"] * 7 + r["start"] // (48 * 3_600_000.0)) % 60)] for r in events.values())
+    day = 24 * 3_600_000.0
+    pairs = {}
+    for a in events.values():
+        for b in events.values():
+            if a["seq"] % 2 == 0 and b["seq"] % 2 == 1 and (a["session"], a["type"]) == (b["session"], b["type"]) and a["start"] <= b["end"] + day and b["start"] <= a["end"] + day:
+                close = max(0.0, 1 - abs((a["start"] + a["end"]) / 2 - (b["start"] + b["end"]) / 2) / (2 * day))
+                score = 0.7 * ratio(a["description"], b["description"]) + 0.3 * close
+                if score >= 0.4:
+                    pairs[a["session"], a["type"], a["seq"], b["seq"]] = score
+    want, used = {}, set()
+    for key, score in sorted(pairs.items(), key=lambda kv: (-kv[1], kv[0][2], kv[0][3])):
+        if not used & {("b", key[2]), ("e", key[3])}:
+            used |= {("b", key[2]), ("e", key[3])}
+            want[key] = score
+    found = {(r["session"], r["type"], r["b"], r["e"]): r["score"] for r in queries.QUERIES["greedy_match"](spark, str(tmp_path)).collect()}
+    assert len(want) > 100 and set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_documents_are_numbered_without_holes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i * i,) for i in range(200)], "doc_id long")
+    rows = queries.folds.numbered(df, ["doc_id"], F.floor(F.col("doc_id") / 1000)).collect()
+    assert sorted((r["doc_id"], r["_d"]) for r in rows) == [(i * i, i) for i in range(200)]
 
 
 def test_weak_text_is_judged_on_the_whole_text(spark, tmp_path):
