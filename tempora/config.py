@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 
@@ -124,31 +125,27 @@ EVENT_TYPES = (
 )
 
 
+def _flag(text: str) -> bool:
+    return {"true": True, "false": False}[text.lower()]
+
+
 def typed(text: str):
-    """An override's value: boolean, integer, float, else text."""
-    if text.lower() in ("true", "false"):
-        return text.lower() == "true"
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            pass
+    """A setting's value from its text: the first of boolean, integer and float that reads it, else the text."""
+    for read in (_flag, int, float):
+        with suppress(KeyError, ValueError):
+            return read(text)
     return text
 
 
 def overrides(items: list[str]) -> dict:
-    """`a.b=value` items as nested dictionaries; items without a value are ignored."""
-    out: dict = {}
-    for item in items:
-        path, _, value = item.partition("=")
-        if not value:
-            continue
-        *above, last = path.strip().split(".")
-        at = out
-        for key in above:
-            at = at.setdefault(key, {})
-        at[last] = typed(value.strip())
-    return out
+    """`a.b=value` items as one layer for resolve(); items without a name or a value count for nothing, of equal paths the last
+    one counts."""
+    cut = (item.split("=", 1) for item in items if "=" in item)
+    found: dict[tuple, object] = {}
+    for path, value in ((p.strip(), v.strip()) for p, v in cut):
+        if path and value:
+            _put(found, tuple(path.split(".")), typed(value))
+    return _tree(found)
 
 
 def leaves(layer: dict, above: tuple = ()) -> Iterator[tuple[tuple, object]]:
@@ -160,18 +157,18 @@ def leaves(layer: dict, above: tuple = ()) -> Iterator[tuple[tuple, object]]:
             yield (*above, key), value
 
 
-def resolve(*layers: dict | None) -> dict:
-    """Layers from the weakest to the strongest: of each path the last value counts. A value and a dictionary replace each other
-    whole; an empty dictionary changes nothing where there is one already."""
-    found: dict[tuple, object] = {}
-    for layer in layers:
-        for path, value in leaves(layer or {}):
-            below = [p for p in found if len(p) > len(path) and p[: len(path)] == path]
-            if value == {} and below:
-                continue
-            for p in [*below, *(path[:n] for n in range(1, len(path) + 1))]:
-                found.pop(p, None)
-            found[path] = value
+def _put(found: dict[tuple, object], path: tuple, value: object) -> None:
+    """Give a path its value. Whatever stood on the way to it or below it goes; an empty dictionary changes nothing where there is
+    one with settings already."""
+    below = [p for p in found if len(p) > len(path) and p[: len(path)] == path]
+    if value == {} and below:
+        return
+    for p in [*below, *(path[:n] for n in range(1, len(path) + 1))]:
+        found.pop(p, None)
+    found[path] = value
+
+
+def _tree(found: dict[tuple, object]) -> dict:
     out: dict = {}
     for path, value in found.items():
         at = out
@@ -179,3 +176,13 @@ def resolve(*layers: dict | None) -> dict:
             at = at.setdefault(key, {})
         at[path[-1]] = value
     return out
+
+
+def resolve(*layers: dict | None) -> dict:
+    """Layers from the weakest to the strongest: of each path the last value counts. A value and a dictionary replace each other
+    whole; an empty dictionary changes nothing where there is one already."""
+    found: dict[tuple, object] = {}
+    for layer in layers:
+        for path, value in leaves(layer or {}):
+            _put(found, path, value)
+    return _tree(found)

@@ -53,6 +53,12 @@ def within_any(left: DataFrame, at: str, right: DataFrame, how: str = "left_semi
     return both.filter(inside if how == "left_semi" else ~inside).drop("_seen")
 
 
+def marked_within(left: DataFrame, at: str, right: DataFrame, out: str) -> DataFrame:
+    """left with a boolean: whether its time lies in an interval of right, ends included."""
+    both = _reached(left, F.col(at), right, F.col("end"), before=True)
+    return both.withColumn(out, F.coalesce(F.col("_seen") >= F.col(at), F.lit(False))).drop("_seen")
+
+
 def within_one(left: DataFrame, a: str, b: str, spans: DataFrame) -> DataFrame:
     """Rows of left with [a, b] inside one of the spans (start, end), which do not overlap in a session: of those that start by
     a, the last one ends latest."""

@@ -112,7 +112,7 @@ def shifted(found: DataFrame, offset: str, types: tuple = EVENT_TYPES, fallback:
         {
             "start": F.col("start") + F.col(offset),
             "end": F.coalesce("end", "start") + F.col(offset),
-            "type": F.when(F.col("type").isin(types), F.col("type")).otherwise(fallback),
+            "type": F.when(F.col("type").isin(*types), F.col("type")).otherwise(fallback),
             "confidence": F.coalesce("confidence", F.lit(0.5)),
         }
     )

@@ -9,6 +9,7 @@ from ..functions import expr
 from ..functions.similarity import similar
 from ..operators import folds as op
 from ..operators import matching
+from ..operators import moments as looked
 from ..functions import similarity
 from .base import HOUR, E, I, intervals, read, rounded, timeline
 
@@ -137,10 +138,7 @@ def budget_pick(spark, sf_dir):
 
 @query(f"""WITH {MOMENTS}, k AS (SELECT session, seq, row_number() OVER (PARTITION BY session ORDER BY priority, start, seq) AS n FROM m) SELECT session, seq FROM k WHERE n <= 15""")
 def density_cap(spark, sf_dir):
-    from ..operators.windows import ordered
-
-    n = F.row_number().over(ordered("priority", "start", "seq"))
-    return moments(spark, sf_dir).withColumn("n", n).filter(F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("minutes") * 0.5))).select("session", "seq")
+    return looked.density_cap(moments(spark, sf_dir), F.col("minutes"), 0.5).select("session", "seq")
 
 
 @query(

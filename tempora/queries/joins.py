@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import joins as op
+from ..operators import moments
 from ..operators.windows import ordered
 from .base import HOUR, E, I, intervals, read, rounded, timeline
 
@@ -159,8 +160,8 @@ def context_frames(spark, sf_dir):
 
 @query(f"""WITH {E} SELECT session, seq, lag(seq) OVER o AS previous, lead(seq) OVER o AS next FROM e WINDOW o AS (PARTITION BY session ORDER BY ts, seq)""")
 def adjacent_rows(spark, sf_dir):
-    w = ordered("ts", "seq")
-    return timeline(spark, sf_dir).select("session", "seq", F.lag("seq").over(w).alias("previous"), F.lead("seq").over(w).alias("next"))
+    t = moments.beside_rows(timeline(spark, sf_dir), ["ts", "seq"], {"previous": "seq"}, {"next": "seq"})
+    return t.select("session", "seq", "previous", "next")
 
 
 @query(

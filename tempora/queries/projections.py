@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import Change
 from ..functions import expr
-from ..operators import folds, joins, matching, windows
+from ..operators import folds, joins, matching, moments, windows
 from ..plans import stages
 from ..sources import discovery
 from .base import HOUR, E, I, intervals, read, rounded, timeline
@@ -59,19 +60,29 @@ def viewer_events(spark, sf_dir):
     return i.select("session", "seq", F.round(F.col("start") / 1000, 1).alias("start_s"), F.round(F.col("end") / 1000, 1).alias("end_s"), sure.alias("confidence"))
 
 
-@query(f"""WITH {E}, m AS (SELECT session, seq, ts, CASE type WHEN 'click' THEN ts + 250 WHEN 'view' THEN ts + y * 180000 ELSE ts END AS "at" FROM e) SELECT session, seq, "at" FROM m""")
+CATEGORY = "CASE type WHEN 'error' THEN 'scene_change' WHEN 'click' THEN 'interaction' WHEN 'view' THEN 'continuous' WHEN 'signup' THEN 'pre_scene_change' ELSE 'baseline' END"
+
+
+def categories(spark, sf_dir):
+    names = {"error": "scene_change", "click": "interaction", "view": "continuous", "signup": "pre_scene_change"}
+    kind = F.lit("baseline")
+    for k, v in names.items():
+        kind = F.when(F.col("type") == k, v).otherwise(kind)
+    return intervals(spark, sf_dir).withColumn("category", kind)
+
+
+@query(
+    f"""WITH {E}, {I}, m AS (SELECT *, {CATEGORY} AS category FROM i)
+SELECT session, seq, CASE category WHEN 'scene_change' THEN "end" + 250 WHEN 'continuous' THEN start ELSE (start + "end") / 2 END AS "at" FROM m"""
+)
 def moment_times(spark, sf_dir):
-    """Where a moment is looked at: shortly after it, in its middle, or at its start."""
-    i = intervals(spark, sf_dir)
-    at = F.when(F.col("type") == "click", F.col("start") + 250).when(F.col("type") == "view", F.col("start") + F.col("y") * 180000).otherwise(F.col("start"))
-    return i.select("session", "seq", at.alias("at"))
+    return categories(spark, sf_dir).select("session", "seq", moments.representative_time(F.col("category"), F.col("start"), F.col("end")).alias("at"))
 
 
 @query(f"""WITH {E} SELECT session, seq, lag(seq) OVER o AS before, round(abs(x - lag(x) OVER o), 6) AS magnitude, ts - lag(ts) OVER o AS gap FROM e WINDOW o AS (PARTITION BY session ORDER BY ts, seq)""")
 def adjacent_changes(spark, sf_dir):
-    w = windows.ordered("ts", "seq")
-    t = timeline(spark, sf_dir)
-    return t.select("session", "seq", F.lag("seq").over(w).alias("before"), F.round(F.abs(F.col("x") - F.lag("x").over(w)), 6).alias("magnitude"), (F.col("ts") - F.lag("ts").over(w)).alias("gap"))
+    t = moments.beside_rows(timeline(spark, sf_dir), ["ts", "seq"], {"before": "seq", "_x": "x", "_ts": "ts"})
+    return rounded(t.select("session", "seq", "before", F.abs(F.col("x") - F.col("_x")).alias("magnitude"), (F.col("ts") - F.col("_ts")).alias("gap")), magnitude=6)
 
 
 @query(
@@ -119,12 +130,19 @@ def gap_fillers(spark, sf_dir):
     return rounded(folds.fill_gaps(gaps, 258.0), at=3)
 
 
-@query(f"""WITH {E}, m AS (SELECT session, seq, ts, y FROM e), p AS (SELECT *, greatest(1, ceil(y / 20))::BIGINT AS n FROM m) SELECT session, seq, unnest(range(0, n)) AS k, round(ts + (unnest(range(0, n)) + 0.5) * (y * 360000 / n), 2) AS at FROM p""")
+@query(
+    f"""WITH {E}, {I}, m AS (SELECT *, {CATEGORY} AS category, (seq % 6 - 1)::INTEGER AS frames, seq % 5 > 0 AS has FROM i),
+p AS (SELECT *, category IN ('interaction', 'pre_scene_change') AND has AS pair FROM m), n AS (SELECT *, CASE WHEN frames > 0 THEN frames WHEN pair THEN 2 ELSE 1 END AS n FROM p),
+t AS (SELECT session, seq, CASE WHEN pair AND n <= 2 THEN [greatest(0, start - 250), "end" + 250]
+  WHEN pair THEN list_concat(list_concat([greatest(0, start - 250)], list_transform(range(1, n - 1), lambda k: start + ("end" - start) * k / (n - 1))), ["end" + 250])
+  WHEN n <= 1 OR "end" <= start THEN [(start + "end") / 2] ELSE list_transform(range(0, n), lambda k: start + ("end" - start) * k / (n - 1)) END AS times FROM n)
+SELECT session, seq, unnest(range(0, len(times))) AS k, round(unnest(times), 2) AS at FROM t"""
+)
 def spread_frames(spark, sf_dir):
-    """Evenly spread times inside a moment."""
-    t = timeline(spark, sf_dir).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("y") / 20)).cast("int"))
-    t = t.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return t.select("session", "seq", F.col("k").cast("long").alias("k"), F.round(F.col("ts") + (F.col("k") + 0.5) * (F.col("y") * 360000 / F.col("n")), 2).alias("at"))
+    """The times at which moments are seen, numbered."""
+    times = moments.frame_times(F.col("category"), F.col("start"), F.col("end"), (F.col("seq") % 6 - 1).cast("int"), F.col("seq") % 5 > 0)
+    m = categories(spark, sf_dir).select("session", "seq", F.posexplode(times).alias("k", "at"))
+    return rounded(m.withColumn("k", F.col("k").cast("long")), at=2)
 
 
 @query(
@@ -138,11 +156,18 @@ def summary_changes(spark, sf_dir):
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("identical"), F.count_if(F.col("before").isNotNull() & ~same).alias("changed"))
 
 
-@query(f"""WITH {E} SELECT session, seq, floor(least(x, 500) * 1920 / 500)::BIGINT AS px, floor(y * 1080 / 100)::BIGINT AS py, round(ts / 1000 + 12.5, 3) AS stored_s FROM e""")
+@query(
+    f"""WITH {E}, p AS (SELECT *, 400 + seq % 300 AS w, 300 + seq % 200 AS h FROM e), c AS (SELECT *, least(w / 1920::DOUBLE, h / 1080::DOUBLE) AS s FROM p),
+v AS (SELECT *, floor(greatest(0, least(1920, (x * 4 - (10 + (w - 1920 * s) / 2)) / s)) + 0.5)::BIGINT AS px, floor(greatest(0, least(1080, (y * 4 - (20 + (h - 1080 * s) / 2)) / s)) + 0.5)::BIGINT AS py FROM c)
+SELECT session, seq, px, py, floor(ts + 12.5 + 0.5)::BIGINT AS stored, CASE WHEN abs(px - 960) >= 5 AND abs(py - 540) >= 5 THEN least(px, 960) END AS box_x, CASE WHEN abs(px - 960) >= 5 AND abs(py - 540) >= 5 THEN abs(py - 540) END AS box_h FROM v"""
+)
 def native_coordinates(spark, sf_dir):
-    """Points of a view of 500 x 100 in pixels of a 1920 x 1080 video, those beyond its right edge on it; times on the stored clock."""
+    """Points on players of many shapes in pixels of a 1920 x 1080 video, boxes from its middle to them, times on the stored clock."""
     t = timeline(spark, sf_dir)
-    return t.select("session", "seq", F.floor(F.least(F.col("x"), F.lit(500.0)) * 1920 / 500).alias("px"), F.floor(F.col("y") * 1080 / 100).alias("py"), F.round(F.col("ts") / 1000 + 12.5, 3).alias("stored_s"))
+    w, h = 400 + F.col("seq") % 300, 300 + F.col("seq") % 200
+    t = t.withColumn("p", moments.native_point(F.col("x") * 4, F.col("y") * 4, F.lit(10), F.lit(20), w, h, 1920, 1080))
+    t = t.withColumn("b", moments.drag_box(F.struct(F.lit(960).cast("long").alias("x"), F.lit(540).cast("long").alias("y")), F.col("p")))
+    return t.select("session", "seq", F.col("p.x").alias("px"), F.col("p.y").alias("py"), moments.stored_ms(F.col("ts"), F.lit(12.5)).alias("stored"), F.col("b.x").alias("box_x"), F.col("b.h").alias("box_h"))
 
 
 @query("""SELECT session, max(n) FILTER (WHERE ok)::INTEGER AS iteration FROM (SELECT user_id AS session, event_id % 23 AS n, event_id % 2 = 0 AS ok FROM events) GROUP BY session""")
@@ -152,10 +177,14 @@ def numbered_folders(spark, sf_dir):
     return discovery.latest_iteration(e.select(F.col("user_id").alias("session"), name.alias("name")), "session", "name")
 
 
-@query(f"""WITH {E}, {I}, h AS (SELECT session, count(*) AS n, round(avg("end" - start), 3) AS mean FROM i WHERE confidence >= 0.3 AND x BETWEEN 5 AND 200 GROUP BY session) SELECT * FROM h""")
+@query(
+    f"""WITH {E}, {I}, h AS (SELECT session, count(*) AS n, round(avg("end" - start), 3) AS mean FROM i WHERE confidence >= 0.3 AND x >= 5 AND type IN ('click', 'view') GROUP BY session) SELECT * FROM h"""
+)
 def scroll_filter(spark, sf_dir):
-    i = intervals(spark, sf_dir).filter("confidence >= 0.3 AND x BETWEEN 5 AND 200")
-    return i.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("end") - F.col("start")), 3).alias("mean"))
+    way = F.when(F.col("type") == "click", "N").when(F.col("type") == "view", "S").otherwise("E")
+    i = intervals(spark, sf_dir).withColumns({"uniformity": F.col("confidence"), "magnitude": F.col("x"), "direction": way})
+    kept = stages.scrolls(i, Change(flow_uniformity=0.3, flow_magnitude=5.0))
+    return kept.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("end") - F.col("start")), 3).alias("mean"))
 
 
 @query(f"""WITH {E}, p AS (SELECT session, x, y, lag(x) OVER o AS ax, lag(y) OVER o AS ay, lead(x) OVER o AS bx, lead(y) OVER o AS by_ FROM e WINDOW o AS (PARTITION BY session ORDER BY ts, seq))

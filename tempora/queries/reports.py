@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import matching, reports
+from ..operators import enrich, matching, moments, reports
 from ..operators.joins import agreement
 from ..operators.windows import ordered
 from .base import HOUR, E, I, intervals, read, rounded, timeline
@@ -297,7 +297,7 @@ def enrichment_needs(spark, sf_dir):
     text = F.when(blank, "").otherwise(F.col("text"))
     title = F.when(F.col("lang") == "de", "").otherwise(F.col("lang"))
     return read(spark, sf_dir, "documents").select(
-        "doc_id", (F.length(F.trim(text)) < 15).alias("weak_text"), (title == "").alias("no_title"), F.coalesce(F.nullif(F.when(blank, "").otherwise(F.col("source")), F.lit("")), F.col("lang")).alias("filled")
+        "doc_id", enrich.weak(text).alias("weak_text"), (~enrich.present(title)).alias("no_title"), F.coalesce(F.nullif(F.when(blank, "").otherwise(F.col("source")), F.lit("")), F.col("lang")).alias("filled")
     )
 
 
@@ -305,8 +305,8 @@ def enrichment_needs(spark, sf_dir):
     f"""WITH {E} SELECT session, seq, greatest(0, least(floor(x)::BIGINT * 4 - 128, 1664)) AS rx, greatest(0, least((y * 10)::BIGINT - 128, 824)) AS ry FROM e"""
 )
 def roi_rects(spark, sf_dir):
-    side = lambda at, frame: F.greatest(F.lit(0), F.least(at - 128, F.lit(frame - 256)))
-    return timeline(spark, sf_dir).select("session", "seq", side(F.floor("x") * 4, 1920).alias("rx"), side((F.col("y") * 10).cast("long"), 1080).alias("ry"))
+    r = expr.region_around(F.floor("x") * 4, (F.col("y") * 10).cast("long"), 1920, 1080, 256)
+    return timeline(spark, sf_dir).select("session", "seq", r.alias("r")).select("session", "seq", "r.rx", "r.ry")
 
 
 @query("""SELECT user_id AS session, max((event_id % 17)::INTEGER) AS iteration, count(DISTINCT event_id % 17) AS iterations FROM events GROUP BY user_id""")
@@ -318,12 +318,10 @@ def latest_iteration(spark, sf_dir):
 
 @query(
     f"""WITH {E}, s AS (SELECT session, max(ts) - min(ts) AS d FROM e GROUP BY session), n AS (SELECT session, d, greatest(1, ceil(d / {75 * H})) AS n FROM s WHERE d > 0)
-SELECT session, sum(floor((d / n) / 1000 * 0.001 * 263))::BIGINT AS tokens FROM (SELECT *, unnest(range(0, n::BIGINT)) FROM n) GROUP BY session"""
+SELECT session, sum(floor(((k + 1) * (d / n) - k * (d / n)) / 1000 * 0.001 * 263))::BIGINT AS tokens FROM (SELECT *, unnest(range(0, n::BIGINT)) AS k FROM n) GROUP BY session"""
 )
 def estimated_tokens(spark, sf_dir):
     from ..operators.windows import segments
 
     s = timeline(spark, sf_dir).groupBy("session").agg((F.max("ts") - F.min("ts")).alias("d"))
-    parts = segments(s, "d", 75 * H, 0.0).groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    each = F.floor((F.col("d") / F.col("n")) / 1000 * 0.001 * 263)
-    return s.join(parts, "session").select("session", (each * F.col("n")).cast("long").alias("tokens"))
+    return moments.estimated_tokens(segments(s, "d", 75 * H, 0.0), 0.001)
