@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import slices, stored, table, utf8
 from .packing import ids_bytes
-from .tokens import PLAIN, Encoder, tokenizer_path
+from .tokens import CACHE_ENTRIES, PLAIN, Encoder, tokenizer_path
 
 
 def closest(left: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
@@ -143,6 +143,18 @@ def _lower(raw: np.ndarray) -> np.ndarray:
     return raw + (upper * np.uint8(32))
 
 
+def _known(enc: Encoder, pieces: list[str]) -> list[bytes]:
+    """The ids of pieces that stand alone; those that the worker has not met are encoded."""
+    if len(enc.kept) > CACHE_ENTRIES:
+        enc.kept.clear()
+    new = [p for p in pieces if p not in enc.kept]
+    for i in range(0, len(new), 20_000):
+        part = new[i : i + 20_000]
+        for p, e in zip(part, enc.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            enc.kept[p] = enc.value(e.ids)
+    return list(map(enc.kept.__getitem__, pieces))
+
+
 def encoded(enc: Encoder, column: pa.Array) -> list[bytes]:
     """What enc.batch() gives for each text, joined: the pieces of plain texts are found and put together for all rows at once, and
     only distinct ones are looked up. Other texts, and those over a chunk, go through enc.batch()."""
@@ -157,7 +169,7 @@ def encoded(enc: Encoder, column: pa.Array) -> list[bytes]:
     held = np.ascontiguousarray(_lower(raw)[kind > 0])
     to = np.r_[np.cumsum(kind > 0)[start] - 1, len(held)].astype(np.int64)
     pieces = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(to), pa.py_buffer(held)]).dictionary_encode()
-    ids = enc.values(pieces.dictionary.to_pylist())
+    ids = _known(enc, pieces.dictionary.to_pylist())
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
     code = pieces.indices.to_numpy()
