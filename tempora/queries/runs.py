@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Merge
 from ..functions import exact
 from ..operators import enrich, matching, texts
 from ..operators import folds as folded
 from ..operators import windows as op
+from ..plans import merge
 from ..plans.graph import Graph, Stage, fingerprint
 from ..sources.tables import shared_dir
+from . import folds as folded_queries
 from . import windows
 from .base import HOUR, E, I, intervals, rounded, timeline
 
@@ -173,6 +176,23 @@ def summary_diffs(spark, sf_dir):
     return texts.text_changes(said(t), other, ["session", "segment"]).drop("segment")
 
 
+@query()
+def standalone_merge(spark, sf_dir):
+    """A user's events as what three overlapping segments found, with whole dialogue turns as descriptions, made one timeline again."""
+    told = folded_queries.spoken(spark, sf_dir)
+    first = told.groupBy("session").agg(F.min("start").alias("_0"))
+    rows = told.join(first, "session").withColumns({c: F.col(c) - F.col("_0") for c in ("start", "end")})
+    segments = first.select("session", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("segment"))
+    segments = segments.select("session", "segment", (F.col("segment") * 200 * H).alias("start"), (F.col("segment") * 200 * H + 260 * H).alias("end"))
+    seen = rows.join(segments.withColumnsRenamed({"start": "_a", "end": "_z"}), "session").filter("start >= _a AND start <= _z")
+    at = {c: F.col(c) - F.col("_a") for c in ("start", "end")}
+    found = seen.withColumns(at | {"cursor_x": F.lit(None).cast("double"), "cursor_y": F.lit(None).cast("double")})
+    path = timeline(spark, sf_dir).join(first, "session").withColumn("ts", F.col("ts") - F.col("_0"))
+    offsets = first.select("session", F.lit(500.0).alias("offset"))
+    limits = Merge(tolerance_ms=12 * H, similarity=0.6, overlap_close_ms=12 * H, overlap_similarity=0.3)
+    return merge.standalone(found, segments, path, offsets, c=limits)
+
+
 @query(
     f"""WITH {E}, m AS (SELECT session, count(*) FILTER (WHERE seq % 2 = 0) AS b, count(*) FILTER (WHERE seq % 2 = 1) AS f, count(*) FILTER (WHERE seq % 2 = 1 AND x > 30) AS m, avg(x) AS start_error, avg(CASE WHEN y > 50 THEN y END) AS end_error FROM e GROUP BY session)
 SELECT session, b AS n_baseline, f AS n_found, m AS n_matched, printf('%.4f', coalesce(m / nullif(f, 0)::DOUBLE, 0))::DOUBLE AS precision, printf('%.4f', coalesce(m / nullif(b, 0)::DOUBLE, 0))::DOUBLE AS recall,
