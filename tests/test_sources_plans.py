@@ -165,3 +165,41 @@ def test_settings_and_layers(spark, tmp_path):
     assert found == {"triage": {"idle": 0.01, "fps": {"low": 3, "high": 9}}, "name": "x"}
     assert config.resolve({"a": {"b": 1}}, {"a": {}}) == {"a": {"b": 1}}
     assert config.resolve({"a": {"b": 1}}, {"a": 2}) == {"a": 2} and config.resolve({"a": 2}, {"a": {"b": 1}}) == {"a": {"b": 1}}
+
+
+def _flooded(on):
+    out, seen = [], set()
+    for start in zip(*on.nonzero()):
+        if start in seen:
+            continue
+        part, todo = {start}, [start]
+        while todo:
+            y, x = todo.pop()
+            for p in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if p not in part and 0 <= p[0] < on.shape[0] and 0 <= p[1] < on.shape[1] and on[p]:
+                    part.add(p)
+                    todo.append(p)
+        seen |= part
+        ys, xs = [int(p[0]) for p in part], [int(p[1]) for p in part]
+        out.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(part)))
+    return sorted(out, key=lambda r: (r[1], r[0]))
+
+
+def test_changed_regions_against_flooding():
+    import time
+
+    import numpy as np
+
+    from tempora.sources import provider
+
+    rng = np.random.default_rng(1)
+    for density in (0.05, 0.3, 0.45, 0.8):
+        b = (rng.random((40, 50)) < density).astype(np.uint8) * 200
+        found = provider.changed_regions(np.zeros((40, 50), np.uint8), b, least=2)
+        assert sorted(found) == sorted(r for r in _flooded(b > 25) if r[4] >= 2)
+    snake = np.zeros((401, 400), np.uint8)  # one region with a very long way through it
+    snake[::2], snake[1::4, -1], snake[3::4, 0] = 200, 200, 200
+    t = time.time()
+    assert [r[4] for r in provider.changed_regions(np.zeros_like(snake), snake)] == [int((snake > 0).sum())]
+    assert time.time() - t < 5
+    assert provider.changed_regions(snake, snake) == []
