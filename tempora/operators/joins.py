@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windows import ordered
+from .windows import ordered, running
 
 
 def binned(df: DataFrame, start: str, end: str, width: float, out: str = "bin") -> DataFrame:
@@ -28,67 +28,65 @@ def interval_join(left: DataFrame, right: DataFrame, width: float, strict: bool
     return a.join(b, [*keys, "bin"]).filter(meet & home).select(*keys, "l", "r")
 
 
-def _reached(left: DataFrame, at: Column, right: DataFrame, value: Column, before: bool, backwards: bool = False) -> DataFrame:
+def _reached(left: DataFrame, at: Column, right: DataFrame, value: Column, before: bool, backwards: bool = False, part_ms: float | None = None) -> DataFrame:
     """left with _seen: the greatest `value` of right's rows that start by `at` (backwards: the start of the next one from `at`
-    on); rows that start right at it count if `before`. One sort of both sides together; no row is multiplied."""
+    on); rows that start right at it count if `before`. One sort of both sides together; no row is multiplied. part_ms: as in
+    windows.running(), of which rows that tie in all need the same."""
     side = 1 if before != backwards else -1
     l = left.select("session", at.alias("_t"), F.lit(side).alias("_side"), F.struct("*").alias("_l"), F.lit(None).cast("double").alias("_v"))
     r = right.select("session", F.col("start").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), value.cast("double").alias("_v"))
-    order = [F.desc("_t"), F.desc("_side")] if backwards else [F.asc("_t"), F.asc("_side")]
-    past = W.partitionBy("session").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = F.last("_v", ignorenulls=True).over(past) if backwards else F.max("_v").over(past)
-    return l.unionByName(r).withColumn("_seen", seen).filter("_l IS NOT NULL").select("_l.*", "_seen")
+    both = running(l.unionByName(r), F.col("_v"), "_seen", ["_t", "_side"], "last" if backwards else "max", backwards=backwards, part_ms=part_ms)
+    return both.filter("_l IS NOT NULL").select("_l.*", "_seen")
 
 
-def without_overlap(left: DataFrame, right: DataFrame, key: str = "seq") -> DataFrame:
+def without_overlap(left: DataFrame, right: DataFrame, key: str = "seq", part_ms: float | None = None) -> DataFrame:
     """Rows of left that overlap no interval of right (half-open): of those that start before its end, none ends after its start."""
-    both = _reached(left, F.col("end"), right, F.col("end"), before=False)
+    both = _reached(left, F.col("end"), right, F.col("end"), before=False, part_ms=part_ms)
     return both.filter(F.coalesce(F.col("_seen") <= F.col("start"), F.lit(True))).drop("_seen")
 
 
-def within_any(left: DataFrame, at: str, right: DataFrame, how: str = "left_semi") -> DataFrame:
+def within_any(left: DataFrame, at: str, right: DataFrame, how: str = "left_semi", part_ms: float | None = None) -> DataFrame:
     """Rows of left whose time lies in an interval of right, ends included (left_anti: in none)."""
     inside = F.coalesce(F.col("_seen") >= F.col(at), F.lit(False))
-    both = _reached(left, F.col(at), right, F.col("end"), before=True)
+    both = _reached(left, F.col(at), right, F.col("end"), before=True, part_ms=part_ms)
     return both.filter(inside if how == "left_semi" else ~inside).drop("_seen")
 
 
-def marked_within(left: DataFrame, at: str, right: DataFrame, out: str) -> DataFrame:
+def marked_within(left: DataFrame, at: str, right: DataFrame, out: str, part_ms: float | None = None) -> DataFrame:
     """left with a boolean: whether its time lies in an interval of right, ends included."""
-    both = _reached(left, F.col(at), right, F.col("end"), before=True)
+    both = _reached(left, F.col(at), right, F.col("end"), before=True, part_ms=part_ms)
     return both.withColumn(out, F.coalesce(F.col("_seen") >= F.col(at), F.lit(False))).drop("_seen")
 
 
-def within_one(left: DataFrame, a: str, b: str, spans: DataFrame) -> DataFrame:
+def within_one(left: DataFrame, a: str, b: str, spans: DataFrame, part_ms: float | None = None) -> DataFrame:
     """Rows of left with [a, b] inside one of the spans (start, end), which do not overlap in a session: of those that start by
     a, the last one ends latest."""
-    both = _reached(left, F.col(a), spans, F.col("end"), before=True)
+    both = _reached(left, F.col(a), spans, F.col("end"), before=True, part_ms=part_ms)
     return both.filter(F.coalesce(F.col("_seen") >= F.col(b), F.lit(False))).drop("_seen")
 
 
-def not_contained(left: DataFrame, right: DataFrame) -> DataFrame:
+def not_contained(left: DataFrame, right: DataFrame, part_ms: float | None = None) -> DataFrame:
     """Rows of left that no interval of right contains."""
-    both = _reached(left, F.col("start"), right, F.col("end"), before=True)
+    both = _reached(left, F.col("start"), right, F.col("end"), before=True, part_ms=part_ms)
     return both.filter(~F.coalesce(F.col("_seen") >= F.col("end"), F.lit(False))).drop("_seen")
 
 
-def followed(left: DataFrame, right: DataFrame, within: float) -> DataFrame:
+def followed(left: DataFrame, right: DataFrame, within: float, part_ms: float | None = None) -> DataFrame:
     """Rows of left after whose end a row of right starts within the open interval (0, within)."""
-    both = _reached(left, F.col("end"), right, F.col("start"), before=False, backwards=True)
+    both = _reached(left, F.col("end"), right, F.col("start"), before=False, backwards=True, part_ms=part_ms)
     return both.filter(F.col("_seen") - F.col("end") < within).drop("_seen")
 
 
-def backward_asof(left: DataFrame, at: str, right: DataFrame, right_at: str, value: str) -> DataFrame:
+def backward_asof(left: DataFrame, at: str, right: DataFrame, right_at: str, value: str, part_ms: float | None = None) -> DataFrame:
     """left with the value of the latest row of right at or before its time; of ties the first seen (least seq).
 
-    One sort of both sides together; no row is multiplied.
+    One sort of both sides together; no row is multiplied. part_ms: as in windows.running(), so that a very long session spreads.
     """
     l = left.select("session", F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(False).alias("_has"))
     first = right.groupBy("session", F.col(right_at).alias("_t")).agg(F.min_by(value, "seq").alias("_v"))
     r = first.select("session", "_t", F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), "_v", F.lit(True).alias("_has"))
-    w = ordered("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = F.last(F.when(F.col("_has"), F.struct("_v")), ignorenulls=True).over(w)
-    return l.unionByName(r).withColumn("_seen", seen).filter("_side = 1").select("_l.*", F.col("_seen._v").alias(value))
+    seen = running(l.unionByName(r), F.when(F.col("_has"), F.struct("_v")), "_seen", ["_t", "_side"], "last", part_ms=part_ms)
+    return seen.filter("_side = 1").select("_l.*", F.col("_seen._v").alias(value))
 
 
 def nearest_neighbours(left: DataFrame, at: str, trajectory: DataFrame, tolerance: float, valid: Column) -> DataFrame:

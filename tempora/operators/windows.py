@@ -5,6 +5,8 @@ Every function works on all sessions at once. `session` is the partitioning colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,16 +24,67 @@ def islands(df: DataFrame, breaks: Column, order: list[str], by: str | list[str]
     return df.withColumn(out, F.sum(F.when(F.coalesce(breaks, F.lit(False)), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def gap_islands(df: DataFrame, gap: float, start: str = "ts", end: str = "ts", order: list[str] | None = None) -> DataFrame:
-    """A new island where a row starts more than `gap` after the end of the row before it."""
-    order = order or ["ts", "seq"]
-    return islands(df, F.col(start) - F.lag(end).over(ordered(*order)) > gap, order)
+#: What running() can do: within a part, from the parts before it, and both together.
+RUNNING: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "last": (lambda c: F.last(c, ignorenulls=True), lambda inside, ahead: F.coalesce(inside, ahead)),
+    "max": (F.max, lambda inside, ahead: F.greatest(inside, ahead)),
+    "sum": (F.sum, lambda inside, ahead: F.when(inside.isNotNull() | ahead.isNotNull(), F.coalesce(inside, F.lit(0)) + F.coalesce(ahead, F.lit(0)))),
+}
+
 
+def running(
+    df: DataFrame, value: Column, out: str, order: list[str], how: str, by: str | list[str] = "session", current: bool = True, backwards: bool = False, part_ms: float | None = None
+) -> DataFrame:
+    """df with the last value that is not null, the greatest or the sum of all rows of its session up to each row (current: with it;
+    backwards: in the opposite order). `order` begins with a time and tells any two rows apart.
 
-def overlap_islands(df: DataFrame, gap: float, start: str, end: str, order: list[str], by: str | list[str] = "session") -> DataFrame:
-    """A new island where a row starts more than `gap` after the latest end of all rows before it."""
-    before = F.max(end).over(ordered(*order, by=by).rowsBetween(W.unboundedPreceding, -1))
-    return islands(df, F.col(start) - before > gap, order, by=by)
+    With part_ms a session's rows are dealt by time parts of that width, so that a very long session spreads over tasks: each part
+    is worked out by itself, one row for each part is run over, and what came before joins on. Parts should be wide enough to
+    be few against the rows, and narrow enough to fit a task.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    over, both = RUNNING[how]
+    turned = F.desc if backwards else F.asc
+    frame = (W.unboundedPreceding, W.currentRow if current else -1)
+    if part_ms is None:
+        return df.withColumn(out, over(value).over(W.partitionBy(*by).orderBy(*(turned(c) for c in order)).rowsBetween(*frame)))
+    df = df.withColumns({"_part": F.floor(F.col(order[0]) / part_ms), "_value": value})
+    known = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    whole = {"last": (F.min_by if backwards else F.max_by)("_value", known), "max": F.max("_value"), "sum": F.sum("_value")}[how]
+    parts = df.groupBy(*by, "_part").agg(whole.alias("_whole"))
+    before = over(F.col("_whole")).over(W.partitionBy(*by).orderBy(turned("_part")).rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_of"), before.alias("_ahead"))
+    inside = over(F.col("_value")).over(W.partitionBy(*by, "_part").orderBy(*(turned(c) for c in order)).rowsBetween(*frame))
+    same = F.col("_part") == F.col("_of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    joined = df.withColumn("_in", inside).join(parts, same)
+    return joined.withColumn(out, both(F.col("_in"), F.col("_ahead"))).drop("_part", "_value", "_in", "_ahead", "_of", *(f"_by{i}" for i in range(len(by))))
+
+
+def _numbered(df: DataFrame, breaks: Column, order: list[str], by: str | list[str], part_ms: float) -> DataFrame:
+    """islands() for breaks that need no other row, by time parts."""
+    marked = df.withColumn("_new", F.when(F.coalesce(breaks, F.lit(False)), 1).otherwise(0)).drop("_before")
+    return running(marked, F.col("_new"), "island", order, "sum", by, part_ms=part_ms).drop("_new")
+
+
+def gap_islands(df: DataFrame, gap: float, start: str = "ts", end: str = "ts", order: list[str] | None = None, part_ms: float | None = None) -> DataFrame:
+    """A new island where a row starts more than `gap` after the end of the row before it. part_ms: as in running()."""
+    order = order or ["ts", "seq"]
+    if part_ms is None:
+        return islands(df, F.col(start) - F.lag(end).over(ordered(*order)) > gap, order)
+    seen = running(df, F.struct(F.col(end).alias("v")), "_before", order, "last", current=False, part_ms=part_ms)
+    return _numbered(seen, F.col(start) - F.col("_before.v") > gap, order, "session", part_ms)
+
+
+def overlap_islands(
+    df: DataFrame, gap: float, start: str, end: str, order: list[str], by: str | list[str] = "session", part_ms: float | None = None
+) -> DataFrame:
+    """A new island where a row starts more than `gap` after the latest end of all rows before it. part_ms: as in running()."""
+    seen = running(df, F.col(end), "_before", order, "max", by, current=False, part_ms=part_ms)
+    if part_ms is None:
+        return islands(seen, F.col(start) - F.col("_before") > gap, order, by=by).drop("_before")
+    return _numbered(seen, F.col(start) - F.col("_before") > gap, order, by, part_ms)
 
 
 def hop_windows(samples: DataFrame, value: str, size: float, step: float) -> DataFrame:

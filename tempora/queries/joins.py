@@ -32,7 +32,7 @@ def of(df, *types):
 @query(f"""WITH {E}, {I} SELECT session, seq FROM i a WHERE type = 'view' AND NOT EXISTS (SELECT 1 FROM i b WHERE b.type IN ('click', 'purchase') AND a.session = b.session AND a.start < b."end" AND b.start < a."end")""")
 def overlap_anti(spark, sf_dir):
     i = intervals(spark, sf_dir)
-    return op.without_overlap(of(i, "view"), of(i, "click", "purchase")).select("session", "seq")
+    return op.without_overlap(of(i, "view"), of(i, "click", "purchase"), part_ms=72 * H).select("session", "seq")
 
 
 @query(f"""WITH {E}, {I} SELECT a.session, a.seq, b.seq AS other FROM i a JOIN i b ON a.session = b.session AND a.start < b."end" AND b.start < a."end" WHERE a.type = 'view' AND b.type = 'click'""")
@@ -72,7 +72,7 @@ def range_exists_semi(spark, sf_dir):
 def asof_back(spark, sf_dir):
     t = timeline(spark, sf_dir)
     views = of(t, "view").withColumn("value", F.col("x"))
-    return op.backward_asof(of(t, "click"), "ts", views, "ts", "value").select("session", "seq", "value")
+    return op.backward_asof(of(t, "click"), "ts", views, "ts", "value", part_ms=72 * H).select("session", "seq", "value")
 
 
 @query(

@@ -102,7 +102,7 @@ b AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, seq) AS island
 
 @query(f"""WITH {ISLANDS} SELECT session, island::BIGINT AS island, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM b GROUP BY session, island""")
 def gap_islands(spark, sf_dir):
-    return op.gap_islands(timeline(spark, sf_dir), 8 * H).groupBy("session", "island").agg(
+    return op.gap_islands(timeline(spark, sf_dir), 8 * H, part_ms=72 * H).groupBy("session", "island").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")
     )
 
