@@ -45,9 +45,10 @@ def without_overlap(left: DataFrame, right: DataFrame, key: str = "seq", part_ms
     return both.filter(F.coalesce(F.col("_seen") <= F.col("start"), F.lit(True))).drop("_seen")
 
 
-def within_any(left: DataFrame, at: str, right: DataFrame, how: str = "left_semi", part_ms: float | None = None) -> DataFrame:
-    """Rows of left whose time lies in an interval of right, ends included (left_anti: in none)."""
-    inside = F.coalesce(F.col("_seen") >= F.col(at), F.lit(False))
+def within_any(left: DataFrame, at: str, right: DataFrame, how: str = "left_semi", part_ms: float | None = None, closed: bool = True) -> DataFrame:
+    """Rows of left whose time lies in an interval of right, its end included if `closed` (left_anti: in none)."""
+    seen = F.col("_seen")
+    inside = F.coalesce(seen >= F.col(at) if closed else seen > F.col(at), F.lit(False))
     both = _reached(left, F.col(at), right, F.col("end"), before=True, part_ms=part_ms)
     return both.filter(inside if how == "left_semi" else ~inside).drop("_seen")
 

@@ -27,6 +27,16 @@ def lines_of(rows: DataFrame, line: Column, order: list[str], by: list[str], out
     return each.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda s: s["_line"]), "\n").alias(out))
 
 
+def table_text(rows: DataFrame, cells: dict[str, Column], order: list[str], by: list[str], out: str = "text") -> DataFrame:
+    """A report's Markdown table for each group: a heading, a rule and a line for each row in order. A missing value is a dash; bars
+    and line ends inside a value are escaped, so that a row stays one line."""
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("-")), "\\|", "\\\\|"), LINE_ENDS, " ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(safe(c) for c in cells.values())), F.lit(" |"))
+    heading = "| " + " | ".join(cells) + " |\n|" + "---|" * len(cells)
+    made = lines_of(rows, line, order, by, out)
+    return made.withColumn(out, F.concat(F.lit(heading + "\n"), out))
+
+
 def cursor_lines(spans: DataFrame, segments: DataFrame) -> DataFrame:
     """(session, segment, text): rolled-up spans (session, segment, start, end, kind, x, y, to_x, to_y) as lines with times from the
     segment's start: `S-Ems: stationary pos=(x,y)` and `S-Ems: moved from (x,y) to (x,y)`. A segment without spans has an

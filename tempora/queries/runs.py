@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Merge
 from ..functions import exact
-from ..operators import enrich, matching, texts
+from ..operators import enrich, joins, matching, texts
 from ..operators import folds as folded
 from ..operators import windows as op
 from ..plans import merge
@@ -176,6 +176,30 @@ def summary_diffs(spark, sf_dir):
     return texts.text_changes(said(t), other, ["session", "segment"]).drop("segment")
 
 
+@query(
+    f"""WITH {E}, c AS (SELECT session, type, count(*) AS n, avg(x) AS mean, avg(CASE WHEN y > 98 THEN y END) AS late FROM e GROUP BY session, type)
+SELECT session, '| Type | Events | Mean | Late |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || replace(type, 'click', 'click\\|tap') || ' | ' || n || ' | ' || printf('%.2f', mean) || ' | ' || coalesce(printf('%.1f', late), '-') || ' |', chr(10) ORDER BY type) AS text
+FROM c GROUP BY session"""
+)
+def type_reports(spark, sf_dir):
+    """A Markdown table of each session's events by type."""
+    late = F.avg(F.when(F.col("y") > 98, F.col("y")))
+    c = timeline(spark, sf_dir).groupBy("session", "type").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), late.alias("late"))
+    cells = {"Type": F.replace("type", F.lit("click"), F.lit("click|tap")), "Events": F.col("n"), "Mean": exact.fixed(F.col("mean"), 2), "Late": exact.fixed(F.col("late"), 1)}
+    return texts.table_text(c, cells, ["type"], ["session"])
+
+
+@query(
+    f"""WITH {E}, r AS (SELECT session, ts AS start, ts + 10 * {H} AS "end" FROM e WHERE type = 'error')
+SELECT session, seq FROM e WHERE type = 'error' AND EXISTS (SELECT 1 FROM r WHERE r.session = e.session AND r.start <= e.ts - 10 * {H} AND e.ts - 10 * {H} < r."end")"""
+)
+def range_half_open(spark, sf_dir):
+    """Errors with another one at most ten hours before the ten hours before them; the end of a range is outside."""
+    t = timeline(spark, sf_dir).filter("type = 'error'")
+    ranges = t.select("session", F.col("ts").alias("start"), (F.col("ts") + 10 * H).alias("end"))
+    return joins.within_any(t.select("session", "seq", (F.col("ts") - 10 * H).alias("at")), "at", ranges, closed=False).select("session", "seq")
+
+
 @query()
 def standalone_merge(spark, sf_dir):
     """A user's events as what three overlapping segments found, with whole dialogue turns as descriptions, made one timeline again."""

@@ -231,3 +231,9 @@ def test_needs_summary_counts_types(spark):
     df = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", "seen"), (1, 2, "a", ""), (2, 0, "a", "seen")], "session long, seq long, type string, frame_description string")
     rows = defaultdict(dict, {r["session"]: r.asDict() for r in enrich.needs_summary(df).collect()})
     assert (rows[1]["events"], rows[1]["needy"], rows[1]["by_type"]) == (3, 2, {"a": 2}) and rows[2]["needy"] == 0 and not rows[2]["by_type"]
+
+
+def test_report_tables_keep_a_row_on_a_line(spark):
+    df = spark.createDataFrame([(1, 2, "a|b"), (1, 1, "x\ny"), (2, 1, None)], "session long, seq long, v string")
+    out = {r["session"]: r["text"] for r in texts.table_text(df, {"No": F.col("seq"), "Text": F.col("v")}, ["seq"], ["session"]).collect()}
+    assert out == {1: "| No | Text |\n|---|---|\n| 1 | x y |\n| 2 | a\\|b |", 2: "| No | Text |\n|---|---|\n| 1 | - |"}
