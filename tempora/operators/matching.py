@@ -34,7 +34,9 @@ def scored_pairs(baseline: DataFrame, found: DataFrame, tolerance: float, thresh
     # A hair less than needed is asked for, so that rounding loses no pair; the score itself decides.
     least = (F.lit(threshold) - 0.3 * F.col("_close")) / 0.7 - 1e-9
     score = 0.7 * similarity(F.col("_b"), F.col("_e"), least) + 0.3 * F.col("_close")
-    return pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("session", "type", "island", "b", "e", "score")
+    # A filter on the score would be pushed below it and work it out twice; a generator does so once.
+    enough = F.explode(F.filter(F.array(score), lambda s: s >= threshold))
+    return pairs.select("session", "type", "island", "b", "e", enough.alias("score"))
 
 
 def greedy(pairs: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ def described(spark, sf_dir):
 
 
 def spoken(spark, sf_dir):
-    """Whole turns of all dialogues as the descriptions of events: short enough for an edit distance in SQL."""
+    """Whole turns of all dialogues as the descriptions of events."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return told(spark, sf_dir, turns, ["conv_id", "turn", "role", "text"], F.floor(F.col("conv_id") / 10_000))
 
@@ -260,6 +260,12 @@ def overlap_dedup(spark, sf_dir):
     return op.dedup_overlaps(described(spark, sf_dir).withColumn("in_overlap", F.col("seq") % 2 == 0), 12 * H, 0.3, similar)
 
 
+def located(spark, sf_dir):
+    """Whole addresses of all pages as the descriptions of events: an edit distance of every near pair is affordable."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
+    return told(spark, sf_dir, pages, ["page_id"], F.floor(F.col("page_id") / 10_000))
+
+
 def _two(d):
     return d.filter("seq % 2 = 0"), d.filter("seq % 2 = 1")
 
@@ -270,7 +276,7 @@ def greedy_match(spark, sf_dir):
     return rounded(matching.greedy(matching.scored_pairs(a, b, 24 * H, 0.4, similarity.obershelp)), score=9)
 
 
-PAIRS = f"""{E}, {I}, c AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS d FROM conversations), z AS (SELECT greatest(1, count(*)) AS n FROM c),
+PAIRS = f"""{E}, {I}, c AS (SELECT url AS text, row_number() OVER (ORDER BY page_id) - 1 AS d FROM pages), z AS (SELECT greatest(1, count(*)) AS n FROM c),
 d AS (SELECT i.*, lower(coalesce(text, '')) AS t FROM i CROSS JOIN z LEFT JOIN c ON c.d = (session * 7 + floor(start / {48 * H})::BIGINT) % z.n),
 p AS (SELECT a.session, a.type, a.seq AS b, z.seq AS e, 0.7::DOUBLE * (CASE WHEN greatest(strlen(a.t), strlen(z.t)) = 0 THEN 1 ELSE 1 - levenshtein(a.t, z.t) / greatest(strlen(a.t), strlen(z.t)) END)
   + 0.3::DOUBLE * greatest(0, 1 - abs((a.start + a."end") / 2 - (z.start + z."end") / 2) / (2 * {24 * H})) AS score
@@ -279,7 +285,7 @@ p AS (SELECT a.session, a.type, a.seq AS b, z.seq AS e, 0.7::DOUBLE * (CASE WHEN
 
 @query(f"""WITH {PAIRS} SELECT session, type, b, e, round(score, 9) AS score FROM p WHERE score >= 0.3""")
 def match_scores(spark, sf_dir):
-    a, b = _two(spoken(spark, sf_dir))
+    a, b = _two(located(spark, sf_dir))
     return rounded(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio), score=9).drop("island")
 
 
@@ -291,7 +297,7 @@ r AS (SELECT session, type, rn, [b] AS bs, [e] AS es, true AS keep, b, e FROM o
 SELECT session, type, b, e FROM r WHERE keep"""
 )
 def greedy_match_edit(spark, sf_dir):
-    a, b = _two(spoken(spark, sf_dir))
+    a, b = _two(located(spark, sf_dir))
     return matching.greedy(matching.scored_pairs(a, b, 24 * H, 0.3, similarity.edit_ratio)).select("session", "type", "b", "e")
 
 
