@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as op
-from .base import HOUR, E, I, intervals, timeline
+from .base import HOUR, E, I, intervals
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..operators import joins as op
 from ..operators import moments
-from ..operators.windows import ordered
 from .base import HOUR, E, I, intervals, read, rounded, timeline
 
 QUERIES: dict = {}

@@ -11,7 +11,7 @@ from ..config import Frames, Trajectory
 from ..operators import tracking as op
 from ..operators.windows import ordered
 from ..plans import observe
-from .base import HOUR, E, I, intervals, read, rounded, timeline
+from .base import HOUR, E, read, rounded, timeline
 
 QUERIES: dict = {}
 ORACLE: dict = {}
