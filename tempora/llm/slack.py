@@ -19,9 +19,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, table, utf8
+from .common import slices, stored, table, utf8, worker_cache
 from .packing import ids_bytes
-from .tokens import CACHE_ENTRIES, PLAIN, Encoder, tokenizer_path
+from .tokens import PLAIN, Encoder, tokenizer_path
+
+#: Pieces whose ids a worker keeps: about 200 bytes each.
+KEPT_PIECES = 1_000_000
 
 
 def closest(left: dict[int, int], room: int) -> tuple[int, dict[int, int]]:
@@ -145,14 +148,15 @@ def _lower(raw: np.ndarray) -> np.ndarray:
 
 def _known(enc: Encoder, pieces: list[str]) -> list[bytes]:
     """The ids of pieces that stand alone; those that the worker has not met are encoded."""
-    if len(enc.kept) > CACHE_ENTRIES:
-        enc.kept.clear()
-    new = [p for p in pieces if p not in enc.kept]
+    kept = worker_cache("plain pieces").setdefault(id(enc.tokenizer), {})
+    if len(kept) > KEPT_PIECES:
+        kept.clear()
+    new = [p for p in pieces if p not in kept]
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
         for p, e in zip(part, enc.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            enc.kept[p] = enc.value(e.ids)
-    return list(map(enc.kept.__getitem__, pieces))
+            kept[p] = enc.value(e.ids)
+    return list(map(kept.__getitem__, pieces))
 
 
 def encoded(enc: Encoder, column: pa.Array) -> list[bytes]:
