@@ -278,14 +278,15 @@ def time_grid(df: DataFrame, start: str, end: str, step: float, out: str = "at")
     return df.withColumn("_i", F.explode(F.sequence(F.lit(0), n))).withColumn(out, F.col(start) + F.col("_i") * F.lit(float(step))).drop("_i")
 
 
-def summary_windows(trajectory: DataFrame, scrolls: DataFrame, size: float, still_px: float) -> DataFrame:
+def summary_windows(trajectory: DataFrame, scrolls: DataFrame, size: float, still_px: float, valid: Column | None = None) -> DataFrame:
     """Fixed tumbling windows from a session's first row with what the pointer does and the scroll in it, equal neighbours joined.
 
-    activity: absent (no valid row), still (all within still_px of the first), moving.
+    activity: absent (no row that is valid, by default detected or with any confidence), still (all within still_px of the first),
+    moving.
     """
     first = F.min("ts").over(W.partitionBy("session"))
     rows = trajectory.withColumn("w", F.floor((F.col("ts") - first) / size).cast("long")).withColumn("_0", first)
-    a = rows.withColumn("_v", expr.valid())
+    a = rows.withColumn("_v", expr.valid() if valid is None else valid)
     a = a.withColumn("_fx", F.first(F.when(F.col("_v"), F.col("x")), True).over(ordered("ts", "seq", by=["session", "w"]).rowsBetween(W.unboundedPreceding, 0)))
     a = a.withColumn("_fy", F.first(F.when(F.col("_v"), F.col("y")), True).over(ordered("ts", "seq", by=["session", "w"]).rowsBetween(W.unboundedPreceding, 0)))
     per = a.groupBy("session", "w").agg(

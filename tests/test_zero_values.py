@@ -9,7 +9,7 @@ import pytest
 
 from tempora import queries
 
-NAMES = ["stationary", "click_candidates", "dwells", "hesitations", "hovers", "thrashes", "inplace_smooth"]
+NAMES = ["stationary", "click_candidates", "dwells", "hesitations", "hovers", "thrashes", "inplace_smooth", "fixed_summary"]
 
 
 @pytest.fixture(scope="module")
