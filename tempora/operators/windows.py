@@ -87,11 +87,22 @@ def overlap_islands(
     return _numbered(seen, F.col(start) - F.col("_before") > gap, order, by, part_ms)
 
 
+def means_in_order(df: DataFrame, by: list[str], order: list[str], **values: Column) -> DataFrame:
+    """(by, n, one mean for each of `values`): groups' rows are added up in this order. A sum of doubles has other last bits in
+    another order, which a limit or the rounding of a half makes another result; so it is the same however rows are dealt."""
+    so_far = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumns({f"_{n}": v for n, v in values.items()})
+    sums = {n: (F.sum(f"_{n}").over(so_far) / F.count(f"_{n}").over(so_far)) for n in values}
+    rows = df.select(*by, *order, F.count(F.lit(1)).over(so_far).alias("n"), *(c.alias(n) for n, c in sums.items()))
+    return rows.groupBy(*by).agg(F.max_by(F.struct("n", *values), "n").alias("_last")).select(*by, "_last.*")
+
+
 def hop_windows(samples: DataFrame, value: str, size: float, step: float) -> DataFrame:
     """Hopping windows anchored at a session's first sample: (session, w, start, end, mean), empty windows with mean 0.
 
     Each sample is sent to the ceil(size / step) windows that may hold it, so the join is an aggregation by window number;
-    windows without samples come from the session's span alone. A session of one instant has no window.
+    windows without samples come from the session's span alone. A session of one instant has no window. A window's samples
+    are added up in order, so that a mean at a tier's limit does not hang on how rows were dealt.
     """
     span = samples.groupBy("session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     reach = int(-(-size // step))
@@ -100,9 +111,8 @@ def hop_windows(samples: DataFrame, value: str, size: float, step: float) -> Dat
         at.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - reach), F.col("n"))))
         .withColumn("start", F.col("first") + F.col("w") * F.lit(float(step)))
         .filter((F.col("start") <= F.col("ts")) & (F.col("ts") < F.col("start") + size))
-        .groupBy("session", "w")
-        .agg(F.avg(value).alias("mean"))
     )
+    sums = means_in_order(sums, ["session", "w"], ["seq"] if "seq" in samples.columns else ["ts", value], mean=F.col(value)).drop("n")
     all_windows = span.filter("first < last").select(
         "session", "first", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("last") - F.col("first")) / step).cast("long") - 1)).alias("w")
     )
