@@ -8,7 +8,7 @@ import pytest
 
 from tempora import queries
 
-NAMES = ["hop_windows"]
+NAMES = ["hop_windows", "activity_segments"]
 
 
 @pytest.fixture(scope="module")
