@@ -141,8 +141,9 @@ def tier_segments(windows: DataFrame, min_ms: float) -> DataFrame:
     """
     order = ["w"]
     runs = islands(windows, F.col("tier") != F.lag("tier").over(ordered(*order)), order)
-    runs = runs.groupBy("session", "island").agg(
-        F.min("start").alias("start"), F.max_by("end", "w").alias("end"), F.first("tier").alias("tier"), F.sum("mean").alias("sum"), F.count("mean").alias("n")
+    so_far = ordered("w", by=["session", "island"]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    runs = runs.withColumn("_sum", F.sum("mean").over(so_far)).groupBy("session", "island").agg(
+        F.min("start").alias("start"), F.max_by("end", "w").alias("end"), F.first("tier").alias("tier"), F.max_by("_sum", "w").alias("sum"), F.count("mean").alias("n")
     )
     w = ordered("island")
     before, after = F.lag("end").over(w), F.lead("start").over(w)
@@ -155,11 +156,12 @@ def tier_segments(windows: DataFrame, min_ms: float) -> DataFrame:
     # come from the unsnapped neighbours, as each border is touched once.
     long = (F.col("end") - F.col("start") >= min_ms) | (F.row_number().over(w) == 1)
     grouped = islands(snapped, long, ["island"], out="segment")
-    return grouped.groupBy("session", "segment").agg(
+    so_far = ordered("island", by=["session", "segment"]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return grouped.withColumn("_sum", F.sum("sum").over(so_far)).groupBy("session", "segment").agg(
         F.min_by("start", "island").alias("start"),
         F.max_by("end", "island").alias("end"),
         F.min_by("tier", "island").alias("tier"),
-        (F.sum("sum") / F.sum("n")).alias("mean"),
+        (F.max_by("_sum", "island") / F.sum("n")).alias("mean"),
         F.sum("n").alias("n_windows"),
     ).withColumn("segment", F.col("segment") - 1)
 
