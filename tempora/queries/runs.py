@@ -183,8 +183,7 @@ FROM c GROUP BY session"""
 )
 def type_reports(spark, sf_dir):
     """A Markdown table of each session's events by type."""
-    late = F.avg(F.when(F.col("y") > 98, F.col("y")))
-    c = timeline(spark, sf_dir).groupBy("session", "type").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), late.alias("late"))
+    c = op.means_in_order(timeline(spark, sf_dir), ["session", "type"], ["seq"], mean=F.col("x"), late=F.when(F.col("y") > 98, F.col("y")))
     cells = {"Type": F.replace("type", F.lit("click"), F.lit("click|tap")), "Events": F.col("n"), "Mean": exact.fixed(F.col("mean"), 2), "Late": exact.fixed(F.col("late"), 1)}
     return texts.table_text(c, cells, ["type"], ["session"])
 
