@@ -226,7 +226,7 @@ def reported_metrics(spark, sf_dir):
     t = timeline(spark, sf_dir)
     base, found = t.filter("seq % 2 = 0"), t.filter("seq % 2 = 1")
     m = matching.session_metrics(found.filter("x > 30"), base, found, ["session"])
-    errors = t.groupBy("session").agg(F.avg("x").alias("start_error"), F.avg(F.when(F.col("y") > 50, F.col("y"))).alias("end_error"))
+    errors = op.means_in_order(t, ["session"], ["seq"], start_error=F.col("x"), end_error=F.when(F.col("y") > 50, F.col("y"))).drop("n")
     return matching.reported(m.join(errors, "session")).drop("f1")
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from tempora import queries
 
-NAMES = ["hop_windows", "activity_segments", "tier_segment_list", "staged_segments", "type_reports"]
+NAMES = ["hop_windows", "activity_segments", "tier_segment_list", "staged_segments", "type_reports", "reported_metrics"]
 
 
 @pytest.fixture(scope="module")
