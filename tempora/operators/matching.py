@@ -10,33 +10,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exact import rounded
+from ..sources.tables import written
+from . import alike
 from .folds import fold
 from .joins import interval_join
 from .windows import islands, ordered, overlap_islands
 
 
-def scored_pairs(baseline: DataFrame, found: DataFrame, tolerance: float, threshold: float, similarity: Callable[[Column, Column, Column], Column]) -> DataFrame:
+def scored_pairs(
+    baseline: DataFrame, found: DataFrame, tolerance: float, threshold: float, similarity: Callable[[Column, Column, Column], Column], by_text: DataFrame | None = None
+) -> DataFrame:
     """Pairs of one session and type that overlap within the tolerance and score at least the threshold.
 
     score = 0.7 similarity + 0.3 closeness, closeness falling from 1 to 0 over twice the tolerance between middles.
     similarity(a, b, least) may give any value below `least` where two texts are less alike than that: such pairs do not count.
     Inputs: session, seq, type, start, end (already the start where missing), description. Pairs are found by time bins, so a
     dense session spreads over tasks. Both sides are cut together at gaps over the tolerance, which no pair bridges; greedy()
-    matches within these islands.
+    matches within these islands. With by_text (text, description) the inputs have a key `text` instead of a description. Rows
+    carry keys only, and each pair of texts is compared once, with the least that any pair of rows needs of it.
     """
-    rows = lambda d, s: d.select("session", "type", "seq", "start", "end", "description", F.lit(s).alias("side"))
+    if by_text is None:
+        both, by_text = alike.keyed(baseline.withColumn("side", F.lit("b")).unionByName(found.withColumn("side", F.lit("e"))))
+        baseline, found = (both.filter(F.col("side") == s) for s in "be")
+    rows = lambda d, s: d.select("session", "type", "seq", "start", "end", "text", F.lit(s).alias("side"))
     both = overlap_islands(rows(baseline, "b").unionByName(rows(found, "e")), tolerance, "start", "end", ["start", "seq", "side"], by=["session", "type"])
     side = lambda s: both.filter(F.col("side") == s).drop("side")
     wide = side("b").withColumns({"_start": F.col("start"), "_end": F.col("end"), "start": F.col("start") - tolerance, "end": F.col("end") + tolerance})
     near = interval_join(wide, side("e"), 4 * tolerance, strict=False, by=["session", "type"])
     middle = F.abs((F.col("l._start") + F.col("l._end")) / 2 - (F.col("r.start") + F.col("r.end")) / 2)
-    pairs = near.select("session", "type", F.col("l.island").alias("island"), F.col("l.seq").alias("b"), F.col("r.seq").alias("e"), F.col("l.description").alias("_b"), F.col("r.description").alias("_e"), F.greatest(F.lit(0.0), 1.0 - middle / (2 * tolerance)).alias("_close"))
+    close = F.greatest(F.lit(0.0), 1.0 - middle / (2 * tolerance))
     # A hair less than needed is asked for, so that rounding loses no pair; the score itself decides.
     least = (F.lit(threshold) - 0.3 * F.col("_close")) / 0.7 - 1e-9
-    score = 0.7 * similarity(F.col("_b"), F.col("_e"), least) + 0.3 * F.col("_close")
-    # A filter on the score would be pushed below it and work it out twice; a generator does so once.
-    enough = F.explode(F.filter(F.array(score), lambda s: s >= threshold))
-    return pairs.select("session", "type", "island", "b", "e", enough.alias("score"))
+    pairs = near.select("session", "type", F.col("l.island").alias("island"), F.col("l.seq").alias("_l"), F.col("r.seq").alias("_r"), F.col("l.text").alias("a"), F.col("r.text").alias("b"), close.alias("_close"))
+    pairs = written(pairs.withColumn("least", least))
+    scored = alike.on_pairs(pairs, written(alike.pair_scores(pairs, by_text, similarity)))
+    scored = scored.select("session", "type", "island", F.col("_l").alias("b"), F.col("_r").alias("e"), (0.7 * F.col("similarity") + 0.3 * F.col("_close")).alias("score"))
+    return scored.filter(F.col("score") >= threshold)
 
 
 def greedy(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..config import Merge
 from ..functions import expr
 from ..functions.exact import rounded
 from ..functions.similarity import similar
-from ..operators import folds, joins
+from ..operators import alike, folds, joins
 from ..operators.windows import ordered
 from ..sources.tables import written
 from .stages import shifted
@@ -36,27 +36,31 @@ def placed(events: DataFrame, trajectory: DataFrame, types: list[str], tolerance
     return both.withColumns({c: F.when(asked, F.rint(f"p{c}")).otherwise(F.col(c)) for c in "xy"}).select(*events.columns)
 
 
-def standalone(found: DataFrame, segments: DataFrame, trajectory: DataFrame, offsets: DataFrame, cursor_types: list[str] = [*AT_START, *MEAN_INSIDE], c: Merge = Merge()) -> DataFrame:
+def standalone(found: DataFrame, segments: DataFrame, trajectory: DataFrame, offsets: DataFrame, cursor_types: list[str] = [*AT_START, *MEAN_INSIDE], c: Merge = Merge(), by_text: DataFrame | None = None) -> DataFrame:
     """Final events on the stored clock: session, position (from 1 on), type, start, end, description, confidence, x, y.
 
     found: session, segment, seq, type, start, end (from the segment's start), description, confidence, cursor_x, cursor_y.
     segments: session, segment, start, end (of the video). trajectory: session, seq, ts (of the video), x, y, confidence,
     detected. offsets: session, offset (ms between the two clocks). Duplicates that overlapping segments both saw go first,
-    then all others; each walk goes over what the one before it kept, in its order.
+    then all others; each walk goes over what the one before it kept, in its order. With by_text (text, description) found has a key
+    `text` instead of a description; rows carry keys only, and descriptions come to what is left.
     """
+    if by_text is None:
+        found, by_text = alike.keyed(found)
     starts = segments.select("session", "segment", F.col("start").alias("_begin")).join(offsets, "session")
     rows = shifted(found.join(starts.withColumn("_shift", F.col("_begin") + F.col("offset")), ["session", "segment"]), "_shift")
-    rows = rows.withColumns({"description": F.coalesce("description", F.lit("")), "_at": F.col("start")})
+    rows = rows.withColumn("_at", F.col("start"))
     own = F.col("cursor_x").isNotNull() & F.col("cursor_y").isNotNull()
     rows = rows.withColumns({n: F.when(own, rounded(F.col(f"cursor_{n}"), 1)) for n in "xy"})
     rows = rows.withColumn("seq", F.row_number().over(ordered("start", "segment", "seq")).cast("long"))
-    columns = ["session", "seq", "type", "start", "end", "description", "confidence"]
+    columns = ["session", "seq", "type", "start", "end", "text", "confidence"]
     rows = written(rows.select(*columns, "x", "y"))
     spans = overlaps(segments).join(offsets, "session").select("session", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"))
-    first = folds.dedup_overlaps(joins.marked_within(rows.select(*columns), "start", spans, "in_overlap"), c.overlap_close_ms, c.overlap_similarity, similar)
-    second = folds.dedup_events(first.drop("in_overlap"), c.tolerance_ms, c.similarity, similar, slots=True)
+    first = folds.dedup_overlaps(joins.marked_within(rows.select(*columns), "start", spans, "in_overlap"), c.overlap_close_ms, c.overlap_similarity, similar, by_text)
+    second = folds.dedup_events(first.drop("in_overlap"), c.tolerance_ms, c.similarity, similar, slots=True, by_text=by_text)
     kept = second.select("session", "seq", "slot_start", "slot_seq").join(rows, ["session", "seq"]).join(offsets, "session")
     moved = kept.withColumns({n: F.col(n) - F.col("offset") for n in ("start", "end")})
     out = placed(moved, trajectory, cursor_types).withColumns({n: F.col(n) + F.col("offset") for n in ("start", "end")})
     out = out.withColumn("position", F.row_number().over(ordered("slot_start", "slot_seq")))
-    return out.select("session", "position", "type", "start", "end", "description", "confidence", "x", "y")
+    out = alike.described(out.select("session", "position", "type", "start", "end", "text", "confidence", "x", "y"), by_text)
+    return out.withColumn("description", F.coalesce("description", F.lit("")))

@@ -202,7 +202,7 @@ def range_half_open(spark, sf_dir):
 @query()
 def standalone_merge(spark, sf_dir):
     """A user's events as what three overlapping segments found, with whole dialogue turns as descriptions, made one timeline again."""
-    told = folded_queries.spoken(spark, sf_dir)
+    told, texts = folded_queries.spoken(spark, sf_dir)
     first = told.groupBy("session").agg(F.min("start").alias("_0"))
     rows = told.join(first, "session").withColumns({c: F.col(c) - F.col("_0") for c in ("start", "end")})
     segments = first.select("session", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("segment"))
@@ -213,7 +213,7 @@ def standalone_merge(spark, sf_dir):
     path = timeline(spark, sf_dir).join(first, "session").withColumn("ts", F.col("ts") - F.col("_0"))
     offsets = first.select("session", F.lit(500.0).alias("offset"))
     limits = Merge(tolerance_ms=12 * H, similarity=0.6, overlap_close_ms=12 * H, overlap_similarity=0.3)
-    return merge.standalone(found, segments, path, offsets, c=limits)
+    return merge.standalone(found, segments, path, offsets, c=limits, by_text=texts)
 
 
 @query(
