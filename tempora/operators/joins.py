@@ -169,9 +169,19 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("session", "ts", F.col("a.detected").alias("in_a"), F.col("b.detected").alias("in_b"), F.when(F.col("a.detected") & F.col("b.detected"), far).alias("distance"))
 
 
+#: Frames that a task of neighbours_context() sorts, some 100 bytes each; the number of tasks follows from it.
+TASK_FRAMES = 500_000
+
+
 def neighbours_context(segments: DataFrame, frames: DataFrame, n: int) -> DataFrame:
-    """For each segment the last n frames of the one before and the first n of the one after: (session, index, side, ts)."""
-    f = frames.join(segments, "session").filter("ts >= start AND ts < end").select("session", "index", "ts", "seq")
+    """For each segment the last n frames of the one before and the first n of the one after: (session, index, side, ts).
+
+    Frames are counted first and dealt by session to as many tasks as they need; left to themselves, shuffles that compress well
+    are put together until a task sorts very many rows."""
+    context = frames.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, -(-frames.count() // TASK_FRAMES))
+    f = frames.select("session", "ts", "seq").repartition(tasks, "session").join(segments.repartition(tasks, "session"), "session")
+    f = f.filter("ts >= start AND ts < end").select("session", "index", "ts", "seq")
     early = f.withColumn("k", F.row_number().over(ordered("ts", "seq", by=["session", "index"]))).filter(F.col("k") <= n)
     late = f.withColumn("k", F.row_number().over(W.partitionBy("session", "index").orderBy(F.desc("ts"), F.desc("seq")))).filter(F.col("k") <= n)
     known = segments.select("session", "index")

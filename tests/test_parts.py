@@ -64,3 +64,18 @@ def test_one_long_session_is_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 1 and max(sizes) < 150_000 and sum(sizes) == 200_000
+
+
+def test_context_is_dealt_to_as_many_tasks_as_frames_need(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_FRAMES", 20)
+    rng = random.Random(3)
+    frames = sorted((rng.randint(1, 40), float(rng.randint(0, 3000)), i) for i in range(600))
+    df = spark.createDataFrame(frames, "session long, ts double, seq long")
+    segments = spark.range(1, 41).selectExpr("id AS session", "explode(sequence(0, 2)) AS index").selectExpr("session", "index", "index * 1000D AS start", "(index + 1) * 1000D AS end")
+    found = joins.neighbours_context(segments, df, 2)
+    assert "hashpartitioning(session#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 30)" in plan
+    want = []
+    for s in range(1, 41):
+        inside = [[ts for who, ts, _ in frames if who == s and k * 1000 <= ts < (k + 1) * 1000] for k in range(3)]
+        want += [(s, k + 1, "before", ts) for k in (0, 1) for ts in inside[k][-2:]] + [(s, k - 1, "after", ts) for k in (1, 2) for ts in inside[k][:2]]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
