@@ -37,9 +37,9 @@ def staged_segments(spark, sf_dir):
     graph = Graph(
         f"{shared_dir(spark)}/timelines-stages",
         [
-            Stage("hops", lambda t, size: op.hop_windows(t["events"], "x", *size), ("events",), (24 * H, 6 * H)),
-            Stage("tiers", lambda t, limits: t["hops"].withColumn("tier", windows.expr.tier(F.col("mean"), *limits)), ("hops",), (20.0, 45.0, 70.0)),
-            Stage("segments", lambda t, least: op.tier_segments(t["tiers"], least), ("tiers",), 18 * H),
+            Stage("hops", lambda t, size: op.hop_windows(t["events"], "x", *size), ("events",), (24 * H, 6 * H), version="2"),
+            Stage("tiers", lambda t, limits: t["hops"].withColumn("tier", windows.expr.tier(F.col("mean"), *limits)), ("hops",), (20.0, 45.0, 70.0), version="2"),
+            Stage("segments", lambda t, least: op.tier_segments(t["tiers"], least), ("tiers",), 18 * H, version="2"),
         ],
     )
     events = (fingerprint(spark, f"{sf_dir}/events.parquet"), timeline(spark, sf_dir))
