@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, stored, table, utf8
+from .common import drop_caches, free_name, slices, stored, table, utf8
 
 #: Hash buckets of the byte 3-grams; with the number of languages this bounds the model (and what the driver reads).
 BUCKETS = 1 << 16
@@ -20,7 +20,7 @@ SEGMENT_WORDS = 4
 ROUNDS, SETTLED = 50, 1e-3
 SMOOTHING = 0.5
 #: Bytes of text scored at a time; each byte takes a number for every language.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 
 
 def grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +45,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, bucket, n) over all rows with text and language; each task sends a row per language and bucket it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         total: dict[str, np.ndarray] = {}
         for whole in batches:
             for b in slices(whole, "text", TEXT_BYTES):
@@ -129,9 +130,10 @@ def predict(
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for whole in batches:
-            for b in slices(whole, whole.schema.names[-1], TEXT_BYTES):
-                text = b.column(len(keep))
+            for b in slices(whole, whole.schema.names[at], TEXT_BYTES):
+                text = b.column(at)
                 raw, off = utf8(text)
                 rows = len(off) - 1
                 ascii_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
@@ -157,9 +159,10 @@ def predict(
                 own = [b.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(part)], names=[*keep, lang_as, score_as])
 
-    # The text goes along under a name of its own, whatever the others are called.
-    narrow = docs.select(*map(F.col, keep), F.col(text_col).alias(free_name(keep, "_text")))
-    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
+    # A text that is kept anyway is sent once; another goes along under a name of its own, whatever the others are called.
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    narrow = docs.select(*map(F.col, keep), *([] if at < len(keep) else [F.col(text_col).alias(free_name(keep, "_text"))]))
+    schema = T.StructType([*narrow.schema.fields[: len(keep)], T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())])
     return narrow.mapInArrow(run, schema)
 
 

@@ -53,3 +53,10 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert "sequence_id" in out.columns and out.count() > 0
+
+
+def test_language_id_sends_each_text_once(spark):
+    docs = spark.createDataFrame([(i, t, "aa", "s", 3) for i, t in enumerate(["one two three", "vier fünf", None, "12"])], DOCS)
+    found = corpus_pipeline.language_id(spark, docs, "")
+    assert "_text" not in found._jdf.queryExecution().analyzed().toString()
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 1]
