@@ -31,6 +31,13 @@ def tier_fps(name: Column) -> Column:
     return out
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double at so many digits as the oracle's round() has it: x times a power of ten, as a double, to the nearest whole number,
+    halves away from zero. F.round goes by the shortest decimal of x, which at a half is another number now and then."""
+    power = F.lit(10.0**digits)
+    return F.round(x * power) / power
+
+
 def valid() -> Column:
     """Detected, or filled in from neighbours that were."""
     return F.col("detected") | (F.col("confidence") > 0)

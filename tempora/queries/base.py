@@ -42,4 +42,5 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
-    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: expr.rounded(F.col(c), d) if kinds[c] == "double" else F.round(c, d) for c, d in digits.items()})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expr
 from ..operators import events as op
 from .base import HOUR, E, I, intervals
 
@@ -114,7 +115,7 @@ def local(spark, sf_dir):
   round(CASE WHEN n_pos = 0 THEN NULL WHEN kind = 'cursor_thrash' THEN y + (n_pos - 1) ELSE y END, 6) AS y FROM l WHERE NOT needs"""
 )
 def certain_events(spark, sf_dir):
-    return op.certain_events(local(spark, sf_dir), F.lit(-250.0)).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+    return op.certain_events(local(spark, sf_dir), F.lit(-250.0)).withColumns({c: expr.rounded(F.col(c), 6) for c in "xy"})
 
 
 @query(

@@ -57,7 +57,7 @@ def frames_resolved(spark, sf_dir):
 def viewer_events(spark, sf_dir):
     i = intervals(spark, sf_dir)
     sure = F.coalesce(F.when(F.col("seq") % 2 == 0, F.col("confidence")), F.lit(0.0))
-    return i.select("session", "seq", F.round(F.col("start") / 1000, 1).alias("start_s"), F.round(F.col("end") / 1000, 1).alias("end_s"), sure.alias("confidence"))
+    return i.select("session", "seq", expr.rounded(F.col("start") / 1000, 1).alias("start_s"), expr.rounded(F.col("end") / 1000, 1).alias("end_s"), sure.alias("confidence"))
 
 
 CATEGORY = "CASE type WHEN 'error' THEN 'scene_change' WHEN 'click' THEN 'interaction' WHEN 'view' THEN 'continuous' WHEN 'signup' THEN 'pre_scene_change' ELSE 'baseline' END"
@@ -98,7 +98,7 @@ def enrichment_comparison(spark, sf_dir):
     both = joins.nearest_detected(a, "ts", t.filter("type = 'error'"), 24 * H)
     lost, gained = F.col("ax").isNotNull() & F.col("px").isNull(), F.col("ax").isNull() & F.col("px").isNotNull()
     far = F.sqrt(F.pow(F.col("ax") - F.col("px"), 2) + F.pow(F.col("ay") - F.col("py"), 2))
-    return both.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("lost"), F.count_if(gained).alias("gained"), F.round(F.avg(far), 6).alias("distance"))
+    return both.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("lost"), F.count_if(gained).alias("gained"), expr.rounded(F.avg(far), 6).alias("distance"))
 
 
 @query(
@@ -184,7 +184,7 @@ def scroll_filter(spark, sf_dir):
     way = F.when(F.col("type") == "click", "N").when(F.col("type") == "view", "S").otherwise("E")
     i = intervals(spark, sf_dir).withColumns({"uniformity": F.col("confidence"), "magnitude": F.col("x"), "direction": way})
     kept = stages.scrolls(i, Change(flow_uniformity=0.3, flow_magnitude=5.0))
-    return kept.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("end") - F.col("start")), 3).alias("mean"))
+    return kept.groupBy("session").agg(F.count(F.lit(1)).alias("n"), expr.rounded(F.avg(F.col("end") - F.col("start")), 3).alias("mean"))
 
 
 @query(f"""WITH {E}, p AS (SELECT session, x, y, lag(x) OVER o AS ax, lag(y) OVER o AS ay, lead(x) OVER o AS bx, lead(y) OVER o AS by_ FROM e WINDOW o AS (PARTITION BY session ORDER BY ts, seq))
@@ -193,7 +193,7 @@ def off_line(spark, sf_dir):
     w = windows.ordered("ts", "seq")
     t = timeline(spark, sf_dir).select("session", "x", "y", *(f(c).over(w).alias(n + c) for n, f in (("a", F.lag), ("b", F.lead)) for c in "xy")).filter("ax IS NOT NULL AND bx IS NOT NULL")
     d = expr.point_line(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return t.groupBy("session").agg(F.round(F.sum(d), 4).alias("off_line"))
+    return t.groupBy("session").agg(expr.rounded(F.sum(d), 4).alias("off_line"))
 
 
 @query(
@@ -216,7 +216,7 @@ def turning_angles(spark, sf_dir):
     w = windows.ordered("ts", "seq")
     step = [(F.col(c) - F.lag(c).over(w)).alias("a" + c) for c in "xy"] + [(F.lead(c).over(w) - F.col(c)).alias("b" + c) for c in "xy"]
     d = timeline(spark, sf_dir).select("session", "seq", *step).filter("ax IS NOT NULL AND bx IS NOT NULL")
-    return d.select("session", "seq", F.round(expr.turning_angle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 5).alias("angle"))
+    return d.select("session", "seq", expr.rounded(expr.turning_angle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), 5).alias("angle"))
 
 
 @query(

@@ -44,7 +44,7 @@ def usage_by_model(spark, sf_dir):
     prices = spark.createDataFrame([("1-URGENT", 0.5, 3.0), ("2-HIGH", 0.25, 2.0), ("3-MEDIUM", 0.1, 0.4)], "model string, input_cost double, output_cost double")
     runs = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_totalprice").alias("input_tokens"), (F.col("o_orderkey") % 1000).alias("output_tokens"))
     u = reports.usage(runs, prices)
-    return u.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("cost"), 2).alias("cost"), F.sum("output_tokens").alias("output_tokens"))
+    return u.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), expr.rounded(F.sum("cost"), 2).alias("cost"), F.sum("output_tokens").alias("output_tokens"))
 
 
 @query(
