@@ -390,6 +390,23 @@ def test_prose_outside_an_article_stays_where_no_other_page_repeats_it(spark):
     assert seen == {(html.ARTICLE, False): 3, (html.UNDECIDED, False): 3, (html.UNDECIDED, True): 3, (html.BOILERPLATE, True): 6}
 
 
+@pytest.mark.parametrize("size", [150, 1 << 20])
+def test_articles_are_in_the_index(spark, size, monkeypatch):
+    """Prose outside an article goes where it is a piece of another page's article, but not for copies of its own page."""
+    monkeypatch.setattr(html, "STREAM_TOKENS", size)
+    rng = random.Random(15)
+    article, lead = [prose(rng, 90) for _ in range(6)], [prose(rng, 50) for _ in range(6)]
+    page = lambda i, outside: f"<nav>Home</nav><article><p>{article[i]}</p></article><div>{outside}</div>"
+    teaser = [" ".join(a.split()[5:55]) for a in article]
+    rows = [(0, "https://a.b/", page(0, teaser[1]), article[0]), (1, "https://a.b/", page(1, lead[1]), article[1] + "\n" + lead[1])]
+    rows += [(2, "https://a.b/", page(2, teaser[2]), article[2] + "\n" + teaser[2])]  # a quote of itself
+    rows += [(i, "https://a.b/", page(3, lead[3]) + "<footer>x</footer>" * (i - 3), article[3] + "\n" + lead[3]) for i in (3, 4)]
+    rows += [(5, "https://c.d/", page(4, teaser[1]), article[4] + "\n" + teaser[1])]  # another host
+    rows += [(6, "https://a.b/", f"<div>{article[5]}</div><div>{teaser[0]}</div>", article[5] + "\n" + teaser[0])]  # two pages are not most of them
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == {r[0]: r[3] for r in rows}
+
+
 # 6 and 7
 
 
